@@ -139,7 +139,7 @@ def vector_topk(inp):
 
 @query(
     "retrieve_context",
-    """select f.stmt_id, md5(coalesce(concat('## 相关业务知识（RAG 检索）', chr(10), chr(10), b.body), '')) as context_md5 from fp f left join bodies b using (stmt_id)""",
+    """select f.stmt_id, md5(case when b.body is null then '' else concat('## 相关业务知识（RAG 检索）', chr(10), chr(10), b.body) end) as context_md5 from fp f left join bodies b using (stmt_id)""",
     {
         **PAIRS,
         **HITS,
