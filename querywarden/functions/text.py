@@ -110,10 +110,11 @@ def high_risk(level: Column) -> Column:
 
 
 def duration_text(ms: Column) -> Column:
-    """Milliseconds as ``340ms``, ``12s`` or ``3m 5s``."""
+    """Milliseconds as ``340ms``, ``12s`` or ``3m 5s``; null stays null."""
     secs = F.floor(ms / 1000)
     return (
-        F.when(ms < 1000, F.format_string("%dms", ms))
+        F.when(ms.isNull(), F.lit(None).cast("string"))
+        .when(ms < 1000, F.format_string("%dms", ms))
         .when(secs < 60, F.format_string("%ds", secs))
         .otherwise(F.format_string("%dm %ds", F.floor(secs / 60), secs % 60))
     )

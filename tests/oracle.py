@@ -62,8 +62,8 @@ def compare(spark, con, sf_dir: str, fn, sql: str) -> str | None:
     if sorted(df.columns) != sorted(names):
         return f"columns {sorted(df.columns)} vs {sorted(names)}"
     if got != want:
-        only_got = [r for r in got if r not in set(want)][:3]
-        only_want = [r for r in want if r not in set(got)][:3]
+        only_got = sorted(set(got) - set(want))[:3]
+        only_want = sorted(set(want) - set(got))[:3]
         return f"rows {len(got)} vs {len(want)}\n   spark only: {only_got}\n   oracle only: {only_want}"
     for name, typ in df.dtypes:
         want_type = DUCK_TO_SPARK.get(types[name], types[name])
