@@ -42,11 +42,11 @@ def without_comments(content: Column) -> Column:
     return F.regexp_replace(content, f"({STRING})|{COMMENT}", "$1")
 
 
-def _find(text: Column, pattern: str, group: int = 1) -> Column:
+def _find(text: Column | str, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract(text, pattern, group)
 
 
-def _find_all(text: Column, pattern: str, group: int = 0) -> Column:
+def _find_all(text: Column | str, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
@@ -160,47 +160,48 @@ def wrapper_call_extract(files: DataFrame) -> DataFrame:
 
     chunks = code_chunks(files).filter(F.col("chunk").rlike(r"[A-Za-z_]\w*\s*(?:\.|<|\()"))
     key = ["path", "cls", "method"]
-    # creations: "new X<T>(..)" with its chain, and a factory assigned to a declared builder
-    news = chunks.select(*key, "pos", "chunk", F.posexplode(_find_all("chunk", create)).alias("nth", "code")).select(
-        *key, "pos", F.col("nth").cast("int").alias("nth"),
-        _find("code", create, 1).alias("wrapper_type"),
-        _null_if_empty(_find(_find("code", create, 2), r"^<\s*(\w+)")).alias("generic"),
-        _find("code", create, 3).alias("chain"),
-        # the variable that takes the creation, when it is the whole right-hand side
-        _null_if_empty(_find("chunk", rf"([A-Za-z_]\w*+)\s*=\s*{create}\s*;$")).alias("var"),
-        _null_if_empty(_find(_find("chunk", declared, 2), r"^<\s*(\w+)")).alias("var_generic"),
-    )
-    made = chunks.filter(F.col("chunk").rlike(declared + r"[\s\S]*") & F.col("chunk").rlike(factory) & ~F.col("chunk").rlike(create)).select(
-        *key, "pos", F.lit(0).alias("nth"),
-        _find("chunk", declared, 1).alias("wrapper_type"),
-        F.lit(None).cast("string").alias("generic"),
-        _find("chunk", factory, 1).alias("chain"),
-        _null_if_empty(_find("chunk", declared, 3)).alias("var"),
-        _null_if_empty(_find(_find("chunk", declared, 2), r"^<\s*(\w+)")).alias("var_generic"),
-    )
-    usages = news.unionByName(made).withColumn("usage_id", F.concat_ws("#", *key, F.col("pos").cast("string"), F.col("nth").cast("string")))
-    born = usages.select(
-        *key, "pos", F.lit(0).alias("order"), "var", "usage_id", "wrapper_type",
-        F.coalesce("generic", F.when(F.col("var").isNotNull(), F.col("var_generic"))).alias("declared_entity"), "chain",
-    )
+    chunk = F.col("chunk")
+    none = F.array().cast("array<string>")
 
+    def codes(kind: str, found: Column) -> Column:
+        return F.transform(found, lambda code, i: F.struct(F.lit(kind).alias("kind"), i.alias("nth"), code.alias("code")))
+
+    # creations: "new X<T>(..)" with its chain, or a factory assigned to a declared builder
+    news = _find_all(chunk, create)
+    is_made = chunk.rlike(declared) & chunk.rlike(factory) & (F.size(news) == 0)
+    made = F.when(is_made, F.array(chunk)).otherwise(none)
     # chains on plain names, also one level down in the arguments of another call
-    outer = chunks.select(*key, "pos", F.explode(_find_all("chunk", on_var)).alias("code"))
-    inner = outer.select(*key, "pos", F.explode(_find_all(_find("code", on_var, 2), on_var)).alias("code"))
-    later = outer.unionByName(inner).select(
-        *key, "pos", F.lit(1).alias("order"), _find("code", on_var, 1).alias("var"),
-        F.lit(None).cast("string").alias("usage_id"), F.lit(None).cast("string").alias("wrapper_type"),
-        F.lit(None).cast("string").alias("declared_entity"), _find("code", on_var, 2).alias("chain"),
+    outer = _find_all(chunk, on_var)
+    inner = F.flatten(F.transform(outer, lambda code: _find_all(F.regexp_extract(code, on_var, 2), on_var)))
+    every = F.concat(codes("new", news), codes("made", made), codes("use", F.concat(outer, inner)))
+    found = chunks.select(*key, "pos", "chunk", F.explode(every).alias("e")).select(*key, "pos", "chunk", "e.*")
+
+    kind, code = F.col("kind"), F.col("code")
+    by_kind = lambda new, made, use: F.when(kind == "new", new).when(kind == "made", made).otherwise(use)
+    nothing = F.lit(None).cast("string")
+    generic = lambda text: _null_if_empty(F.regexp_extract(text, r"^<\s*(\w+)", 1))
+    holder = _null_if_empty(_find(chunk, rf"([A-Za-z_]\w*+)\s*=\s*{create}\s*;$"))
+    declared_generic = generic(_find(chunk, declared, 2))
+    new_entity = F.coalesce(generic(_find(code, create, 2)), F.when(holder.isNotNull(), declared_generic))
+    born = F.concat_ws("#", *key, F.col("pos").cast("string"), F.col("nth").cast("string"))
+    rows = found.select(
+        *key, "pos", F.when(kind == "use", 1).otherwise(0).alias("order"), "nth",
+        by_kind(holder, _null_if_empty(_find(chunk, declared, 3)), _find(code, on_var, 1)).alias("var"),
+        F.when(kind != "use", born).alias("usage_id"),
+        by_kind(_find(code, create, 1), _find(chunk, declared, 1), nothing).alias("wrapper_type"),
+        by_kind(new_entity, declared_generic, nothing).alias("declared_entity"),
+        by_kind(_find(code, create, 3), _find(chunk, factory, 1), _find(code, on_var, 2)).alias("chain"),
     )
 
-    # a later chain belongs to the builder that the variable last took
-    named = born.filter(F.col("var").isNotNull()).unionByName(later)
-    so_far = Window.partitionBy(*key, "var").orderBy("pos", "order", "usage_id", "chain")
+    # a later chain belongs to the builder that the variable last took; creations without one stand alone
+    slot = F.coalesce("var", F.concat(F.lit("#"), F.col("usage_id")))
+    so_far = Window.partitionBy(*key, "slot").orderBy("pos", "order", "nth")
     carried = [F.last(c, True).over(so_far).alias(c) for c in ("usage_id", "wrapper_type", "declared_entity")]
-    kept = named.select(*key, "pos", "order", "var", *carried, "chain").filter(F.col("usage_id").isNotNull())
-    every = kept.unionByName(born.filter(F.col("var").isNull()))
-    calls = every.select(*key, "usage_id", "wrapper_type", "declared_entity", "pos", "order", F.posexplode(_find_all("chain", CALL)).alias("nth", "code"))
-    in_order = Window.partitionBy("usage_id").orderBy("pos", "order", "nth", "code")
+    owned = rows.withColumn("slot", slot).select(*key, "pos", "order", F.col("nth").alias("at"), "slot", *carried, "chain")
+    calls = owned.filter(F.col("usage_id").isNotNull() & (F.col("chain") != "")).select(
+        *key, "usage_id", "slot", "wrapper_type", "declared_entity", "pos", "order", "at", F.posexplode(_find_all("chain", CALL)).alias("nth", "code")
+    )
+    in_order = Window.partitionBy(*key, "slot", "usage_id").orderBy("pos", "order", "at", "nth")
     return calls.select(
         *key, "usage_id", "wrapper_type", "declared_entity",
         F.row_number().over(in_order).cast("long").alias("seq"),

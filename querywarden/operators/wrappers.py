@@ -95,8 +95,8 @@ def _raw_sql(arg: Column) -> Column:
     return F.when(arg.rlike(IS_LITERAL), F.regexp_replace(literal_value(arg), r"\{\d+\}", "?"))
 
 
-def wrapper_clause_map(calls: DataFrame) -> DataFrame:
-    """Calls with ``kind`` and ``fragments``, the SQL parts each call adds; other calls are dropped.
+def with_clauses(calls: DataFrame) -> DataFrame:
+    """Calls with ``kind`` and ``fragments``, the SQL parts each call adds; null for other calls.
 
     Kinds: condition, select, order, group, having, set, last.
     """
@@ -130,31 +130,36 @@ def wrapper_clause_map(calls: DataFrame) -> DataFrame:
         .when(name == "last", one(last))
         .otherwise(ordered)
     )
-    return (
-        calls.withColumn("kind", kinds)
-        .filter(F.col("kind").isNotNull())
-        .withColumn("fragments", fragments)
-        .filter(F.size("fragments") > 0)
-    )
+    return calls.withColumn("kind", kinds).withColumn("fragments", F.when(F.col("kind").isNotNull(), fragments))
+
+
+def wrapper_clause_map(calls: DataFrame) -> DataFrame:
+    """The calls that add clauses, see ``with_clauses``."""
+    return with_clauses(calls).filter(F.size("fragments") > 0)
+
+
+def _entity_parts() -> list[Column]:
+    """Aggregates for the entity of a usage: declared, by getter reference, by constant."""
+    args = F.col("args")
+    getters = F.filter(args, lambda a: a.rlike(GETTER_REF) & (F.regexp_extract(a, GETTER_REF, 1) != ""))
+    getter = F.when(F.col("wrapper_type").startswith("Lambda"), F.regexp_extract(F.get(getters, F.lit(0)), GETTER_REF, 1))
+    owners = F.transform(args, lambda a: F.regexp_extract(a, FIELD, 1))
+    constant = F.get(F.filter(owners, lambda o: o.rlike("^[A-Z]") & ~o.isin(*UTILITY_CLASSES)), F.lit(0))
+    return [
+        F.max("declared_entity").alias("_declared"),
+        F.min(F.when(getter.isNotNull(), F.struct("seq", getter.alias("e")))).alias("_getter"),
+        F.min(F.when(constant.isNotNull(), F.struct("seq", constant.alias("e")))).alias("_constant"),
+    ]
+
+
+def _entity() -> Column:
+    return F.coalesce(F.col("_declared"), F.col("_getter.e"), F.col("_constant.e"))
 
 
 def entity_infer(calls: DataFrame) -> DataFrame:
     """(usage_id, entity): declared type argument, else class of the first getter reference of a lambda
     builder, else class of the first constant that is no utility class."""
-    arg = F.explode_outer(F.arrays_zip(F.sequence(F.lit(1), F.greatest(F.size("args"), F.lit(1))).alias("n"), F.col("args").alias("a")))
-    flat = calls.select("usage_id", "seq", "declared_entity", "wrapper_type", arg.alias("x")).select(
-        "usage_id", "seq", "declared_entity", "wrapper_type", F.col("x.n").alias("n"), F.col("x.a").alias("a")
-    )
-    getter = F.when(F.col("wrapper_type").startswith("Lambda") & F.col("a").rlike(GETTER_REF), F.regexp_extract("a", GETTER_REF, 1))
-    owner = F.regexp_extract("a", FIELD, 1)
-    constant = F.when(F.col("a").rlike(FIELD) & owner.rlike("^[A-Z]") & ~owner.isin(*UTILITY_CLASSES), owner)
-    place = F.struct("seq", "n")
-    firsts = flat.groupBy("usage_id").agg(
-        F.max("declared_entity").alias("declared"),
-        F.min_by(getter, F.when(getter.isNotNull(), place)).alias("getter"),
-        F.min_by(constant, F.when(constant.isNotNull(), place)).alias("constant"),
-    )
-    return firsts.select("usage_id", F.coalesce("declared", "getter", "constant").alias("entity"))
+    return calls.groupBy("usage_id").agg(*_entity_parts()).select("usage_id", _entity().alias("entity"))
 
 
 def table_name_resolve(usages: DataFrame, entity_tables: DataFrame) -> DataFrame:
@@ -164,20 +169,22 @@ def table_name_resolve(usages: DataFrame, entity_tables: DataFrame) -> DataFrame
     return usages.join(mapped, "entity", "left").withColumn("table_name", F.coalesce("_mapped", guess)).drop("_mapped")
 
 
-def pseudo_sql_assemble(clauses: DataFrame, usages: DataFrame) -> DataFrame:
-    """One statement per usage: ``usage_id, sql_text, sql_type`` from clauses in call order.
+CLAUSE_KINDS = ["condition", "select", "order", "group", "set", "having", "last"]
 
-    ``usages`` is (usage_id, wrapper_type, table_name). Of several ``having`` or ``last`` the final one
-    counts. Usages without any clause make no statement.
-    """
+
+def _clause_parts() -> list[Column]:
+    """Aggregates that gather a usage's fragments per kind in call order."""
     part = F.struct("seq", "fragments")
 
     def of(kind: str) -> Column:
-        rows = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, part)))
+        rows = F.array_sort(F.collect_list(F.when((F.col("kind") == kind) & (F.size("fragments") > 0), part)))
         return F.flatten(F.transform(rows, lambda r: r["fragments"])).alias(kind)
 
-    grouped = clauses.groupBy("usage_id").agg(*[of(k) for k in ("condition", "select", "order", "group", "set", "having", "last")])
-    rows = grouped.join(usages.select("usage_id", "wrapper_type", "table_name"), "usage_id")
+    return [of(k) for k in CLAUSE_KINDS]
+
+
+def _statement_text() -> tuple[Column, Column]:
+    """Text and type of a usage from its gathered fragments, ``wrapper_type`` and ``table_name``."""
 
     def clause(kind: str, lead: str, sep: str) -> Column:
         return F.when(F.size(kind) > 0, F.concat(F.lit(lead), F.array_join(kind, sep))).otherwise("")
@@ -199,20 +206,37 @@ def pseudo_sql_assemble(clauses: DataFrame, usages: DataFrame) -> DataFrame:
         clause("order", " ORDER BY ", ", "),
         final("last", " "),
     )
-    return rows.select("usage_id", text.alias("sql_text"), F.when(is_update, "UPDATE").otherwise("SELECT").alias("sql_type"))
+    return text, F.when(is_update, "UPDATE").otherwise("SELECT")
+
+
+def pseudo_sql_assemble(clauses: DataFrame, usages: DataFrame) -> DataFrame:
+    """One statement per usage: ``usage_id, sql_text, sql_type`` from clauses in call order.
+
+    ``usages`` is (usage_id, wrapper_type, table_name). Of several ``having`` or ``last`` the final one
+    counts. Usages without any clause make no statement.
+    """
+    rows = clauses.groupBy("usage_id").agg(*_clause_parts())
+    text, kind = _statement_text()
+    return rows.join(usages.select("usage_id", "wrapper_type", "table_name"), "usage_id").select(
+        "usage_id", text.alias("sql_text"), kind.alias("sql_type")
+    )
 
 
 def wrapper_statements(calls: DataFrame, entity_tables: DataFrame) -> DataFrame:
-    """Builder calls to statement rows, one per usage."""
-    stripped = bool_prefix_strip(calls)
-    places = calls.groupBy("usage_id").agg(
-        F.max("wrapper_type").alias("wrapper_type"), F.max("path").alias("source_file"),
-        F.max(F.concat("cls", F.lit("."), "method")).alias("source_location"),
+    """Builder calls to statement rows, one per usage with content; the calls are read and grouped once."""
+    rows = (
+        with_clauses(bool_prefix_strip(calls))
+        .groupBy("usage_id")
+        .agg(
+            *_clause_parts(), *_entity_parts(), F.max("wrapper_type").alias("wrapper_type"), F.max("path").alias("source_file"),
+            F.max(F.concat("cls", F.lit("."), "method")).alias("source_location"),
+        )
+        .withColumn("entity", _entity())
+        .filter(F.size(F.concat(*CLAUSE_KINDS)) > 0)
     )
-    usages = table_name_resolve(entity_infer(stripped).join(places, "usage_id"), entity_tables)
-    made = pseudo_sql_assemble(wrapper_clause_map(stripped), usages)
-    kind = F.when(F.col("wrapper_type").startswith("Lambda"), "LAMBDA_WRAPPER").otherwise("QUERY_WRAPPER")
-    return made.join(usages.select("usage_id", "wrapper_type", "source_file", "source_location"), "usage_id").select(
-        "sql_text", tx.normalize_sql(F.col("sql_text")).alias("sql_normalized"), "sql_type",
-        kind.alias("source_type"), "source_file", "source_location", F.lit(True).alias("has_dynamic"),
+    text, kind = _statement_text()
+    source = F.when(F.col("wrapper_type").startswith("Lambda"), "LAMBDA_WRAPPER").otherwise("QUERY_WRAPPER")
+    return table_name_resolve(rows, entity_tables).select(
+        text.alias("sql_text"), tx.normalize_sql(text).alias("sql_normalized"), kind.alias("sql_type"),
+        source.alias("source_type"), "source_file", "source_location", F.lit(True).alias("has_dynamic"),
     )
