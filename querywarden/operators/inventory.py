@@ -245,10 +245,10 @@ def assess_with_ttl(
     """Instants at which each key is assessed when a result expires 24 h after it was written.
 
     Two assessments of a key are at least 24 h apart, hence at most one falls on a calendar day, and
-    only one of the day before can still be valid. So the days are folded in order: a day's step joins
-    its rows with the assessments of the day before and takes the first due instant per key, a combined
-    minimum whatever share of the rows a key has. Each day's result is a written table. ``days`` are the
-    dates to fold, without gaps; ``state`` (key, assessed_at) holds the assessments of the day before.
+    only those of the same day and the day before can still be valid. So the days are folded in order:
+    a day's step joins its rows with the valid assessments and takes the first due instant per key, a
+    combined minimum whatever share of the rows a key has. Each day's result is a written table.
+    ``days`` are the dates to fold; ``state`` (key, assessed_at) continues an earlier run.
     """
     spark = rows.sparkSession
     source, out = scratch_dir(spark, "ttl-rows"), scratch_dir(spark, "ttl-found")
@@ -256,19 +256,24 @@ def assess_with_ttl(
     daily.write.partitionBy("_day").parquet(source)
     daily = spark.read.schema(daily.schema).parquet(source)
     shape = daily.select(key, F.col("_ts").alias("assessed_at")).schema
-    before = spark.createDataFrame([], shape) if state is None else state
+    valid = spark.createDataFrame([], shape) if state is None else state
     due = F.col("assessed_at").isNull() | (F.col("_ts") >= F.col("assessed_at") + F.lit(timedelta(hours=24)))
+    paths = []
     for day in days:
         hits = (
             daily.filter(F.col("_day") == F.lit(day))
-            .join(before, key, "left")
+            .join(valid, key, "left")
             .filter(due)
             .groupBy(key)
             .agg(F.min("_ts").alias("assessed_at"))
         )
-        hits.write.parquet(f"{out}/day={day.isoformat()}")
-        before = spark.read.schema(shape).parquet(f"{out}/day={day.isoformat()}")
-    return spark.read.schema(shape).parquet(*[f"{out}/day={d.isoformat()}" for d in days])
+        paths.append(f"{out}/day={day.isoformat()}")
+        hits.write.parquet(paths[-1])
+        valid = spark.read.schema(shape).parquet(paths[-1])
+        if state is not None:
+            same_day = state.filter(F.to_date("assessed_at") == F.lit(day))
+            valid = valid.unionByName(same_day).groupBy(key).agg(F.max("assessed_at").alias("assessed_at"))
+    return spark.read.schema(shape).parquet(*paths) if paths else spark.createDataFrame([], shape)
 
 
 def analysis_budget(statements: DataFrame, n: int, batch: str = "project_id") -> DataFrame:
