@@ -13,7 +13,7 @@ ELLIPSIS = "..."
 
 def is_blank(text: Column) -> Column:
     """Null, empty or white space only."""
-    return F.coalesce(text.rlike(r"^\s*$"), F.lit(True))
+    return ~F.coalesce(text.rlike(r"\S"), F.lit(False))
 
 
 def normalize_sql(text: Column) -> Column:

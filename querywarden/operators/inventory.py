@@ -54,8 +54,11 @@ def with_fingerprint(statements: DataFrame) -> DataFrame:
 
 
 def first_occurrence(statements: DataFrame) -> DataFrame:
-    """First statement of each (project, hash) in scan order; blank statements are dropped."""
-    ranked = statements.filter(F.col("sql_hash") != "").withColumn("scan_ord", scan_order(F.col("source_type")))
+    """First statement of each (project, hash) in scan order; blank statements are dropped.
+
+    Blank is tested on the raw text: a test on the hash would be pushed below it and hash every row twice.
+    """
+    ranked = statements.filter(~tx.is_blank(F.col("sql_text"))).withColumn("scan_ord", scan_order(F.col("source_type")))
     order = ["scan_ord", "source_file", "source_location", "stmt_id"]
     return pick_first(ranked, KEY, order).drop("scan_ord")
 

@@ -67,21 +67,28 @@ def literal_value(token: Column) -> Column:
     )
 
 
-def annotation_text(args: Column) -> Column:
-    """SQL of an annotation argument: literals joined by ``+`` as they are, array parts by one space.
+def with_annotation_text(rows: DataFrame) -> DataFrame:
+    """Adds ``sql_text`` from the annotation argument ``args``.
 
-    Anything that is no literal adds nothing; of named arguments only ``value`` counts.
+    Literals joined by ``+`` stand as they are, array parts are parted by one space; anything that is no
+    literal adds nothing, and of named arguments only ``value`` counts. Each step is a column of its own,
+    so that no regular expression is evaluated twice.
     """
     element = f'(\\{{(?:[^"}}]++|{STRING})*+\\}}|(?:[^",]++|{STRING})*+)'
-    named = args.rlike(r"^\s*[A-Za-z_]\w*\s*=")
-    value = F.when(named, _find(args, rf"\bvalue\s*=\s*{element}")).otherwise(args)
-    tokens = _find_all(value, f"{STRING}|,")
-    is_array = value.rlike(r"^\s*\{")
+    named = F.col("args").rlike(r"^\s*[A-Za-z_]\w*\s*=")
+    value = F.when(named, _find("args", rf"\bvalue\s*=\s*{element}")).otherwise(F.col("args"))
     # a comma between array parts becomes a mark no source text holds
-    marked = F.transform(tokens, lambda t: F.when(t == ",", "\x01").otherwise(literal_value(t)))
-    joined = F.array_join(F.filter(marked, lambda m: is_array | (m != "\x01")), "")
-    parts = F.filter(F.transform(F.split(joined, "\x01"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
-    return F.when(is_array, F.array_join(parts, " ")).otherwise(joined)
+    marked = F.transform("tokens", lambda t: F.when(t == ",", "\x01").otherwise(literal_value(t)))
+    kept = F.filter(marked, lambda m: F.col("is_array") | (m != "\x01"))
+    parts = F.transform(F.split("joined", "\x01"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    text = F.when(F.col("is_array"), F.array_join(F.filter(parts, lambda p: p != ""), " ")).otherwise(F.col("joined"))
+    return (
+        rows.withColumn("value", value)
+        .withColumns({"tokens": _find_all("value", f"{STRING}|,"), "is_array": F.col("value").rlike(r"^\s*\{")})
+        .withColumn("joined", F.array_join(kept, ""))
+        .withColumn("sql_text", text)
+        .drop("args", "value", "tokens", "is_array", "joined")
+    )
 
 
 def annotation_sql_extract(files: DataFrame) -> DataFrame:
@@ -93,20 +100,23 @@ def annotation_sql_extract(files: DataFrame) -> DataFrame:
     # the method name is looked ahead, so that each of several annotations on a method finds it
     method = rf"(?=(?:\s*@\w++(?:\s*\({ARGS}\))?)*+[\w<>\[\],.?\s]*?\b([A-Za-z_$][\w$]*+)\s*\()"
     event = rf"\b(?:class|interface)\s+[A-Za-z_]\w*+|{annotation}{method}"
-    code = without_comments(F.col("content"))
-    pairs = F.arrays_zip(_find_all(code, event, 0).alias("event"), _find_all(code, event, 1).alias("name"))
-    events = files.select("path", F.posexplode(pairs).alias("pos", "e")).select("path", "pos", "e.event", "e.name")
+    code = files.select("path", without_comments(F.col("content")).alias("code"))
+    pairs = F.arrays_zip(_find_all("code", event, 0).alias("event"), _find_all("code", event, 1).alias("name"))
+    events = code.select("path", F.posexplode(pairs).alias("pos", "e")).select("path", "pos", "e.event", "e.name")
     above = Window.partitionBy("path").orderBy("pos")
     cls = F.last(_null_if_empty(_find("event", r"^(?:class|interface)\s+(\w+)")), True).over(above)
-    return (
+    found = (
         events.withColumn("cls", F.coalesce(cls, F.lit("Unknown")))
         .filter(F.col("event").startswith("@"))
         .select(
             F.col("path").alias("source_file"),
-            annotation_text(_find("event", rf"^@\w+\s*\(({ARGS})\)")).alias("sql_text"),
+            _find("event", rf"^@\w+\s*\(({ARGS})\)").alias("args"),
             F.upper(_find("event", r"^@(\w+)")).alias("sql_type"),
             F.concat("cls", F.lit("."), "name").alias("source_location"),
         )
+    )
+    return (
+        with_annotation_text(found)
         .filter(~tx.is_blank(F.col("sql_text")))
         .withColumn("sql_normalized", tx.normalize_sql(F.col("sql_text")))
         .withColumn("source_type", F.lit("ANNOTATION"))
@@ -167,20 +177,25 @@ def wrapper_call_extract(files: DataFrame) -> DataFrame:
         return F.transform(found, lambda code, i: F.struct(F.lit(kind).alias("kind"), i.alias("nth"), code.alias("code")))
 
     # creations: "new X<T>(..)" with its chain, or a factory assigned to a declared builder
-    news = _find_all(chunk, create)
-    is_made = chunk.rlike(declared) & chunk.rlike(factory) & (F.size(news) == 0)
+    is_new = F.contains(chunk, F.lit("new ")) | F.contains(chunk, F.lit("new\t"))
+    chunks = chunks.select(
+        *key, "pos", "chunk",
+        F.when(is_new, _find_all(chunk, create)).otherwise(none).alias("news"),
+        # chains on plain names, also one level down in the arguments of another call
+        _find_all(chunk, on_var).alias("outer"),
+    )
+    is_made = (F.size("news") == 0) & F.contains(chunk, F.lit("Wrapper")) & chunk.rlike(declared) & chunk.rlike(factory)
     made = F.when(is_made, F.array(chunk)).otherwise(none)
-    # chains on plain names, also one level down in the arguments of another call
-    outer = _find_all(chunk, on_var)
-    inner = F.flatten(F.transform(outer, lambda code: _find_all(F.regexp_extract(code, on_var, 2), on_var)))
-    every = F.concat(codes("new", news), codes("made", made), codes("use", F.concat(outer, inner)))
+    inner = F.flatten(F.transform("outer", lambda code: _find_all(F.regexp_extract(code, on_var, 2), on_var)))
+    every = F.concat(codes("new", F.col("news")), codes("made", made), codes("use", F.concat("outer", inner)))
     found = chunks.select(*key, "pos", "chunk", F.explode(every).alias("e")).select(*key, "pos", "chunk", "e.*")
 
     kind, code = F.col("kind"), F.col("code")
     by_kind = lambda new, made, use: F.when(kind == "new", new).when(kind == "made", made).otherwise(use)
     nothing = F.lit(None).cast("string")
     generic = lambda text: _null_if_empty(F.regexp_extract(text, r"^<\s*(\w+)", 1))
-    holder = _null_if_empty(_find(chunk, rf"([A-Za-z_]\w*+)\s*=\s*{create}\s*;$"))
+    found = found.withColumn("holder", F.when(kind == "new", _null_if_empty(_find(chunk, rf"([A-Za-z_]\w*+)\s*=\s*{create}\s*;$"))))
+    holder = F.col("holder")
     declared_generic = generic(_find(chunk, declared, 2))
     new_entity = F.coalesce(generic(_find(code, create, 2)), F.when(holder.isNotNull(), declared_generic))
     born = F.concat_ws("#", *key, F.col("pos").cast("string"), F.col("nth").cast("string"))

@@ -167,17 +167,20 @@ def with_table_refs(statements: DataFrame, sql: str = "sql_normalized") -> DataF
 def resolve_names(names: DataFrame, meta: DataFrame) -> DataFrame:
     """(table_ref) to ``table_ref, base_table, ...meta``: exact name first, else without a shard suffix.
 
-    Works on distinct names, so it costs the number of tables and not the number of statements.
+    Both candidates of a name are looked up in one join, so the metadata is read once. Works on distinct names, so it costs the number of tables and not the number of statements.
     """
-    lower = names.select("table_ref", F.lower("table_ref").alias("_exact"), tx.shard_base(F.col("table_ref")).alias("_base"))
     details = [c for c in meta.columns if c != "table_name"]
-    packed = meta.select(F.lower("table_name").alias("_name"), F.struct("table_name", *details).alias("_meta"))
-    exact = lower.join(packed.withColumnRenamed("_meta", "_m1"), F.col("_exact") == F.col("_name"), "left").drop("_name")
-    both = exact.join(packed.withColumnRenamed("_meta", "_m2"), F.col("_base") == F.col("_name"), "left")
-    hit = F.coalesce("_m1", "_m2")
-    return both.select(
-        "table_ref", hit["table_name"].alias("base_table"), *[hit[c].alias(c) for c in details]
+    options = F.array(
+        F.struct(F.lit(0).alias("rank"), F.lower("table_ref").alias("_name")),
+        F.struct(F.lit(1).alias("rank"), tx.shard_base(F.col("table_ref")).alias("_name")),
     )
+    wanted = names.select("table_ref", F.inline(options)).filter(F.col("_name").isNotNull())
+    packed = meta.select(F.lower("table_name").alias("_name"), F.struct("table_name", *details).alias("m"))
+    best = wanted.join(packed, "_name").groupBy("table_ref").agg(F.min(F.struct("rank", "m")).alias("b"))
+    found = best.select(
+        "table_ref", F.col("b.m.table_name").alias("base_table"), *[F.col(f"b.m.{c}").alias(c) for c in details]
+    )
+    return names.join(found, "table_ref", "left")
 
 
 def reference_sets(statements: DataFrame) -> DataFrame:
@@ -189,8 +192,8 @@ def reference_sets(statements: DataFrame) -> DataFrame:
 def resolve_sets(statements: DataFrame, meta: DataFrame) -> DataFrame:
     """``table_refs, pos, table_ref, base_table, ...`` for every distinct reference set."""
     sets = reference_sets(statements)
-    names = resolve_names(sets.select("table_ref").distinct(), meta)
-    return sets.join(names, "table_ref").filter(F.col("base_table").isNotNull())
+    names = resolve_names(sets.select("table_ref").distinct(), meta).filter(F.col("base_table").isNotNull())
+    return sets.join(names, "table_ref")
 
 
 def _context_block(rows: Column, ddl: Column, stats: Column, ref: Column, base: Column) -> Column:

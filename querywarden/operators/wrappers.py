@@ -100,17 +100,17 @@ def with_clauses(calls: DataFrame) -> DataFrame:
 
     Kinds: condition, select, order, group, having, set, last.
     """
-    name, args = F.col("call_name"), F.col("args")
-    first = F.get(args, F.lit(0))
+    calls = calls.withColumn("_first", F.get("args", F.lit(0))).withColumn("_columns", F.transform("args", resolve_column))
+    name, args, first = F.col("call_name"), F.col("args"), F.col("_first")
+    first_column = F.get("_columns", F.lit(0))
     template = F.create_map(*[F.lit(x) for pair in CONDITIONS.items() for x in pair])[name]
-    condition = F.when(first.isNotNull(), F.replace(template, F.lit("{}"), resolve_column(first)))
+    condition = F.when(first.isNotNull(), F.replace(template, F.lit("{}"), first_column))
     sub_query = F.when(first.isNull(), "?").otherwise(F.coalesce(_raw_sql(first), F.lit("?")))
     exists = F.concat(F.when(name == "notExists", "NOT EXISTS (").otherwise("EXISTS ("), sub_query, F.lit(")"))
-    columns = F.transform(args, resolve_column)
-    known = F.filter(columns, lambda c: c != UNKNOWN_COLUMN)
+    known = F.filter("_columns", lambda c: c != UNKNOWN_COLUMN)
     direction = F.when(F.contains(name, F.lit("Desc")), " DESC").otherwise(" ASC")
-    sortable = F.filter(args, lambda a: ~a.isin("true", "false"))
-    ordered = F.transform(sortable, lambda a: F.concat(resolve_column(a), direction))
+    pairs = F.filter(F.arrays_zip(args.alias("a"), F.col("_columns").alias("c")), lambda p: ~p["a"].isin("true", "false"))
+    ordered = F.transform(pairs, lambda p: F.concat(p["c"], direction))
     one = lambda c: F.when(c.isNotNull(), F.array(c)).otherwise(F.array().cast("array<string>"))
     last = F.when(first.rlike(IS_LITERAL), literal_value(first))
     kinds = (
@@ -125,12 +125,16 @@ def with_clauses(calls: DataFrame) -> DataFrame:
         F.when(name.isin(*CONDITIONS), one(condition))
         .when(name.isin("exists", "notExists"), one(exists))
         .when(name.isin("apply", "setSql", "having"), one(_raw_sql(first)))
-        .when(name == "set", one(F.when(first.isNotNull(), F.concat(resolve_column(first), F.lit(" = ?")))))
+        .when(name == "set", one(F.when(first.isNotNull(), F.concat(first_column, F.lit(" = ?")))))
         .when(name.isin("select", "groupBy"), known)
         .when(name == "last", one(last))
         .otherwise(ordered)
     )
-    return calls.withColumn("kind", kinds).withColumn("fragments", F.when(F.col("kind").isNotNull(), fragments))
+    return (
+        calls.withColumn("kind", kinds)
+        .withColumn("fragments", F.when(F.col("kind").isNotNull(), fragments))
+        .drop("_first", "_columns")
+    )
 
 
 def wrapper_clause_map(calls: DataFrame) -> DataFrame:

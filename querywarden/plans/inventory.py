@@ -11,6 +11,7 @@ from querywarden.operators import changes, inventory as inv
 from querywarden.plans.inputs import Inputs
 from querywarden.plans.oracle_parts import FP, LATEST, NORM, SCANS, first_of
 from querywarden.plans.registry import query
+from querywarden.session import cut_lineage
 
 INV_COLS = ["id", "project_id", "sql_hash", "sql_text", "source_file", "source_location"]
 
@@ -20,12 +21,13 @@ def fingerprinted(inp: Inputs):
 
 
 def existing_inventory(inp: Inputs):
-    """Active records of an earlier scan (scan 1); the record id is the first statement's id."""
+    """Active records of an earlier scan (scan 1), a stored table; the id is that of the first statement."""
     kept = inv.first_occurrence(fingerprinted(inp).filter("o_custkey % 7 <> 0"))
     one = F.lit(1).cast("long")
-    return kept.withColumnRenamed("stmt_id", "id").select(
+    rows = kept.withColumnRenamed("stmt_id", "id").select(
         *INV_COLS, F.lit(1).alias("status"), one.alias("first_scan_id"), one.alias("last_scan_id")
     )
+    return cut_lineage(rows, "inventory")
 
 
 def current_scan(inp: Inputs):
@@ -86,7 +88,7 @@ from scan s anti join inv i on s.project_id = i.project_id and s.sql_hash = i.sq
 
 
 def full_upserted(inp: Inputs):
-    return inv.full_scan_upsert(existing_inventory(inp), current_scan(inp), 2)
+    return inv.full_scan_upsert(existing_inventory(inp), cut_lineage(current_scan(inp), "scan"), 2)
 
 
 @query("full_scan_upsert", "select * from upserted", FULL)
@@ -139,7 +141,8 @@ def incremental_scan_upsert(inp):
     changed = inp.sql(CHANGED)
     touched = changed.filter("change_type <> 'DELETE'").select("project_id", "source_file").distinct()
     part = fingerprinted(inp).filter("o_custkey % 5 <> 0").join(touched, ["project_id", "source_file"], "left_semi")
-    out = inv.incremental_scan_upsert(existing_inventory(inp), inv.first_occurrence(part), changed, 3)
+    scan = cut_lineage(inv.first_occurrence(part), "scan")
+    out = inv.incremental_scan_upsert(existing_inventory(inp), scan, changed, 3)
     return out.drop("sql_text", "source_location")
 
 
