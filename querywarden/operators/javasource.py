@@ -38,8 +38,11 @@ NOT_METHODS = "if|for|while|switch|catch|synchronized|try|else|do|return|new"
 
 
 def without_comments(content: Column) -> Column:
-    """Java text without comments; comment marks inside literals stay."""
-    return F.regexp_replace(content, f"({STRING})|{COMMENT}", "$1")
+    """Java text without comments; comment marks inside literals stay.
+
+    Text up to the next comment is matched as one piece, so the search does not start at every character.
+    """
+    return F.regexp_replace(content, f'((?:[^"/]++|{STRING}|/(?![/*])|")++)|{COMMENT}', "$1")
 
 
 def _find(text: Column | str, pattern: str, group: int = 1) -> Column:
@@ -143,10 +146,11 @@ def code_chunks(files: DataFrame) -> DataFrame:
     chunks = files.select(
         "path", F.posexplode(_find_all(without_comments(F.col("content")), f'(?:[^;{{}}"]++|{STRING})*+[;{{}}]')).alias("pos", "chunk")
     )
-    cls = _null_if_empty(_find("chunk", r"\b(?:class|interface|enum)\s+([A-Za-z_]\w*)[^;]*\{$"))
+    opens = F.endswith("chunk", F.lit("{"))
+    cls = F.when(opens, _null_if_empty(_find("chunk", r"\b(?:class|interface|enum)\s+([A-Za-z_]\w*)[^;]*\{$")))
     header = rf"(?:^|[\s>\]])(?!(?:{NOT_METHODS})\b)([A-Za-z_$][\w$]*)\s*\({ARGS}\)\s*(?:throws\s+[\w.,\s]+)?\{{$"
     is_header = ~F.col("chunk").rlike(r"=|->|\bnew\s|^\s*[.})]|\belse\b") & ~F.col("chunk").rlike(rf"\b(?:{NOT_METHODS})\s*\(")
-    method = F.when(is_header, _null_if_empty(_find("chunk", header)))
+    method = F.when(opens, F.when(is_header, _null_if_empty(_find("chunk", header))))
     above = Window.partitionBy("path").orderBy("pos")
     return (
         chunks.withColumn("cls", F.last(cls, True).over(above))
