@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from querywarden.functions import text as tx
+from querywarden.operators.lookups import salted_lookup
 from querywarden.operators.metadata import resolve_sets
 
 ASSESSMENT = T.StructType(
@@ -98,14 +99,15 @@ def rule_issues(statements: DataFrame) -> DataFrame:
     return statements.withColumn("issues", F.array_compact(F.array(*flags)))
 
 
-def with_table_facts(statements: DataFrame, meta: DataFrame, stats: DataFrame) -> DataFrame:
+def with_table_facts(statements: DataFrame, meta: DataFrame, stats: DataFrame, id_col: str = "stmt_id") -> DataFrame:
     """Adds ``table_rows`` and ``best_selectivity``, the largest over the tables a statement names."""
     best = stats.groupBy("table_name").agg(F.max("selectivity").alias("_sel"))
     known = meta.select("table_name", "estimated_rows").join(best, "table_name", "left")
     facts = resolve_sets(statements, known).groupBy("table_refs").agg(
         F.max("estimated_rows").alias("table_rows"), F.max("_sel").alias("best_selectivity")
     )
-    return statements.join(facts, "table_refs", "left").withColumn("table_rows", F.coalesce("table_rows", F.lit(0)))
+    known_facts = salted_lookup(statements, facts, ["table_refs"], id_col)
+    return known_facts.withColumn("table_rows", F.coalesce("table_rows", F.lit(0)))
 
 
 def risk_level(issues: Column, rows: Column, selectivity: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querywarden.functions import text as tx
+from querywarden.operators.lookups import salted_lookup
 
 
 def location_keys(location: Column) -> Column:
@@ -68,12 +69,9 @@ def exemption_match(statements: DataFrame, rules: DataFrame) -> DataFrame:
     """
     by_class = class_rule(statements, rules).withColumnRenamed("_rule", "_class_rule")
     by_table = table_rule(statements, rules).withColumnRenamed("_rule", "_table_rule")
-    return (
-        statements.join(by_class, ["source_location", "project_id"], "left")
-        .join(by_table, ["table_refs", "project_id"], "left")
-        .withColumn("rule_id", F.least("_class_rule", "_table_rule"))
-        .drop("_class_rule", "_table_rule")
-    )
+    placed = salted_lookup(statements, by_class, ["source_location", "project_id"], "stmt_id")
+    ruled = salted_lookup(placed, by_table, ["table_refs", "project_id"], "stmt_id")
+    return ruled.withColumn("rule_id", F.least("_class_rule", "_table_rule")).drop("_class_rule", "_table_rule")
 
 
 def drop_exempt(statements: DataFrame, rules: DataFrame) -> DataFrame:

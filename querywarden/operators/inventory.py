@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querywarden.functions import text as tx
+from querywarden.operators.lookups import salted_lookup
 from querywarden.operators.ranking import number_by_hash, pick_first, pick_last, top_n
 from querywarden.session import scratch_dir
 
@@ -134,7 +135,7 @@ def incremental_scan_upsert(inventory: DataFrame, scan: DataFrame, changes: Data
     )
     seen = scan.select(*KEY, F.lit(True).alias("_seen"))
     judged = (
-        active.join(marks, ["project_id", "source_file"], "left")
+        salted_lookup(active, marks, ["project_id", "source_file"], "id")
         .join(seen, KEY, "left")
         .withColumn(
             "change",
@@ -162,7 +163,7 @@ def retire_by_deleted_file(records: DataFrame, deleted: DataFrame) -> DataFrame:
     gone = deleted.select("project_id", "source_file", F.lit(True).alias("_gone")).distinct()
     hit = F.coalesce(F.col("_gone") & (F.col("status") == 1), F.lit(False))
     return (
-        records.join(gone, ["project_id", "source_file"], "left")
+        salted_lookup(records, gone, ["project_id", "source_file"], "id")
         .withColumn("retired_now", hit)
         .withColumn("status", F.when(F.col("retired_now"), 0).otherwise(F.col("status")))
         .drop("_gone")
@@ -214,7 +215,7 @@ def reuse_prior_analysis(records: DataFrame, analyses: DataFrame) -> DataFrame:
         "prior_record_id", "final_risk_level", "ai_model"
     )
     known = priors.join(best, "prior_record_id")
-    return todo.join(known, "sql_hash").select(
+    return salted_lookup(todo, known, ["sql_hash"], "record_id", "inner").select(
         F.col("record_id").alias("sql_record_id"),
         "prior_record_id",
         "final_risk_level",
@@ -264,8 +265,7 @@ def assess_with_ttl(
     paths = []
     for day in days:
         hits = (
-            daily.filter(F.col("_day") == F.lit(day))
-            .join(valid, key, "left")
+            salted_lookup(daily.filter(F.col("_day") == F.lit(day)), valid, [key], "_ts")
             .filter(due)
             .groupBy(key)
             .agg(F.min("_ts").alias("assessed_at"))

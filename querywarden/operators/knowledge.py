@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querywarden.functions import text as tx
+from querywarden.operators.lookups import salted_lookup
 from querywarden.operators.metadata import reference_sets
 from querywarden.operators.ranking import top_n
 
@@ -180,7 +181,7 @@ def retrieve_context(statements: DataFrame, entries: DataFrame, hits: DataFrame)
     parts = F.concat(F.coalesce("exact", none), F.coalesce("near", none))
     text = F.when(F.size(parts) > 0, F.concat(F.lit(f"{CONTEXT_TITLE}\n\n"), F.array_join(parts, "\n\n"))).otherwise("")
     return (
-        statements.join(exact, "table_refs", "left")
+        salted_lookup(statements, exact, ["table_refs"], "stmt_id")
         .join(near, "stmt_id", "left")
         .withColumn("knowledge_context", text)
         .drop("exact", "near")

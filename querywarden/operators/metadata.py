@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from querywarden.functions import ddltext as dt
 from querywarden.functions import text as tx
+from querywarden.operators.lookups import salted_lookup
 
 # Headings of the table context.
 CONTEXT_TITLE = "## 相关表结构（自动检索）"
@@ -206,7 +207,7 @@ def _context_block(rows: Column, ddl: Column, stats: Column, ref: Column, base:
     return F.concat(F.lit("### "), title, note, F.lit("\n```sql\n"), body, F.lit("\n```"))
 
 
-def ddl_context(statements: DataFrame, meta: DataFrame) -> DataFrame:
+def ddl_context(statements: DataFrame, meta: DataFrame, id_col: str = "stmt_id") -> DataFrame:
     """Statements with ``ddl_context``, the text on all tables they name, '' when none is known.
 
     ``statements`` has ``table_refs``; ``meta`` is ``table_name, estimated_rows, ddl_text, index_stats``.
@@ -224,7 +225,7 @@ def ddl_context(statements: DataFrame, meta: DataFrame) -> DataFrame:
         ).alias("_body")
     )
     text = F.when(F.col("_body").isNotNull(), F.concat(F.lit(f"{CONTEXT_TITLE}\n\n"), F.col("_body"))).otherwise("")
-    return statements.join(texts, "table_refs", "left").withColumn("ddl_context", text).drop("_body")
+    return salted_lookup(statements, texts, ["table_refs"], id_col).withColumn("ddl_context", text).drop("_body")
 
 
 def affected_statements(statements: DataFrame, changed_tables: DataFrame) -> DataFrame:

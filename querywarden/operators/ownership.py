@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from querywarden.functions import text as tx
 from querywarden.operators.inventory import latest_analysis
+from querywarden.operators.lookups import salted_lookup
 from querywarden.operators.ranking import pick_last
 
 # Wording of notices.
@@ -41,8 +42,7 @@ def fill_missing_owners(
     if project_id is not None:
         missing = missing & (F.col("project_id") == project_id)
     return (
-        records.withColumn("filled", missing)
-        .join(by_file, "source_file", "left")
+        salted_lookup(records.withColumn("filled", missing), by_file, ["source_file"], "id")
         .withColumn("owner", F.when(F.col("filled"), F.coalesce("_file_owner", F.lit(default_owner))).otherwise(F.col("owner")))
         .drop("_file_owner")
     )

@@ -84,7 +84,7 @@ where v.base_table is not null group by r.id""",
 
 def records_with_context(inp: Inputs):
     rows = md.with_table_refs(inp.get("sql_records"), sql="sql_text")
-    return md.ddl_context(rows, full_meta(inp))
+    return md.ddl_context(rows, full_meta(inp), "id")
 
 
 @query(

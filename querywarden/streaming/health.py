@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querywarden.operators.assessment import COOLDOWN, FAILURE_THRESHOLD
+from querywarden.operators.lookups import salted_lookup
 
 SUMMARY = "provider long, has_success boolean, tail bigint, last_failure timestamp_ntz, batch long"
 
@@ -22,7 +23,7 @@ def summarize(calls: DataFrame) -> DataFrame:
     ends = calls.groupBy("provider").agg(F.max(F.when(F.col("ok") == 1, at)).alias("_success"))
     after = (F.col("ok") == 0) & (F.col("_success").isNull() | (at > F.col("_success")))
     return (
-        calls.join(ends, "provider")
+        salted_lookup(calls, ends, ["provider"], "event_id", "inner")
         .groupBy("provider")
         .agg(
             F.max(F.col("_success").isNotNull()).alias("has_success"),
