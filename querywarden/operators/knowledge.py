@@ -153,12 +153,16 @@ def vector_topk(
     return top_n(partial, ["query_id"], order, k, "entry_id")
 
 
-def retrieve_context(statements: DataFrame, entries: DataFrame, hits: DataFrame) -> DataFrame:
+def retrieve_context(
+    statements: DataFrame, entries: DataFrame, hits: DataFrame, base: DataFrame | None = None
+) -> DataFrame:
     """Statements with ``knowledge_context``: entries by table, then similar ones not among them.
 
-    ``statements`` has ``stmt_id, table_refs``; ``hits`` is (query_id = stmt_id, entry_id, rank).
+    ``statements`` has ``stmt_id, table_refs``; ``hits`` is (query_id = stmt_id, entry_id, rank). ``base``
+    are the same statements before costly columns were added, so that those are not computed again.
     """
-    pairs = knowledge_by_table(statements, entries)
+    plain = statements if base is None else base
+    pairs = knowledge_by_table(plain, entries)
     snippet = tx.truncate_ellipsis(F.col("content"), SNIPPET, "")
     exact_text = F.format_string(
         f"- **[%s] %s** ({TABLES_SHORT}%s): %s", "knowledge_type", "title", "related_tables", snippet
@@ -170,7 +174,7 @@ def retrieve_context(statements: DataFrame, entries: DataFrame, hits: DataFrame)
     near_text = F.format_string("- **[%s] %s**: %s", "knowledge_type", "title", tx.truncate_ellipsis(document_text(), SNIPPET, ""))
     near_rows = (
         hits.select(F.col("query_id").alias("stmt_id"), "entry_id", "rank")
-        .join(statements.select("stmt_id", "table_refs"), "stmt_id")
+        .join(plain.select("stmt_id", "table_refs"), "stmt_id")
         .join(pairs, ["table_refs", "entry_id"], "left_anti")
         .join(entries.select(F.col("id").alias("entry_id"), near_text.alias("part")), "entry_id")
     )

@@ -11,7 +11,7 @@ from querywarden.operators import assessment as am
 from querywarden.operators import inventory as inv
 from querywarden.operators import knowledge as kn
 from querywarden.operators import metadata as md
-from querywarden.plans.enrichment import PAIRS
+from querywarden.plans.enrichment import RETRIEVED, top_hits
 from querywarden.plans.inputs import Inputs
 from querywarden.plans.metadata import CONTEXT, REFS_OF, RESOLVE, STATS, full_meta, referenced, stats_of
 from querywarden.plans.registry import query
@@ -24,24 +24,17 @@ select concat('KEY_', r_name) as template_key, concat('Type %s | at %s | sql %s
 
 
 def prompt_rows(inp: Inputs):
-    with_ddl = md.ddl_context(referenced(inp), full_meta(inp))
-    no_hits = inp.table("embeddings").select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("entry_id"), F.lit(1).alias("rank")).filter("query_id < 0")
-    return kn.retrieve_context(with_ddl, inp.get("knowledge_entries"), no_hits)
+    base = referenced(inp)
+    return kn.retrieve_context(md.ddl_context(base, full_meta(inp)), inp.get("knowledge_entries"), top_hits(inp), base)
 
 
 @query(
     "prompt_assemble",
     """select f.stmt_id, md5(concat('Type ', sql_type, ' at ', source_location, chr(10), '```sql', chr(10), sql_normalized, chr(10), '```', chr(10), chr(10),
-  c.ddl_context, chr(10), chr(10), coalesce(x.body, ''), chr(10), chr(10), 'Grade the risk from P0 to P4.')) as prompt_md5
-from fp f join context c using (stmt_id) left join exact x using (stmt_id)""",
-    {
-        **CONTEXT,
-        **PAIRS,
-        "exact": """
-select s.stmt_id, concat('## 相关业务知识（RAG 检索）', chr(10), chr(10), string_agg(concat('- **[', knowledge_type, '] ', title, '** (表: ', related_tables, '): ',
-  case when length(content) > 500 then concat(left(content, 500), '...') else content end), concat(chr(10), chr(10)) order by p.entry_id)) as body
-from refs_of s join pairs p on p.refs = s.refs join knowledge_entries e on e.id = p.entry_id group by s.stmt_id""",
-    },
+  c.ddl_context, chr(10), chr(10), case when b.body is null then '' else concat('## 相关业务知识（RAG 检索）', chr(10), chr(10), b.body) end,
+  chr(10), chr(10), 'Grade the risk from P0 to P4.')) as prompt_md5
+from fp f join context c using (stmt_id) left join bodies b using (stmt_id)""",
+    {**CONTEXT, **RETRIEVED},
 )
 def prompt_assemble(inp):
     out = am.prompt_assemble(prompt_rows(inp), inp.sql(TEMPLATES), "MISSING", TEMPLATE)

@@ -137,10 +137,7 @@ def vector_topk(inp):
     return hits.withColumn("similarity", F.round("similarity", 6)).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(
-    "retrieve_context",
-    """select f.stmt_id, md5(case when b.body is null then '' else concat('## 相关业务知识（RAG 检索）', chr(10), chr(10), b.body) end) as context_md5 from fp f left join bodies b using (stmt_id)""",
-    {
+RETRIEVED = {
         **PAIRS,
         **HITS,
         "parts": f"""
@@ -153,7 +150,13 @@ select s.stmt_id, 1, t.rank, concat('- **[', knowledge_type, '] ', title, '**: '
 from topk t join refs_of s on s.stmt_id = t.query_id join knowledge_entries e on e.id = t.entry_id
 where not exists (select 1 from pairs p where p.refs = s.refs and p.entry_id = t.entry_id)""",
         "bodies": "select stmt_id, string_agg(part, concat(chr(10), chr(10)) order by kind, ord) as body from parts group by stmt_id",
-    },
+    }
+
+
+@query(
+    "retrieve_context",
+    """select f.stmt_id, md5(case when b.body is null then '' else concat('## 相关业务知识（RAG 检索）', chr(10), chr(10), b.body) end) as context_md5 from fp f left join bodies b using (stmt_id)""",
+    RETRIEVED,
 )
 def retrieve_context(inp):
     out = kn.retrieve_context(referenced(inp), inp.get("knowledge_entries"), top_hits(inp))
