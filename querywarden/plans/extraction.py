@@ -51,7 +51,7 @@ def ddl_export_load(inp):
   'SELECT' as sql_type, true as has_dynamic, unnest(['SELECT p_name, p_size FROM part WHERE p_size = ? AND p_brand = ?', 'SELECT p_name, p_size FROM part']) as sql_text from part""",
 )
 def mapper_statement_extract(inp):
-    out = mx.mapper_statement_extract(inp.get("mapper_xml"))
+    out = mx.mapper_statement_extract(inp.get("mapper_xml", spread=True))
     return out.select("source_file", "source_location", "sql_type", "has_dynamic", "sql_text")
 
 
@@ -85,12 +85,12 @@ from part"""
 from part where p_partkey % 10 not in (8, 9)""",
 )
 def dynamic_sql_expand(inp):
-    return mx.mapper_statement_extract(inp.sql(DYNAMIC_XML)).select("source_file", "sql_text", "has_dynamic")
+    return mx.mapper_statement_extract(inp.sql(DYNAMIC_XML, spread=True)).select("source_file", "sql_text", "has_dynamic")
 
 
 @query("mapper_rejects", "select concat('P', p_partkey::varchar, '.xml') as path from part where p_partkey % 10 = 9")
 def mapper_rejects(inp):
-    return mx.mapper_rejects(inp.sql(DYNAMIC_XML)).select("path")
+    return mx.mapper_rejects(inp.sql(DYNAMIC_XML, spread=True)).select("path")
 
 
 ANNOTATED = r"""
@@ -112,7 +112,7 @@ from part"""
   {sql_type: 'INSERT', source_location: 'B.ins', sql_normalized: 'INSERT INTO part VALUES (?)'}] as r from part)""",
 )
 def annotation_sql_extract(inp):
-    return js.annotation_sql_extract(inp.sql(ANNOTATED)).select("source_file", "sql_type", "source_location", "sql_normalized")
+    return js.annotation_sql_extract(inp.sql(ANNOTATED, spread=True)).select("source_file", "sql_type", "source_location", "sql_normalized")
 
 
 ENTITIES = """
@@ -127,7 +127,7 @@ from part"""
 from part where p_partkey % 3 <> 2 group by 1""",
 )
 def entity_table_map(inp):
-    return js.entity_table_map(inp.sql(ENTITIES))
+    return js.entity_table_map(inp.sql(ENTITIES, spread=True))
 
 
 BUILDERS = r"""
@@ -144,7 +144,7 @@ from part"""
 
 
 def builder_calls(inp: Inputs):
-    return js.wrapper_call_extract(inp.sql(BUILDERS))
+    return js.wrapper_call_extract(inp.sql(BUILDERS, spread=True))
 
 
 @query(
@@ -171,7 +171,7 @@ union all select concat('src/S', p_partkey::varchar, '.java'), concat('Svc', (p_
   'UPDATE t_supplier SET acct_bal = ? WHERE supp_key = ?' from part""",
 )
 def wrapper_statements(inp):
-    files = inp.sql(BUILDERS)
+    files = inp.sql(BUILDERS, spread=True)
     out = wr.wrapper_statements(js.wrapper_call_extract(files), js.entity_table_map(files))
     return out.select("source_file", "source_location", "source_type", "sql_type", "sql_text")
 
@@ -189,7 +189,7 @@ from (select *, {COL} as c from wrapper_calls)"""
 
 
 def single_arg_calls(inp: Inputs):
-    return inp.get("wrapper_calls").withColumn("args", F.array("arg0"))
+    return inp.get("wrapper_calls", spread=True).withColumn("args", F.array("arg0"))
 
 
 @query("wrapper_clause_map", "select usage_id, seq, kind, fragment from clauses", CLAUSES)
@@ -229,7 +229,7 @@ union all select usage_id, seq, '', case seq % 6 when 0 then 'true' when 1 then
 def bool_prefix_strip(inp):
     six = F.array(*[F.lit(x) for x in ("true", "a != null", "!flag", "(a)", "ok(a)", "flag")])
     lead = F.element_at(six, (F.col("seq") % 6).cast("int") + 1)
-    calls = inp.get("wrapper_calls").withColumn("lead", lead).withColumn("args", F.array("lead", "arg0", F.lit("v")))
+    calls = inp.get("wrapper_calls", spread=True).withColumn("lead", lead).withColumn("args", F.array("lead", "arg0", F.lit("v")))
     return wr.bool_prefix_strip(calls).select(
         "usage_id", "seq", F.when(F.col("is_dynamic"), F.col("lead")).otherwise("").alias("dropped"),
         F.element_at("args", 1).alias("first_arg"), "is_dynamic",
@@ -238,7 +238,7 @@ def bool_prefix_strip(inp):
 
 @query("column_name_resolve", f"select usage_id, seq, {COL} as col from wrapper_calls")
 def column_name_resolve(inp):
-    return inp.get("wrapper_calls").select("usage_id", "seq", wr.resolve_column(F.col("arg0")).alias("col"))
+    return inp.get("wrapper_calls", spread=True).select("usage_id", "seq", wr.resolve_column(F.col("arg0")).alias("col"))
 
 
 USAGE_ENTITIES = """
@@ -256,7 +256,7 @@ def entity_infer(inp):
     constant = F.concat(F.lit("Const"), (F.col("seq") % 3).cast("string"), F.lit(".COUNTRY_ID"))
     arg = F.when(F.col("arg0") == "COUNTRY_ID", constant).otherwise(F.col("arg0"))
     calls = (
-        inp.get("wrapper_calls")
+        inp.get("wrapper_calls", spread=True)
         .withColumn("declared_entity", F.when(F.col("usage_id") % 5 == 0, "Declared"))
         .withColumn("wrapper_type", F.when(F.col("usage_id") % 2 == 0, "LambdaQueryWrapper").otherwise("QueryWrapper"))
         .withColumn("args", F.array(F.lit("Objects.X"), arg))

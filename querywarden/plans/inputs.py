@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from querywarden.sources.tables import spread_small
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -135,24 +137,30 @@ def sources_of(sql: str) -> tuple[list[str], list[str]]:
 
 
 class Inputs:
-    """Driver tables and derived inputs of one scale factor folder."""
+    """Driver tables and derived inputs of one scale factor folder; each is read and analysed once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._known: dict[tuple[str, bool], DataFrame] = {}
 
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+    def table(self, name: str, spread: bool = False) -> DataFrame:
+        """A driver table; ``spread`` is for work that is heavy per row, see ``spread_small``."""
+        if (name, spread) not in self._known:
+            df = self.table(name) if spread else self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            self._known[name, spread] = spread_small(df) if spread else df
+        return self._known[name, spread]
 
-    def sql(self, text: str) -> DataFrame:
+    def sql(self, text: str, spread: bool = False) -> DataFrame:
         tables, derived = sources_of(text)
-        for name in tables:
-            self.table(name).createOrReplaceTempView(name)
-        for name in derived:
-            self.get(name).createOrReplaceTempView(name)
+        frames = {n: self.table(n, spread) for n in tables} | {n: self.get(n, spread) for n in derived}
+        for name, df in frames.items():
+            df.createOrReplaceTempView(name)
         return self.spark.sql(text)
 
-    def get(self, name: str) -> DataFrame:
-        return self.sql(DERIVED[name])
+    def get(self, name: str, spread: bool = False) -> DataFrame:
+        if (name, spread) not in self._known:
+            self._known[name, spread] = self.sql(DERIVED[name], spread)
+        return self._known[name, spread]
 
 
 def with_inputs(sql: str, extra: dict[str, str] | None = None) -> str:

@@ -17,7 +17,7 @@ INV_COLS = ["id", "project_id", "sql_hash", "sql_text", "source_file", "source_l
 
 
 def fingerprinted(inp: Inputs):
-    return inv.with_fingerprint(inp.get("statements"))
+    return inv.with_fingerprint(inp.get("statements", spread=True))
 
 
 def existing_inventory(inp: Inputs):

@@ -180,7 +180,7 @@ REFS_OF = {**FP, "refs_of": f"select stmt_id, project_id, q, {REFS} as refs from
 
 
 def referenced(inp: Inputs):
-    return md.with_table_refs(inv.with_fingerprint(inp.get("statements")))
+    return md.with_table_refs(inv.with_fingerprint(inp.get("statements", spread=True)))
 
 
 @query(
