@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from querywarden.functions import text as tx
-from querywarden.operators.lookups import salted_lookup
+from querywarden.operators.lookups import keep_if, salted_lookup
 from querywarden.operators.metadata import resolve_sets
 
 ASSESSMENT = T.StructType(
@@ -77,7 +77,7 @@ def assessment_parse(responses: DataFrame) -> DataFrame:
 def assessment_to_analysis(parsed: DataFrame) -> DataFrame:
     """Analysis rows; suggestion lists become JSON text and the final level is the assessed one."""
     a = F.col("assessment")
-    return parsed.filter(a.isNotNull()).select(
+    return keep_if(parsed, "assessment", a.isNotNull()).select(
         *[c for c in parsed.columns if c not in ("assessment", "response")],
         a["riskLevel"].alias("ai_risk_level"),
         a["explanation"].alias("ai_analysis"),

@@ -106,24 +106,25 @@ def annotation_sql_extract(files: DataFrame) -> DataFrame:
     code = files.select("path", without_comments(F.col("content")).alias("code"))
     pairs = F.arrays_zip(_find_all("code", event, 0).alias("event"), _find_all("code", event, 1).alias("name"))
     events = code.select("path", F.posexplode(pairs).alias("pos", "e")).select("path", "pos", "e.event", "e.name")
-    above = Window.partitionBy("path").orderBy("pos")
-    cls = F.last(_null_if_empty(_find("event", r"^(?:class|interface)\s+(\w+)")), True).over(above)
-    found = (
-        events.withColumn("cls", F.coalesce(cls, F.lit("Unknown")))
-        .filter(F.col("event").startswith("@"))
-        .select(
-            F.col("path").alias("source_file"),
+    # all text work comes before the shuffle by file, which only carries the class name down
+    texts = with_annotation_text(
+        events.select(
+            "path", "pos", "name",
+            _null_if_empty(_find("event", r"^(?:class|interface)\s+(\w+)")).alias("opened"),
+            _null_if_empty(F.upper(_find("event", r"^@(\w+)"))).alias("sql_type"),
             _find("event", rf"^@\w+\s*\(({ARGS})\)").alias("args"),
-            F.upper(_find("event", r"^@(\w+)")).alias("sql_type"),
-            F.concat("cls", F.lit("."), "name").alias("source_location"),
         )
-    )
+    ).withColumn("sql_normalized", tx.normalize_sql(F.col("sql_text")))
+    cls = F.last("opened", True).over(Window.partitionBy("path").orderBy("pos"))
     return (
-        with_annotation_text(found)
-        .filter(~tx.is_blank(F.col("sql_text")))
-        .withColumn("sql_normalized", tx.normalize_sql(F.col("sql_text")))
-        .withColumn("source_type", F.lit("ANNOTATION"))
-    )
+        texts.withColumn("cls", F.coalesce(cls, F.lit("Unknown")))
+        .filter(F.col("sql_type").isNotNull() & (F.col("sql_normalized") != ""))
+        .select(
+            F.col("path").alias("source_file"), "sql_text", "sql_type",
+            F.concat("cls", F.lit("."), "name").alias("source_location"),
+            "sql_normalized", F.lit("ANNOTATION").alias("source_type"),
+        )
+    )
 
 
 def entity_table_map(files: DataFrame) -> DataFrame:
@@ -142,21 +143,16 @@ def entity_table_map(files: DataFrame) -> DataFrame:
 
 
 def code_chunks(files: DataFrame) -> DataFrame:
-    """``path, pos, cls, method, chunk`` for the chunks inside methods."""
-    chunks = files.select(
-        "path", F.posexplode(_find_all(without_comments(F.col("content")), f'(?:[^;{{}}"]++|{STRING})*+[;{{}}]')).alias("pos", "chunk")
-    )
+    """``path, pos, opened_class, opened_method, chunk``: chunks and the class or method they open."""
+    code = files.select("path", without_comments(F.col("content")).alias("code"))
+    chunks = code.select("path", F.posexplode(_find_all("code", f'(?:[^;{{}}"]++|{STRING})*+[;{{}}]')).alias("pos", "chunk"))
     opens = F.endswith("chunk", F.lit("{"))
-    cls = F.when(opens, _null_if_empty(_find("chunk", r"\b(?:class|interface|enum)\s+([A-Za-z_]\w*)[^;]*\{$")))
+    cls = _null_if_empty(_find("chunk", r"\b(?:class|interface|enum)\s+([A-Za-z_]\w*)[^;]*\{$"))
     header = rf"(?:^|[\s>\]])(?!(?:{NOT_METHODS})\b)([A-Za-z_$][\w$]*)\s*\({ARGS}\)\s*(?:throws\s+[\w.,\s]+)?\{{$"
     is_header = ~F.col("chunk").rlike(r"=|->|\bnew\s|^\s*[.})]|\belse\b") & ~F.col("chunk").rlike(rf"\b(?:{NOT_METHODS})\s*\(")
-    method = F.when(opens, F.when(is_header, _null_if_empty(_find("chunk", header))))
-    above = Window.partitionBy("path").orderBy("pos")
-    return (
-        chunks.withColumn("cls", F.last(cls, True).over(above))
-        .withColumn("method", F.last(method, True).over(above))
-        .filter(F.col("method").isNotNull())
-        .withColumn("cls", F.coalesce("cls", F.lit("Unknown")))
+    method = F.when(is_header, _null_if_empty(_find("chunk", header)))
+    return chunks.select(
+        "path", "pos", F.when(opens, cls).alias("opened_class"), F.when(opens, method).alias("opened_method"), "chunk"
     )
 
 
@@ -164,7 +160,8 @@ def wrapper_call_extract(files: DataFrame) -> DataFrame:
     """Builder calls: ``path, cls, method, usage_id, wrapper_type, declared_entity, seq, call_name, args``.
 
     A usage is one builder. Its calls are those chained to its creation and, if it is held in a variable,
-    the later ones on that variable in the same method, in source order.
+    the later ones on that variable in the same method, in source order. All text work comes before the
+    one shuffle by file; the windows behind it only carry names down a file.
     """
     chain = rf"((?:\s*\.\s*[A-Za-z_]\w*+\s*\({ARGS}\))*+)"
     create = rf"new\s+({WRAPPER})\b\s*(<[^()]*?>)?\s*\({ARGS}\){chain}"
@@ -172,58 +169,68 @@ def wrapper_call_extract(files: DataFrame) -> DataFrame:
     declared = rf"\b({WRAPPER})\s*(<[^()=]*?>)?\s+([A-Za-z_]\w*+)\s*=(?!=)"
     on_var = rf"(?<![\w.])([A-Za-z_]\w*+)((?:\s*\.\s*[A-Za-z_]\w*+\s*\({ARGS}\))++)"
 
-    chunks = code_chunks(files).filter(F.col("chunk").rlike(r"[A-Za-z_]\w*\s*(?:\.|<|\()"))
-    key = ["path", "cls", "method"]
-    chunk = F.col("chunk")
-    none = F.array().cast("array<string>")
+    chunk, none = F.col("chunk"), F.array().cast("array<string>")
 
     def codes(kind: str, found: Column) -> Column:
         return F.transform(found, lambda code, i: F.struct(F.lit(kind).alias("kind"), i.alias("nth"), code.alias("code")))
 
-    # creations: "new X<T>(..)" with its chain, or a factory assigned to a declared builder
-    is_new = F.contains(chunk, F.lit("new ")) | F.contains(chunk, F.lit("new\t"))
-    chunks = chunks.select(
-        *key, "pos", "chunk",
-        F.when(is_new, _find_all(chunk, create)).otherwise(none).alias("news"),
+    has_call = chunk.rlike(r"[A-Za-z_]\w*\s*(?:\.|<|\()")
+    chunks = code_chunks(files).select(
+        "path", "pos", "opened_class", "opened_method", "chunk",
+        # creations: "new X<T>(..)" with its chain, or a factory assigned to a declared builder
+        F.when(has_call & chunk.rlike(rf"new\s+{WRAPPER}"), _find_all(chunk, create)).otherwise(none).alias("news"),
         # chains on plain names, also one level down in the arguments of another call
-        _find_all(chunk, on_var).alias("outer"),
+        F.when(has_call, _find_all(chunk, on_var)).otherwise(none).alias("outer"),
     )
     is_made = (F.size("news") == 0) & F.contains(chunk, F.lit("Wrapper")) & chunk.rlike(declared) & chunk.rlike(factory)
     made = F.when(is_made, F.array(chunk)).otherwise(none)
     inner = F.flatten(F.transform("outer", lambda code: _find_all(F.regexp_extract(code, on_var, 2), on_var)))
     every = F.concat(codes("new", F.col("news")), codes("made", made), codes("use", F.concat("outer", inner)))
-    found = chunks.select(*key, "pos", "chunk", F.explode(every).alias("e")).select(*key, "pos", "chunk", "e.*")
+    found = chunks.select("path", "pos", "opened_class", "opened_method", "chunk", F.explode_outer(every).alias("e")).select(
+        "path", "pos", "opened_class", "opened_method", "chunk", "e.*"
+    )
 
-    kind, code = F.col("kind"), F.col("code")
-    by_kind = lambda new, made, use: F.when(kind == "new", new).when(kind == "made", made).otherwise(use)
+    kind, code, holder = F.col("kind"), F.col("code"), F.col("holder")
+    held = _null_if_empty(_find(chunk, rf"([A-Za-z_]\w*+)\s*=\s*{create}\s*;$"))
+    found = found.withColumn("holder", F.when(kind == "new", held))
+    by_kind = lambda new, made, use: F.when(kind == "new", new).when(kind == "made", made).when(kind == "use", use)
     nothing = F.lit(None).cast("string")
     generic = lambda text: _null_if_empty(F.regexp_extract(text, r"^<\s*(\w+)", 1))
-    found = found.withColumn("holder", F.when(kind == "new", _null_if_empty(_find(chunk, rf"([A-Za-z_]\w*+)\s*=\s*{create}\s*;$"))))
-    holder = F.col("holder")
     declared_generic = generic(_find(chunk, declared, 2))
     new_entity = F.coalesce(generic(_find(code, create, 2)), F.when(holder.isNotNull(), declared_generic))
-    born = F.concat_ws("#", *key, F.col("pos").cast("string"), F.col("nth").cast("string"))
     rows = found.select(
-        *key, "pos", F.when(kind == "use", 1).otherwise(0).alias("order"), "nth",
+        "path", "pos", "opened_class", "opened_method", F.when(kind == "use", 1).otherwise(0).alias("order"), "nth",
         by_kind(holder, _null_if_empty(_find(chunk, declared, 3)), _find(code, on_var, 1)).alias("var"),
-        F.when(kind != "use", born).alias("usage_id"),
+        kind.isin("new", "made").alias("is_born"),
         by_kind(_find(code, create, 1), _find(chunk, declared, 1), nothing).alias("wrapper_type"),
         by_kind(new_entity, declared_generic, nothing).alias("declared_entity"),
-        by_kind(_find(code, create, 3), _find(chunk, factory, 1), _find(code, on_var, 2)).alias("chain"),
+        _find_all(by_kind(_find(code, create, 3), _find(chunk, factory, 1), _find(code, on_var, 2)), CALL).alias("calls"),
     )
+    calls = F.transform(
+        "calls",
+        lambda c: F.struct(F.regexp_extract(c, CALL, 1).alias("call_name"), split_args(F.regexp_extract(c, CALL, 2)).alias("args")),
+    )
+    rows = rows.withColumn("calls", calls)
 
+    above = Window.partitionBy("path").orderBy("pos")
+    placed = (
+        rows.withColumn("cls", F.coalesce(F.last("opened_class", True).over(above), F.lit("Unknown")))
+        .withColumn("method", F.last("opened_method", True).over(above))
+        .filter(F.col("method").isNotNull() & F.col("is_born").isNotNull())
+    )
+    key = ["path", "cls", "method"]
+    born = F.concat_ws("#", *key, F.col("pos").cast("string"), F.col("nth").cast("string"))
+    placed = placed.withColumn("usage_id", F.when(F.col("is_born"), born))
     # a later chain belongs to the builder that the variable last took; creations without one stand alone
-    slot = F.coalesce("var", F.concat(F.lit("#"), F.col("usage_id")))
+    placed = placed.withColumn("slot", F.coalesce("var", F.concat(F.lit("#"), F.col("usage_id"))))
     so_far = Window.partitionBy(*key, "slot").orderBy("pos", "order", "nth")
     carried = [F.last(c, True).over(so_far).alias(c) for c in ("usage_id", "wrapper_type", "declared_entity")]
-    owned = rows.withColumn("slot", slot).select(*key, "pos", "order", F.col("nth").alias("at"), "slot", *carried, "chain")
-    calls = owned.filter(F.col("usage_id").isNotNull() & (F.col("chain") != "")).select(
-        *key, "usage_id", "slot", "wrapper_type", "declared_entity", "pos", "order", "at", F.posexplode(_find_all("chain", CALL)).alias("nth", "code")
+    owned = placed.select(*key, "pos", "order", F.col("nth").alias("at"), "slot", *carried, "calls")
+    each = owned.filter(F.col("usage_id").isNotNull()).select(
+        *key, "usage_id", "slot", "wrapper_type", "declared_entity", "pos", "order", "at", F.posexplode("calls").alias("nth", "call")
     )
     in_order = Window.partitionBy(*key, "slot", "usage_id").orderBy("pos", "order", "at", "nth")
-    return calls.select(
+    return each.select(
         *key, "usage_id", "wrapper_type", "declared_entity",
-        F.row_number().over(in_order).cast("long").alias("seq"),
-        _find("code", CALL, 1).alias("call_name"),
-        split_args(_find("code", CALL, 2)).alias("args"),
+        F.row_number().over(in_order).cast("long").alias("seq"), "call.call_name", "call.args",
     )

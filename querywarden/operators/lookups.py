@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
@@ -18,3 +18,11 @@ def salted_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: s
     salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def keep_if(df: DataFrame, column: str, condition: Column) -> DataFrame:
+    """Rows where ``condition`` on a costly computed ``column`` holds.
+
+    A filter would be pushed below the column and compute it a second time; a generator stays in place.
+    """
+    return df.withColumn(column, F.explode(F.when(condition, F.array(column))))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from querywarden.functions import text as tx
 from querywarden.operators.javasource import literal_value
+from querywarden.operators.lookups import keep_if
 
 UNKNOWN_COLUMN = "_unknown_col"
 UNKNOWN_TABLE = "_unknown"
@@ -139,7 +140,7 @@ def with_clauses(calls: DataFrame) -> DataFrame:
 
 def wrapper_clause_map(calls: DataFrame) -> DataFrame:
     """The calls that add clauses, see ``with_clauses``."""
-    return with_clauses(calls).filter(F.size("fragments") > 0)
+    return keep_if(with_clauses(calls), "fragments", F.size("fragments") > 0)
 
 
 def _entity_parts() -> list[Column]:
