@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from querywarden.operators import javasource as js
 from querywarden.operators import mapperxml as mx
+from querywarden.operators import metadata as md
 from querywarden.operators import wrappers as wr
 from querywarden.plans.inputs import Inputs
 from querywarden.plans.registry import query
@@ -31,18 +32,41 @@ def source_tree_scan(inp):
     return inp.sql(PATHS).select("doc_id", "path", fs.is_scanned(path, "xml").alias("as_xml"), fs.is_scanned(path, "java").alias("as_java"))
 
 
-@query(
-    "ddl_export_load",
-    """select concat('tab', s_suppkey::varchar) as table_name, concat('-- Estimated Rows: ', s_suppkey::varchar, chr(10), chr(10), 'CREATE TABLE tab', s_suppkey::varchar, ' (', chr(10), s_name, ')', chr(10)) as content from supplier""",
-)
-def ddl_export_load(inp):
+def exported(inp: Inputs) -> str:
+    """Folder with one exported table file per supplier."""
     tables = inp.sql(
         """select concat('tab', cast(s_suppkey as string)) as table_name, s_suppkey as estimated_rows,
   concat('CREATE TABLE tab', cast(s_suppkey as string), ' (', chr(10), s_name, ')') as ddl from supplier"""
     )
     root = scratch_dir(inp.spark, "ddl-export")
-    fs.ddl_export(tables.coalesce(4), root)
-    return fs.ddl_directory_load(inp.spark, root)
+    fs.ddl_export(tables, root)
+    return root
+
+
+@query(
+    "ddl_export_load",
+    """select concat('tab', s_suppkey::varchar) as table_name, concat('-- Estimated Rows: ', s_suppkey::varchar, chr(10), chr(10), 'CREATE TABLE tab', s_suppkey::varchar, ' (', chr(10), s_name, ')', chr(10)) as content from supplier""",
+)
+def ddl_export_load(inp):
+    return fs.ddl_directory_load(inp.spark, exported(inp))
+
+
+@query(
+    "ddl_export",
+    """select concat('tab', s_suppkey::varchar) as table_name, unnest([concat('-- Estimated Rows: ', s_suppkey::varchar), '', concat('CREATE TABLE tab', s_suppkey::varchar, ' ('), concat(s_name, ')')]) as line from supplier""",
+)
+def ddl_export(inp):
+    schema = "value string, table_name string"
+    return inp.spark.read.schema(schema).text(exported(inp)).select("table_name", F.col("value").alias("line"))
+
+
+@query(
+    "ddl_directory_load",
+    """select concat('tab', s_suppkey::varchar) as table_name, s_suppkey as estimated_rows, concat('CREATE TABLE tab', s_suppkey::varchar, ' (', chr(10), s_name, ')') as ddl_text from supplier""",
+)
+def ddl_directory_load(inp):
+    files = fs.ddl_directory_load(inp.spark, exported(inp))
+    return md.ddl_file_parse(files).drop("index_stats")
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -159,6 +160,17 @@ def paginate_total(inp):
     return rp.total(rp.record_filter(inp.get("sql_records"), sql_type="SELECT", owner="hold"))
 
 
+@query(
+    "paginate",
+    """select p.*, t.total from (select id, project_id, owner from sql_records where status = 1 order by project_id, id limit 50 offset 100) p,
+  (select count(*) as total from sql_records where status = 1) t""",
+)
+def paginate(inp):
+    rows = rp.record_filter(inp.get("sql_records"))
+    page = rp.paginate(rows, [F.col("project_id"), F.col("id")], 3, 50)
+    return page.select("id", "project_id", "owner", rp.total(rows).scalar().alias("total"))
+
+
 DURATION = """case when scan_duration_ms < 1000 then concat(scan_duration_ms::varchar, 'ms') when scan_duration_ms // 1000 < 60 then concat((scan_duration_ms // 1000)::varchar, 's')
   when scan_duration_ms is not null then concat((scan_duration_ms // 60000)::varchar, 'm ', (scan_duration_ms // 1000 % 60)::varchar, 's') end"""
 
@@ -198,6 +210,27 @@ def handle_status_apply(inp):
     return out.select("id", "handle_status", "handle_note", "handler", "handle_time")
 
 
+@query(
+    "catalog_lists",
+    """select 'projects' as list, project_name as item from projects where status = 1
+union all select 'tables', table_name from table_meta where contains(table_name, 'o')
+union all select 'rules', pattern from exemption_rules where rule_type = 'TABLE_NAME'
+union all select 'knowledge', title from knowledge_entries where knowledge_type = 'QPS_INFO' and status = 1""",
+)
+def catalog_lists(inp):
+    lists = {
+        "projects": (inp.get("projects"), {"status": 1}, {}, "project_name"),
+        "tables": (inp.get("table_meta"), {}, {"table_name": " o "}, "table_name"),
+        "rules": (inp.get("exemption_rules"), {"rule_type": "TABLE_NAME", "project_id": None}, {"pattern": ""}, "pattern"),
+        "knowledge": (inp.get("knowledge_entries"), {"knowledge_type": "QPS_INFO", "status": 1}, {}, "title"),
+    }
+    parts = [
+        rp.catalog_list(df, same, part, [F.col(item)]).select(F.lit(name).alias("list"), F.col(item).alias("item"))
+        for name, (df, same, part, item) in lists.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("catalog_projects", "select id, project_name from projects where status = 1 and contains(project_name, 'NATION')")
 def catalog_projects(inp):
     return rp.catalog_list(inp.get("projects"), {"status": 1}, {"project_name": "NATION"}, [F.col("id").desc()]).select("id", "project_name")

@@ -5,7 +5,7 @@ import pytest
 from querywarden.plans.catalog import QUERIES
 
 # these run jobs while they are built, their result only reads what was written
-EAGER = {"reuse_within_ttl_exact", "stream_dedup_ttl", "stream_incremental_upsert", "stream_provider_health", "push_event_route_stream", "ddl_export_load"}
+EAGER = {"reuse_within_ttl_exact", "stream_dedup_ttl", "stream_incremental_upsert", "stream_provider_health", "push_event_route_stream", "ddl_export_load", "ddl_export", "ddl_directory_load"}
 
 
 def plan_of(df):
