@@ -201,14 +201,15 @@ COOLDOWN = timedelta(seconds=60)
 
 
 def failure_streaks(
-    calls: DataFrame, threshold: int = FAILURE_THRESHOLD, cooldown: timedelta = COOLDOWN, part: str = "hour"
+    calls: DataFrame, threshold: int = FAILURE_THRESHOLD, cooldown: timedelta = COOLDOWN, part: str = "minute"
 ) -> DataFrame:
     """Calls with ``streak``, failures in a row up to and including the call, and ``cooling``.
 
     ``cooling`` says that before the call the provider had ``threshold`` failures in a row, the last one
     less than ``cooldown`` ago. Input: ``event_id, ts, provider, ok``; a success resets the streak.
 
-    Time is cut into parts, so that no task orders all calls of one provider. A part hands on the number
+    Time is cut into parts (``part`` is a unit of ``date_trunc``), so that no task orders all calls of one
+    provider. A part hands on the number
     of failures after its last success, or all of them if it has none; only these summaries, one per
     provider and part, are ordered as a whole.
     """

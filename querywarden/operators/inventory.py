@@ -257,7 +257,8 @@ def assess_with_ttl(
     spark = rows.sparkSession
     source, out = scratch_dir(spark, "ttl-rows"), scratch_dir(spark, "ttl-found")
     daily = rows.select(key, F.col(ts).alias("_ts"), F.to_date(ts).alias("_day"))
-    daily.write.partitionBy("_day").parquet(source)
+    # rebalanced, so that a day is a few files of even size however the input is spread
+    daily.hint("rebalance", "_day").write.partitionBy("_day").parquet(source)
     daily = spark.read.schema(daily.schema).parquet(source)
     shape = daily.select(key, F.col("_ts").alias("assessed_at")).schema
     valid = spark.createDataFrame([], shape) if state is None else state

@@ -77,9 +77,10 @@ def stream_incremental_upsert(inp):
     return il.current_inventory(inp.spark, root).drop("sql_text")
 
 
-def by_week(df: DataFrame) -> list[DataFrame]:
-    week = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2))
-    return [df.filter(week == w) for w in range(3)]
+def in_time_order(df: DataFrame) -> list[DataFrame]:
+    """Three slices of the rows, the first ten days of the month first."""
+    third = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2))
+    return [df.filter(third == n) for n in range(3)]
 
 
 @query(
@@ -95,7 +96,7 @@ from chain c where exists (select 1 from events e where e.user_id = c.user_id an
 )
 def stream_dedup_ttl(inp):
     schema = "user_id long, assessed_at timestamp_ntz"
-    slices = by_week(inp.table("events").select("user_id", "ts"))
+    slices = in_time_order(inp.table("events").select("user_id", "ts"))
     root = arrive(inp, slices, "ttl", lambda df, n, root: at.apply_batch(df, n, root, "user_id", "ts", schema))
     return at.assessments(inp.spark, root, schema).drop("batch")
 
@@ -107,7 +108,7 @@ def stream_dedup_ttl(inp):
 from (select *, max(ts) filter (where ok = 1) over (partition by provider) as ok_ts from call_log) group by provider""",
 )
 def stream_provider_health(inp):
-    slices = by_week(inp.get("call_log").select("event_id", "ts", "provider", "ok"))
+    slices = in_time_order(inp.get("call_log").select("event_id", "ts", "provider", "ok"))
     root = arrive(inp, slices, "health", hl.apply_batch)
     as_of = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
     return hl.provider_health(inp.spark, root, as_of, cooldown=timedelta(days=5))

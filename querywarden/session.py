@@ -18,6 +18,8 @@ def build_session(app: str = "querywarden", master: str | None = None, **conf: s
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # let top-n ranks be cut before the shuffle for larger n, too
+        "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
         # whole files travel to Python in these batches
         "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
         **conf,
