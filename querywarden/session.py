@@ -1,14 +1,19 @@
-"""Session settings and the shared scratch folder."""
+"""Session settings, the shared scratch folder and the code that executors need."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+_made: list[str] = []
+_shipped: set[str] = set()
+
 
 def build_session(app: str = "querywarden", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on; skewed joins are split even if that adds a shuffle."""
@@ -32,13 +37,20 @@ def build_session(app: str = "querywarden", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
+def _one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests on one machine) is a temporary folder made.
+    Where none is named, a temporary folder is made if driver and executors are one process; on a
+    cluster that is an error, because executors would write to their own disks.
     """
     root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if not root:
+        if not _one_machine(spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="querywarden-")
         spark.conf.set(CHECKPOINT_CONF, root)
     return root.rstrip("/")
@@ -46,7 +58,19 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh sub-folder of the shared folder; no two calls share one."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove every scratch folder this process has asked for; call it once no result is read any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    removed = 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        removed += bool(path.getFileSystem(conf).delete(path, True))
+    return removed
 
 
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:
@@ -55,3 +79,20 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     path = scratch_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, for the parts that run Python there."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    fd, archive = tempfile.mkstemp(prefix="querywarden-", suffix=".zip")
+    with os.fdopen(fd, "wb") as out, zipfile.ZipFile(out, "w") as z:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(here)))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
