@@ -94,10 +94,11 @@ def test_measures_of_documents_and_odd_texts(spark, sf_dir):
 
 def test_lines_are_removed_and_columns_kept(spark):
     good = "one two three four five six seven eight nine ten and so on it goes here."
-    text = "\n".join([good, "home | news | shop | about", good.replace("one", "uno"), "All rights reserved.", "buy!! now!! cheap!!"])
+    other = "Quite another line with words of its own and a full stop at its end."
+    text = "\n".join([good, "home | news | shop | about", other, "All rights reserved.", "buy!! now!! cheap!!"])
     docs = spark.createDataFrame([(1, text, 7), (2, "a | b | c | d | e | f " * 6, 8), (3, None, 9)], "doc_id long, text string, kept int")
     got = {r.doc_id: r for r in line_rules.line_rules(docs).collect()}
-    assert got[1].clean_text == good + "\n" + good.replace("one", "uno") and got[1].kept and got[1].n_bad_lines == 3
+    assert got[1].clean_text == good + "\n" + other and got[1].kept and got[1].n_bad_lines == 3
     assert not got[2].kept and not got[3].kept
     assert line_rules.line_rules(docs.limit(0)).count() == 0
 
