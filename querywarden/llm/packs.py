@@ -23,6 +23,8 @@ PACK = "chunk long, doc_id array<long>, size array<long>, raw long, blob binary"
 KEYS = "part int, chunk long, n int, keys binary"
 FLAGS = "chunk long, part int, flags binary"
 CHUNK_BYTES = 2 << 20
+#: a row is numbered by its chunk and its place there; a chunk by its task and its place there
+ROW_BITS = 20
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -36,7 +38,7 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = C
     """The rows of ``docs`` in stored chunks; null texts are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, serial = TaskContext.get().partitionId() << 32, count()
+        base, serial = TaskContext.get().partitionId() << ROW_BITS, count()
         for part in chunks(batches, "_text", size):
             texts = text_bytes(part.column("_text"))
             raw = b"".join(texts)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querywarden.llm import bpe, debruijn, line_rules, stream_dedup
+from querywarden.llm import bpe, chosen_path, debruijn, line_rules, stream_dedup
 from querywarden.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -36,6 +36,10 @@ def op1_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.jaccard_join(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links", "n_tokens")
+
+
 def op8_debruijn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = debruijn.repeated_spans(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -52,6 +56,7 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_tree": op1_bpe_tree,
+    "op6_chosen_path": op6_chosen_path,
     "op8_debruijn_spans": op8_debruijn_spans,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_line_rules": op10_line_rules,
