@@ -16,7 +16,9 @@ an empty one. Texts are whole at any length.
 
 from __future__ import annotations
 
+import json
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,7 +35,7 @@ LEAF = 16384
 MARGIN = 96
 #: marks a token that starts a piece; ids stay below
 FIRST = np.uint32(1 << 31)
-BATCH_BYTES = 512 << 10
+BATCH_BYTES = 1 << 20
 
 
 def tokenizer_json(path: str) -> str:
@@ -63,8 +65,10 @@ class Coder:
         added = {i: a.content.encode() for i, a in self.t.get_added_tokens_decoder().items()}
         self.bytes = [added.get(i) or bytes(to_byte[c] for c in self.t.id_to_token(i)) for i in range(size)]
         self.size = np.fromiter(map(len, self.bytes), dtype=np.int64, count=size)
+        self.ranks, self.special, self.special_id = _by_ranks(json.loads(spec), self.bytes)
 
     def marked(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, those that start a piece marked."""
         out = []
         for e in self.t.encode_batch(texts, add_special_tokens=False):
             ids = np.array(e.ids, dtype=np.uint32)
@@ -73,6 +77,37 @@ class Coder:
             out.append(ids)
         return out
 
+    def plain(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. Texts of Latin-1 letters go through the faster coder for ranks, if there is one."""
+        out: list[bytes | None] = [None] * len(texts)
+        rest = []
+        for i, x in enumerate(texts):
+            try:
+                x.encode("latin-1")
+                out[i] = self._ranked(x)
+            except UnicodeEncodeError:
+                pass
+            if out[i] is None:
+                rest.append(i)
+        for i, e in zip(rest, self.t.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = array("I", e.ids).tobytes()
+        return out
+
+    def _ranked(self, text: str) -> bytes | None:
+        if self.ranks is None:
+            return None
+        ids = []
+        for n, part in enumerate(text.split(self.special)):
+            if n:
+                ids.append(self.special_id)
+            ids += self.ranks.encode_ordinary(part)
+        return array("I", ids).tobytes()
+
+    def decoded(self, ids: bytes) -> str:
+        """The text of unmarked ids; bytes that are no UTF-8 become replacement characters, as in the library."""
+        table = self.bytes
+        return b"".join([table[i] for i in array("I", ids)]).decode("utf-8", "replace")
+
     def text(self, ids: np.ndarray) -> str:
         return b"".join(self.bytes[i] for i in ids & ~FIRST).decode("utf-8")
 
@@ -149,6 +184,28 @@ class Coder:
         return leaves[0]
 
 
+def _by_ranks(spec: dict, tokens: list[bytes]):
+    """A coder for the same vocabulary whose merges are ranked by id, its special token and that token's id.
+
+    None if the file is not of that kind: byte-level pieces by the usual pattern, no normaliser, one special
+    token, merges in the order of their ids.
+    """
+    import public_tokenizers
+    import tiktoken
+
+    pieces, model, added = spec["pre_tokenizer"], spec["model"], spec["added_tokens"]
+    if spec["normalizer"] or pieces["type"] != "ByteLevel" or pieces["add_prefix_space"] or not pieces["use_regex"] or len(added) != 1:
+        return None, "", -1
+    if any(added[0][k] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        return None, "", -1
+    merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if merged != sorted(merged) or len(set(merged)) < len(merged):
+        return None, "", -1
+    ranks = {t: i for i, t in enumerate(tokens) if i != added[0]["id"]}
+    coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return coder, added[0]["content"], added[0]["id"]
+
+
 def _byte_letters() -> dict[str, int]:
     """The printable letter of each byte in a byte-level vocabulary: itself, or the next one from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -173,10 +230,9 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", keep_text: b
     size = F.length("_text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _load(spec.value)
+        coder = _coder(spec.value)
         for part in chunks(batches, "_text", BATCH_BYTES):
-            found = t.encode_batch_fast(part.column("_text").to_pylist(), add_special_tokens=False)
-            ids = pa.array([np.array(e.ids, dtype="<u4").tobytes() for e in found], pa.binary())
+            ids = pa.array(coder.plain(part.column("_text").to_pylist()), pa.binary())
             passed = [part.column(f"in_{c}") for c in others]
             yield pa.RecordBatch.from_arrays([*passed, ids], [*[f"in_{c}" for c in others], "_ids"])
 
@@ -223,9 +279,9 @@ def bpe_decode(encoded: DataFrame, tokenizer: str, ids: str = "ids") -> DataFram
     rows = encoded.select(F.coalesce(F.col(ids), F.lit(b"")).alias("_text"), *[F.col(c).alias(f"in_{c}") for c in others])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _load(spec.value)
+        coder = _coder(spec.value)
         for part in chunks(batches, "_text", BATCH_BYTES):
-            texts = t.decode_batch([np.frombuffer(x, dtype="<u4").tolist() for x in part.column("_text").to_pylist()], skip_special_tokens=False)
+            texts = [coder.decoded(x) for x in part.column("_text").to_pylist()]
             passed = [part.column(f"in_{c}") for c in others]
             yield pa.RecordBatch.from_arrays([*passed, pa.array(texts, pa.string())], [*[f"in_{c}" for c in others], "decoded"])
 
