@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querywarden.llm import bpe, chosen_path, debruijn, line_rules, stream_dedup
+from querywarden.llm import bpe, chosen_path, debruijn, line_rules, mixing, sharding, stream_dedup
 from querywarden.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -36,6 +36,16 @@ def op1_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix_sources(documents(spark, sf_dir))
+    return found.select("doc_id", "size", "source_size", "target", "taken", F.size("draws").alias("copies"))
+
+
+def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.kd_shards(documents(spark, sf_dir))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.jaccard_join(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links", "n_tokens")
 
@@ -56,6 +66,8 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_tree": op1_bpe_tree,
+    "op3_mixing_tree": op3_mixing_tree,
+    "op4_kd_shards": op4_kd_shards,
     "op6_chosen_path": op6_chosen_path,
     "op8_debruijn_spans": op8_debruijn_spans,
     "op9_exact_dedup": op9_exact_dedup,
