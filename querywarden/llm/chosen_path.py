@@ -5,8 +5,8 @@ Documents with equal sets are one class and are joined through one representativ
 a set chooses some of its tokens by a random threshold of 1 / (``LAMBDA`` * size), so similar sets tend to choose
 shared tokens; each choice extends a path and splits the sets again, ``DEPTH`` times at once. Sets with the same
 path share a bucket. Small buckets are compared by brute force on sketches; buckets above ``LIMIT`` are
-split on, ``DEPTH`` tokens deeper, for ``ROUNDS`` more rounds, and tie their sets to the first one by sketch. The
-number of runs follows from the target recall by the survival of a path. Sets tied by candidates form clusters, and
+split on, ``DEPTH`` tokens deeper, for ``ROUNDS`` more rounds, unless most of their sets are like the first one; sets
+like it are tied to it. The number of runs follows from the target recall by the survival of a path. Sets tied by candidates form clusters, and
 in these all pairs are compared exactly, in blocks, so no cluster meets in one task.
 
 A link is a pair of documents with similarity >= ``SIMILARITY``; classes are the connected components of links.
@@ -33,6 +33,8 @@ SHINGLE, SIMILARITY = 5, (4, 5)
 LAMBDA, DEPTH, ROUNDS, LIMIT = 0.7, 3, 2, 64
 RECALL = 0.9995
 BINS, LIKELY = 128, 0.6
+#: a large bucket with this share of sets like its first one is not split on; all its sets are tied to the first
+DENSE = 0.7
 BLOCK = 512
 SEED = 0x5DEECE66D
 
@@ -197,10 +199,11 @@ def _small_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def _to_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _near_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         one, two = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, BINS) for c in ("sketch", "sketch_first"))
-        yield pa.RecordBatch.from_arrays([b.column("row"), b.column("first")], ["a", "b"]).filter(pa.array(alike(one, two) >= LIKELY))
+        near = pa.array(alike(one, two) >= LIKELY)
+        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("row"), b.column("first"), near], ["key", "row", "first", "near"])
 
 
 def candidates(described: DataFrame, packed: DataFrame) -> DataFrame:
@@ -215,13 +218,17 @@ def candidates(described: DataFrame, packed: DataFrame) -> DataFrame:
         shared = stored(nodes.join(sizes, "key"), "buckets")
         small = shared.filter(F.col("n") <= LIMIT).join(sketches, "row").select("key", "row", "sketch")
         found.append(small.repartition("key").sortWithinPartitions("key", "row").mapInArrow(_small_buckets, "a long, b long"))
-        large = shared.filter(F.col("n") > LIMIT)
+        large = shared.filter(F.col("n") > LIMIT).select("key", "row", "first")
         firsts = large.select("first").distinct().join(sketches.withColumnsRenamed({"row": "first", "sketch": "sketch_first"}), "first")
-        ties = large.filter("row != first").select("row", "first").distinct()
-        found.append(ties.join(sketches, "row").join(firsts, "first").mapInArrow(_to_first, "a long, b long"))
-        if level == ROUNDS or large.isEmpty():
+        compared = large.join(sketches, "row").join(firsts, "first").mapInArrow(_near_first, "key long, row long, first long, near boolean")
+        compared = stored(compared, "compared")
+        dense = compared.groupBy("key").agg(F.avg(F.col("near").cast("int")).alias("share")).filter(F.col("share") >= DENSE)
+        judged = stored(compared.join(dense, "key", "left"), "judged")
+        tied = F.col("near") | F.col("share").isNotNull()
+        found.append(judged.filter(tied & (F.col("row") != F.col("first"))).select(F.col("row").alias("a"), F.col("first").alias("b")).distinct())
+        going = judged.filter("share is null").select("key", "row", F.shiftright("row", ROW_BITS).alias("chunk"))
+        if level == ROUNDS or going.isEmpty():
             break
-        going = large.select("key", "row", F.shiftright("row", ROW_BITS).alias("chunk"))
         nodes = stored(packed.groupBy("chunk").cogroup(going.groupBy("chunk")).applyInArrow(_deeper, "key long, row long"), "deeper")
     edges = spark.createDataFrame([], "a long, b long")
     for part in found:
