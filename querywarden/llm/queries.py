@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querywarden.llm import bpe, chosen_path, debruijn, line_rules, mixing, sharding, stream_dedup
+from querywarden.llm import bpe, chosen_path, debruijn, line_rules, mixing, quality_gam, sharding, stream_dedup
 from querywarden.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -46,6 +46,11 @@ def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_gam.quality_scores(documents(spark, sf_dir), labels)
+
+
 def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.jaccard_join(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links", "n_tokens")
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_tree": op1_bpe_tree,
     "op3_mixing_tree": op3_mixing_tree,
     "op4_kd_shards": op4_kd_shards,
+    "op5_quality_gam": op5_quality_gam,
     "op6_chosen_path": op6_chosen_path,
     "op8_debruijn_spans": op8_debruijn_spans,
     "op9_exact_dedup": op9_exact_dedup,
