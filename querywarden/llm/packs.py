@@ -104,8 +104,8 @@ def judge(keyed: DataFrame, payload: np.dtype, verdict: Callable[[np.ndarray, np
     return keyed.groupBy("part").applyInArrow(run, FLAGS)
 
 
-def flags_of(table: pa.Table) -> np.ndarray:
-    """A chunk's bytes in the order of its keys."""
+def flags_of(table: pa.Table, kind: str = "u1") -> np.ndarray:
+    """A chunk's verdicts in the order of its keys."""
     order = np.argsort(table.column("part").to_numpy())
     blobs = table.column("flags").to_pylist()
-    return np.frombuffer(b"".join(blobs[i] for i in order), np.uint8)
+    return np.frombuffer(b"".join(blobs[i] for i in order), kind)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querywarden.llm import bpe, chosen_path, debruijn, line_rules, mixing, quality_gam, sharding, stream_dedup
+from querywarden.llm import bpe, chosen_path, debruijn, hmm, line_rules, mixing, quality_gam, sharding, stream_dedup
 from querywarden.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -55,6 +55,10 @@ def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.jaccard_join(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links", "n_tokens")
 
 
+def op7_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.lm_scores(documents(spark, sf_dir))
+
+
 def op8_debruijn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = debruijn.repeated_spans(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_kd_shards": op4_kd_shards,
     "op5_quality_gam": op5_quality_gam,
     "op6_chosen_path": op6_chosen_path,
+    "op7_hmm_scores": op7_hmm_scores,
     "op8_debruijn_spans": op8_debruijn_spans,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_line_rules": op10_line_rules,
