@@ -202,8 +202,7 @@ def _small_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _near_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         one, two = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, BINS) for c in ("sketch", "sketch_first"))
-        near = pa.array(alike(one, two) >= LIKELY)
-        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("row"), b.column("first"), near], ["key", "row", "first", "near"])
+        yield pa.RecordBatch.from_arrays([b.column("row"), b.column("first"), pa.array(alike(one, two) >= LIKELY)], ["row", "first", "near"])
 
 
 def candidates(described: DataFrame, packed: DataFrame) -> DataFrame:
@@ -220,8 +219,9 @@ def candidates(described: DataFrame, packed: DataFrame) -> DataFrame:
         found.append(small.repartition("key").sortWithinPartitions("key", "row").mapInArrow(_small_buckets, "a long, b long"))
         large = shared.filter(F.col("n") > LIMIT).select("key", "row", "first")
         firsts = large.select("first").distinct().join(sketches.withColumnsRenamed({"row": "first", "sketch": "sketch_first"}), "first")
-        compared = large.join(sketches, "row").join(firsts, "first").mapInArrow(_near_first, "key long, row long, first long, near boolean")
-        compared = stored(compared, "compared")
+        pairs = large.filter("row != first").select("row", "first").distinct().join(sketches, "row").join(firsts, "first")
+        near = stored(pairs.mapInArrow(_near_first, "row long, first long, near boolean"), "near")
+        compared = large.join(near, ["row", "first"], "left").withColumn("near", F.coalesce("near", F.lit(True)))
         dense = compared.groupBy("key").agg(F.avg(F.col("near").cast("int")).alias("share")).filter(F.col("share") >= DENSE)
         judged = stored(compared.join(dense, "key", "left"), "judged")
         tied = F.col("near") | F.col("share").isNotNull()

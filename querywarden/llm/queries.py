@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querywarden.llm import bpe, chosen_path, debruijn, hmm, line_rules, mixing, quality_gam, sharding, stream_dedup
+from querywarden.llm import bpe, chosen_path, debruijn, hmm, line_rules, mixing, pii, quality_gam, sharding, stream_dedup
 from querywarden.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -36,6 +36,13 @@ def op1_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    found = pii.personal_data(documents(spark, sf_dir))
+    return found.select("doc_id", *counts, F.sha2(pii.as_text(base), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"))
+
+
 def op3_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix_sources(documents(spark, sf_dir))
     return found.select("doc_id", "size", "source_size", "target", "taken", F.size("draws").alias("copies"))
@@ -75,6 +82,7 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_tree": op1_bpe_tree,
+    "op2_weak_pii": op2_weak_pii,
     "op3_mixing_tree": op3_mixing_tree,
     "op4_kd_shards": op4_kd_shards,
     "op5_quality_gam": op5_quality_gam,
