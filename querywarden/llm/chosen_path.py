@@ -79,9 +79,9 @@ class Sets:
         chance = np.minimum(1.0, 1 / (LAMBDA * np.maximum(self.size, 1)))
         return np.minimum(chance * 2.0**64, 2.0**64 - 2048).astype(np.uint64)
 
-    def paths(self, doc: np.ndarray, key: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Paths ``depth`` choices longer than those given, with their documents."""
-        chance = self.thresholds()
+    def paths(self, doc: np.ndarray, key: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Paths ``depth`` choices longer than those given: documents, keys, and the numbers of the paths they extend."""
+        chance, origin = self.thresholds(), np.arange(len(doc))
         for _ in range(depth):
             # every node meets each token of its set
             size = self.size[doc]
@@ -90,8 +90,8 @@ class Sets:
             draw = self.token[token] * (key | np.uint64(1))[node]
             taken = draw <= chance[doc][node]
             node, token = node[taken], token[taken]
-            doc, key = doc[node], mix(key[node] ^ mix(self.token[token]))
-        return doc, key
+            doc, key, origin = doc[node], mix(key[node] ^ mix(self.token[token])), origin[node]
+        return doc, key, origin
 
     def sketches(self) -> list[bytes]:
         """One byte for each of ``BINS`` ranges of hashes: of the least token in it, or 0 if there is none."""
@@ -125,7 +125,7 @@ def _describe(runs: int):
                 np.add.at(high, s.doc, mix(s.token ^ np.uint64(SEED)))
                 full = np.flatnonzero(s.size > 0)
                 starts = mix(np.arange(runs, dtype=np.uint64) + np.uint64(SEED))
-                docs, keys = zip(*(s.paths(full, np.full(len(full), k), DEPTH) for k in starts), strict=True)
+                docs, keys, _ = zip(*(s.paths(full, np.full(len(full), k), DEPTH) for k in starts), strict=True)
                 docs, keys = np.concatenate(docs), np.concatenate(keys)
                 order = np.argsort(docs, kind="stable")
                 ends = np.searchsorted(docs[order], np.arange(n + 1)).astype(np.int32)
@@ -148,15 +148,22 @@ def _describe(runs: int):
 DESCRIBED = "row long, doc_id long, size long, low long, high long, sketch binary, keys array<long>"
 
 
+DEEPER = "level int, key long, row long, parent long"
+
+
 def _deeper(_, left: pa.Table, right: pa.Table) -> pa.Table:
-    """Further paths of the sets of a chunk that lie in large buckets."""
-    out = [pa.table({"key": pa.array([], pa.int64()), "row": pa.array([], pa.int64())})]
+    """Further paths of the sets of a chunk that lie in large buckets, for all rounds to come; ``parent`` is the
+    path of the round before that a path extends."""
+    out = [pa.table({name: pa.array([], kind) for name, kind in (("level", pa.int32()), ("key", pa.int64()), ("row", pa.int64()), ("parent", pa.int64()))})]
     for row in left.to_pylist():
         s = Sets(unpack(row))
         base = row["chunk"] << ROW_BITS
         doc, key = right.column("row").to_numpy() - base, right.column("key").to_numpy().view(np.uint64)
-        doc, key = s.paths(doc, key, DEPTH)
-        out.append(pa.table({"key": pa.array(key.view(np.int64)), "row": pa.array(doc + base, pa.int64())}))
+        for level in range(1, ROUNDS + 1):
+            before = key
+            doc, key, origin = s.paths(doc, key, DEPTH)
+            columns = [np.full(len(key), level, np.int32), key.view(np.int64), doc + base, before[origin].view(np.int64)]
+            out.append(pa.table([pa.array(c) for c in columns], ["level", "key", "row", "parent"]))
     return pa.concat_tables(out)
 
 
@@ -229,7 +236,10 @@ def candidates(described: DataFrame, packed: DataFrame) -> DataFrame:
         going = judged.filter("share is null").select("key", "row", F.shiftright("row", ROW_BITS).alias("chunk"))
         if level == ROUNDS or going.isEmpty():
             break
-        nodes = stored(packed.groupBy("chunk").cogroup(going.groupBy("chunk")).applyInArrow(_deeper, "key long, row long"), "deeper")
+        if not level:
+            deeper = stored(packed.groupBy("chunk").cogroup(going.groupBy("chunk")).applyInArrow(_deeper, DEEPER), "deeper")
+        open_keys = going.select(F.col("key").alias("parent")).distinct()
+        nodes = deeper.filter(F.col("level") == level + 1).join(open_keys, "parent", "left_semi").select("key", "row")
     edges = spark.createDataFrame([], "a long, b long")
     for part in found:
         edges = edges.union(part)
