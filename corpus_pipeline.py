@@ -1,2 +1,75 @@
-STAGES=[]; ORACLE_SQL=None
-def run(spark, sf_dir): raise NotImplementedError
+"""A corpus from raw documents to tokens: clean, deduplicate exactly and nearly, mix sources, encode.
+
+Each stage takes what the one before it kept, stored and read again, and its decisions take effect: failing
+lines and rejected documents go, of equal texts and of near-duplicate groups one document stays, sources are
+taken as often as the mix says, and what is left is encoded and decoded again. No SQL expresses the
+clean-up and the mix, so the pipeline is tested against plain versions of its stages.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from querywarden.llm import bpe, chosen_path, line_rules, mixing, stream_dedup
+from querywarden.llm.packs import stored
+from querywarden.llm.queries import tokenizer_path
+from querywarden.session import ship_code
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass, without their failing lines."""
+    ship_code(spark)
+    kept = line_rules.line_rules(docs, keep_text=False).filter("kept")
+    clean = kept.withColumn("text", F.col("clean_text")).withColumn("n_chars", F.length("clean_text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(*docs.columns)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the largest id."""
+    ship_code(spark)
+    return stream_dedup.kept_documents(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group."""
+    ship_code(spark)
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    gone = chosen_path.jaccard_join(numbered, key="_row").filter("not stays").select(F.col("doc_id").alias("_row"))
+    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, shard by shard in random order."""
+    ship_code(spark)
+    return mixing.Mix(docs).mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document (little-endian, 32 bits each), and whether they decode to its text."""
+    ship_code(spark)
+    spec = bpe.tokenizer_json(tokenizer_path())
+    ids = bpe.bpe_encode(docs.select("doc_id", "lang", "source", "text"), spec, keep_text=True)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    n = (F.octet_length("ids") / 4).cast("long")
+    return bpe.bpe_decode(ids, spec).select("doc_id", "lang", "source", n.alias("n_tokens"), "ids", same.alias("lossless"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("encode", encode),
+]
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in a row over the documents table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
