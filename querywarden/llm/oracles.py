@@ -1,14 +1,130 @@
-"""DuckDB SQL of the corpus queries that SQL can express."""
+"""DuckDB SQL of the corpus queries that SQL can express.
+
+A word is a run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
+"""
 
 from __future__ import annotations
 
+from querywarden.llm import line_rules
+
 NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORD = r"[^\x20\x09-\x0D]+"
+WORDS = f"regexp_extract_all(coalesce(text, ''), '{WORD}')"
+
+
+def _quoted(text: str) -> str:
+    return text.replace("'", "''")
+
+
+EXACT = f"""
+    with norm as (select doc_id, {NORMAL} as t from documents),
+    groups as (select t, max(doc_id) as keep_id, count(*) as group_size from norm group by t)
+    select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256
+    from norm join groups using (t)
+"""
+
+#: repeated windows of 35 words: each word in one goes
+SPANS = f"""
+    with docs as (select doc_id, {WORDS} as w from documents),
+    windows as (
+        select doc_id, unnest(range(1, greatest(len(w) - 33, 1))) as pos, w from docs where len(w) >= 35
+    ),
+    keyed as (select doc_id, pos, sha256(array_to_string(w[pos:pos + 34], ' ')) as k from windows),
+    hot as (select k from keyed group by k having count(*) > 1),
+    gone as (
+        select distinct doc_id, unnest(range(pos, pos + 35)) as pos from keyed where k in (from hot)
+    ),
+    gone_of as (select doc_id, count(*) as n, list(pos) as positions from gone group by doc_id),
+    kept as (
+        select doc_id, string_agg(w[pos], ' ' order by pos) as t
+        from (select doc_id, w, unnest(range(1, len(w) + 1)) as pos from docs) as p anti join gone using (doc_id, pos)
+        group by doc_id
+    )
+    select d.doc_id, len(d.w)::bigint as n_words, coalesce(g.n, 0)::bigint as n_removed, sha256(coalesce(k.t, '')) as kept_sha256
+    from docs as d left join gone_of as g using (doc_id) left join kept as k using (doc_id)
+"""
+
+#: pairs with Jaccard >= 0.8 on runs of five words, found by shared runs; classes by least reachable id
+NEAR = f"""
+    with recursive docs as (select doc_id, {WORDS} as w from documents),
+    sets as (
+        select distinct doc_id, array_to_string(w[pos:pos + 4], ' ') as s
+        from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as pos from docs where len(w) > 0)
+    ),
+    sizes as (select doc_id, count(*) as n from sets group by doc_id),
+    pairs as (
+        select a.doc_id as a, b.doc_id as b, count(*) as shared
+        from sets as a join sets as b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2
+    ),
+    links as (
+        select a, b from pairs join sizes as x on x.doc_id = a join sizes as y on y.doc_id = b
+        where 5 * shared >= 4 * (x.n + y.n - shared)
+    ),
+    ties as (select a, b from links union all select b, a from links),
+    reach(node, least) as (
+        select doc_id, doc_id from docs
+        union
+        select t.b, r.least from reach as r join ties as t on t.a = r.node where r.least < t.b
+    ),
+    degree as (select a as doc_id, count(*) as n from ties group by a)
+    select d.doc_id, min(r.least) as class_id, coalesce(any_value(g.n), 0)::bigint as n_links, coalesce(any_value(s.n), 0)::bigint as n_tokens
+    from docs as d join reach as r on r.node = d.doc_id left join degree as g using (doc_id) left join sizes as s using (doc_id)
+    group by d.doc_id
+"""
+
+#: the measures of a text, and the verdict of the line rules by each line's words
+RULES = rf"""
+    with docs as (select doc_id, coalesce(text, '') as t, {WORDS} as w from documents),
+    lines as (
+        select doc_id, line, regexp_extract_all(line, '{WORD}') as lw
+        from (select doc_id, unnest(string_split(t, chr(10))) as line from docs)
+        where regexp_matches(line, '{WORD}')
+    ),
+    judged as (
+        select doc_id, line, len(array_to_string(lw, '')) as chars,
+            length(line) - length(replace(line, ' ', '')) + 1 as n,
+            len(list_filter(lw, lambda x: list_contains(['|', '»', '›', '>', '::', '•', '·', '/'], x))) as seps,
+            len(list_filter(lw, lambda x: regexp_matches(x, '(?:[#*$%&<>^~_=\\]{{2,}}|[!?]{{2,}})[.,]?$'))) as odd,
+            regexp_matches(line, '[\pL\pN]') as lettered,
+            regexp_matches(line, '(?i){_quoted(line_rules.BOILERPLATE.pattern)}') as boiler
+        from lines
+    ),
+    failed as (
+        select *, (seps >= {line_rules.MIN_SEPARATORS} and n <= {line_rules.WORDS_PER_SEPARATOR + 1} * seps)
+            or odd > {line_rules.MAX_ODD}::double * n or not lettered or boiler as bad
+        from judged
+    ),
+    by_doc as (
+        select doc_id, count(*) - count(distinct line) as n_dup_lines, count(*) filter (bad) as n_bad_lines,
+            coalesce(sum(chars) filter (bad), 0) as lost_chars
+        from failed group by doc_id
+    ),
+    windows as (
+        select doc_id, pos, array_to_string(w[pos:pos + 7], ' ') as k
+        from (select doc_id, w, unnest(range(1, len(w) - 6)) as pos from docs where len(w) >= 8)
+    ),
+    hot as (select doc_id, k from windows group by doc_id, k having count(*) > 1),
+    repepositions as (
+        select doc_id, count(*) as n
+        from (select distinct doc_id, unnest(range(pos, pos + 8)) as pos from windows semi join hot using (doc_id, k))
+        group by doc_id
+    ),
+    measured as (
+        select doc_id, len(w)::bigint as n_words, len(array_to_string(w, ''))::bigint as word_chars,
+            (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+            coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words,
+            coalesce(n_bad_lines, 0)::bigint as n_bad_lines, coalesce(lost_chars, 0)::bigint as lost_chars
+        from docs left join by_doc using (doc_id) left join repepositions as r using (doc_id)
+    )
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+        n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, n_bad_lines, lost_chars,
+        not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and lost_chars <= {line_rules.MAX_LOST}::double * word_chars as kept
+    from measured
+"""
 
 ORACLES: dict[str, str] = {
-    "op9_exact_dedup": f"""
-        with norm as (select doc_id, {NORMAL} as t from documents),
-        groups as (select t, max(doc_id) as keep_id, count(*) as group_size from norm group by t)
-        select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256
-        from norm join groups using (t)
-    """,
+    "op6_chosen_path": NEAR,
+    "op8_debruijn_spans": SPANS,
+    "op9_exact_dedup": EXACT,
+    "op10_line_rules": RULES,
 }
