@@ -68,7 +68,17 @@ class Tokens:
         return out
 
 
-GATHERED = "chunk long, part int, flags binary, tail_n array<long>, tail_v array<long>, top array<struct<n:long,key:long,tail:int>>, v long"
+FREQUENT = np.dtype([("n", "<i8"), ("key", "<u8"), ("tail", "<i4")])
+GATHERED = "chunk long, part int, flags binary, tail_n array<long>, tail_v array<long>, top binary"
+
+
+def _most_frequent(words: np.ndarray) -> np.ndarray:
+    return words[np.lexsort((words["key"], -words["n"]))[:TOP]]
+
+
+def _merge_top(group: pa.Table) -> pa.Table:
+    words = np.concatenate([np.frombuffer(b, FREQUENT) for b in group.column("top").to_pylist()])
+    return pa.table({"top": pa.array([_most_frequent(words).tobytes()], pa.binary())})
 
 
 def _gather(group: pa.Table) -> pa.Table:
@@ -81,19 +91,18 @@ def _gather(group: pa.Table) -> pa.Table:
     total = np.bincount(which, weights=load["n"], minlength=len(distinct)).astype(np.int64)
     tail = load["tail"][first].astype(np.int64)
     seen = total > 0
-    best = np.lexsort((distinct, -total))[:TOP]
-    best = best[total[best] > 0]
-    top = [{"n": int(total[i]), "key": int(distinct[i].view(np.int64)), "tail": int(tail[i])} for i in best]
+    words = np.zeros(len(distinct), FREQUENT)
+    words["n"], words["key"], words["tail"] = total, distinct, tail
+    top = _most_frequent(words[seen]).tobytes()
     sums = [np.bincount(tail, weights=total, minlength=TAILS).astype(np.int64).tolist(), np.bincount(tail[seen], minlength=TAILS).tolist(), top]
     end, spread, m = np.cumsum(n), total.astype("<u4")[which], len(n)
-    kinds = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.struct([("n", pa.int64()), ("key", pa.int64()), ("tail", pa.int32())]))]
+    kinds = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
     return pa.table(
         {
             "chunk": group.column("chunk"),
             "part": group.column("part"),
             "flags": pa.array([spread[e - k : e].tobytes() for e, k in zip(end, n, strict=True)], pa.binary()),
             **{name: pa.array([s] + [None] * (m - 1), kind) for name, s, kind in zip(("tail_n", "tail_v", "top"), sums, kinds, strict=True)},
-            "v": pa.array([int(seen.sum())] + [0] * (m - 1), pa.int64()),
         }
     )
 
@@ -119,20 +128,21 @@ class Lexicon:
 
 
 def lexicon(gathered: DataFrame, packed: DataFrame) -> Lexicon:
-    ends, words = 0, 0
+    """The totals; of the frequent words ``SLICES`` lists of ``TOP`` reach the driver at most."""
     sums = gathered.filter("tail_n is not null").select(F.posexplode(F.arrays_zip("tail_n", "tail_v")).alias("tail", "s"))
     tail_n, tail_v = np.zeros(TAILS, np.int64), np.zeros(TAILS, np.int64)
     for r in sums.groupBy("tail").agg(F.sum("s.tail_n").alias("n"), F.sum("s.tail_v").alias("v")).collect():
         tail_n[r.tail], tail_v[r.tail] = r.n, r.v
     words = int(tail_n.sum())
     v = int(tail_v.sum())
-    top = gathered.select(F.explode("top").alias("t")).select("t.*").orderBy(F.desc("n"), "key").limit(TOP).collect()
+    tops = gathered.filter("top is not null").select("top", F.pmod("part", F.lit(SLICES)).alias("slice"))
+    lists = [r.top for r in tops.groupBy("slice").applyInArrow(_merge_top, "top binary").collect()]
+    top = _most_frequent(np.concatenate([np.empty(0, FREQUENT), *(np.frombuffer(b, FREQUENT) for b in lists)]))
     train = F.pmod(F.crc32(F.coalesce(F.col("d").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) != 0
     ends = packed.select(F.explode("doc_id").alias("d")).filter(F.col("d").isNotNull() & train).count()
-    for r in top:
-        tail_n[r.tail] -= r.n
-        tail_v[r.tail] -= 1
-    keys = np.array([r.key for r in top], np.int64).view(np.uint64)
+    np.subtract.at(tail_n, top["tail"], top["n"])
+    np.subtract.at(tail_v, top["tail"], 1)
+    keys = top["key"].astype(np.uint64)
     order = np.argsort(keys)
     return Lexicon(words + ends, v + (ends > 0), ends, keys[order], 1 + order, tail_n, tail_v)
 
