@@ -1,13 +1,21 @@
-"""Statements in Java text: SQL annotations and query-builder chains, found by JVM regular expressions.
+"""Statements in Java text: SQL annotations and query-builder chains.
 
-The work is on text, not on a syntax tree: comments are dropped, the rest is cut into chunks that end in
-``;``, ``{`` or ``}`` outside literals, and chunks are matched. Parentheses nest up to four deep in
-arguments. All groups are possessive, so matching is linear and does not recurse on long literals.
+A file is cut into tokens once (strings, text blocks, characters, names, brackets; comments are dropped), and
+one pass over them matches brackets and knows the class and method at each place: a scope ends at its closing
+brace. Calls count at any depth. Files whose brackets do not match give no rows but one in ``java_rejects``.
+
+A builder belongs to the nearest method around it; one in a constructor, an initialiser or a field gives
+nothing. A method of an anonymous class counts under the named class around it. A variable that is declared
+without a value and set later keeps the type argument of its declaration.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querywarden.functions import text as tx
@@ -15,34 +23,293 @@ from querywarden.functions import text as tx
 LITERAL = r'"(?:[^"\\\n]++|\\.)*+"'
 TEXT_BLOCK = r'"""[\s\S]*?"""'
 STRING = f"(?:{TEXT_BLOCK}|{LITERAL})"
-COMMENT = r"/\*[\s\S]*?\*/|//[^\n]*"
-
-
-def _nested(depth: int) -> str:
-    """Argument text with balanced parentheses down to ``depth``."""
-    inner = f'(?:[^()"]++|{STRING})*+'
-    for _ in range(depth):
-        inner = f'(?:[^()"]++|{STRING}|\\({inner}\\))*+'
-    return inner
-
-
-ARGS = _nested(3)
-CALL = rf"\.\s*([A-Za-z_]\w*+)\s*\(({ARGS})\)"
+TOKEN = re.compile(
+    r'"""[\s\S]*?"""|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)+\''
+    r"|/\*[\s\S]*?\*/|//[^\n]*|[^\W\d][\w$]*|\$[\w$]*|\d[\w.]*|->|::|\S"
+)
 
 # The builder types and the calls that make one.
 WRAPPERS = ["QueryWrapper", "LambdaQueryWrapper", "UpdateWrapper", "LambdaUpdateWrapper"]
 FACTORIES = ["lambdaQuery", "lambdaUpdate", "query", "update"]
-WRAPPER = r"(?:Lambda)?(?:Query|Update)Wrapper"
-# Java words that can precede "(...) {" without naming a method.
-NOT_METHODS = "if|for|while|switch|catch|synchronized|try|else|do|return|new"
-
-
-def without_comments(content: Column) -> Column:
-    """Java text without comments; comment marks inside literals stay.
-
-    Text up to the next comment is matched as one piece, so the search does not start at every character.
+SQL_ANNOTATIONS = ["Select", "Insert", "Update", "Delete"]
+# Java words that can stand before "(...) {" without naming a method, open a type, or stand before a constructor.
+NOT_METHODS = {"if", "for", "while", "switch", "catch", "synchronized", "try"}
+TYPES = {"class", "interface", "enum", "record"}
+MODIFIERS = {"public", "protected", "private", "static", "final", "abstract", "default", "synchronized", "native", "strictfp"}
+CLOSES = {")": "(", "]": "[", "}": "{"}
+
+
+class Unbalanced(ValueError):
+    """Brackets of a file that do not match."""
+
+
+class Source:
+    """Tokens of a file with matched brackets and the scope of each brace."""
+
+    def __init__(self, content: str):
+        found = [m for m in TOKEN.finditer(content) if not m[0].startswith(("//", "/*"))]
+        self.token = [m[0] for m in found]
+        self.place = [m.span() for m in found]
+        self.content = content
+        self.match: dict[int, int] = {}
+        self.brace: list[int] = []
+        self.scope: dict[int, tuple[str, str]] = {}
+        self.outer: dict[int, int] = {}
+        stack, braces = [], [-1]
+        for i, t in enumerate(self.token):
+            self.brace.append(braces[-1])
+            if t in "([{":
+                stack.append(i)
+                if t == "{":
+                    self.scope[i], self.outer[i] = self._opened(i, braces[-1]), braces[-1]
+                    braces.append(i)
+            elif t in CLOSES:
+                if not stack or self.token[stack[-1]] != CLOSES[t]:
+                    raise Unbalanced(f"unmatched {t} at character {self.place[i][0]}")
+                self.match[i], self.match[stack[-1]] = stack[-1], i
+                stack.pop()
+                if t == "}":
+                    braces.pop()
+        if stack:
+            raise Unbalanced(f"{self.token[stack[-1]]} at character {self.place[stack[-1]][0]} is not closed")
+
+    def at(self, i: int) -> str:
+        return self.token[i] if 0 <= i < len(self.token) else ""
+
+    def is_name(self, i: int) -> bool:
+        t = self.at(i)
+        return bool(t) and (t[0].isalpha() or t[0] in "_$")
+
+    def text(self, low: int, high: int) -> str:
+        """Source text of the tokens from ``low`` up to ``high``, without comments."""
+        out, last = [], None
+        for i in range(low, high):
+            a, b = self.place[i]
+            if last is not None:
+                out.append(re.sub(r"/\*[\s\S]*?\*/|//[^\n]*", "", self.content[last:a]))
+            out.append(self.content[a:b])
+            last = b
+        return "".join(out)
+
+    def _opened(self, i: int, around: int) -> tuple[str, str]:
+        """What the brace at ``i`` opens: a type, an anonymous type, a method, a constructor, or something else."""
+        items, k = [], i - 1
+        while k >= 0 and self.token[k] not in (";", "{", "}", "("):
+            if self.token[k] in ")]":
+                k = self.match[k]
+            items.append(k)
+            if self.token[k] == "," and around >= 0 and self.scope[around][0] == "enum":
+                break
+            k -= 1
+        for k in reversed(items):
+            if self.token[k] in TYPES and self.at(k - 1) != "." and self.is_name(k + 1):
+                return ("enum" if self.token[k] == "enum" else "type", self.token[k + 1])
+        closed = i - 1
+        for k in items:
+            if self.token[k] == "throws":
+                closed = k - 1
+        if self.at(closed) != ")":
+            return ("other", "")
+        name = self.match[closed] - 1
+        k = name
+        while self.is_name(k) and self.token[k] != "new" or self.at(k) in ("<", ">", ".", ",", "?", "[", "]"):
+            k -= 1
+        if self.at(k) == "new":
+            return ("anonymous", "")
+        kind = self.scope[around][0] if around >= 0 else ""
+        if kind not in ("type", "anonymous", "enum") or not self.is_name(name) or self.token[name] in NOT_METHODS:
+            return ("other", "")
+        before = self.at(name - 1)
+        if kind == "enum" and before in ("{", ","):
+            return ("anonymous", "")
+        typed = (self.is_name(name - 1) and before not in MODIFIERS and self.at(name - 2) != "@") or before in (">", "]")
+        return ("method" if typed else "constructor", self.token[name])
+
+    def class_of(self, i: int) -> str:
+        b = self.brace[i]
+        while b >= 0 and self.scope[b][0] not in ("type", "enum"):
+            b = self.outer[b]
+        return self.scope[b][1] if b >= 0 else "Unknown"
+
+    def methods_of(self, i: int) -> list[int]:
+        """Braces of the methods around a token, the nearest first; none beyond a constructor."""
+        b, out = self.brace[i], []
+        while b >= 0:
+            if self.scope[b][0] == "constructor":
+                break
+            if self.scope[b][0] == "method":
+                out.append(b)
+            b = self.outer[b]
+        return out
+
+    def generic(self, k: int) -> tuple[str | None, int]:
+        """First type argument of the ``<...>`` at ``k``, if there is one, and the token behind it."""
+        if self.at(k) != "<":
+            return None, k
+        depth, j = 0, k
+        while j < len(self.token):
+            depth += (self.token[j] == "<") - (self.token[j] == ">")
+            j += 1
+            if not depth:
+                break
+        return (self.token[k + 1] if self.is_name(k + 1) else None), j
+
+    def after_annotations(self, k: int) -> int:
+        while self.at(k) == "@" and self.is_name(k + 1):
+            k += 2
+            while self.at(k) == "." and self.is_name(k + 1):
+                k += 2
+            if self.at(k) == "(":
+                k = self.match[k] + 1
+        return k
+
+    def args(self, opened: int) -> list[str]:
+        """Arguments of the call whose bracket is at ``opened``, white space as one space."""
+        out, low, k = [], opened + 1, opened + 1
+        end = self.match[opened]
+        while k <= end:
+            if k == end or self.token[k] == ",":
+                out.append(re.sub(r"\s+", " ", self.text(low, k)).strip())
+                low = k + 1
+            elif self.token[k] in "([{":
+                k = self.match[k]
+            k += 1
+        return [a for a in out if a]
+
+    def chain(self, k: int) -> tuple[list[tuple[int, str, list[str]]], int]:
+        """The calls ``.name(..)`` from ``k`` on, and the token behind them."""
+        calls = []
+        while self.at(k) == ".":
+            name = self.generic(k + 1)[1]
+            if not self.is_name(name) or self.at(name + 1) != "(":
+                break
+            calls.append((name, self.token[name], self.args(name + 1)))
+            k = self.match[name + 1] + 1
+        return calls, k
+
+    def annotations(self) -> list[dict]:
+        """SQL annotations on methods."""
+        out = []
+        for i, t in enumerate(self.token):
+            if t == "@" and self.at(i + 1) in SQL_ANNOTATIONS and self.at(i + 2) == "(":
+                end = self.match[i + 2]
+                k = self.after_annotations(end + 1)
+                while k < len(self.token) and self.token[k] not in (";", "{", "}", "="):
+                    if self.is_name(k) and self.at(k + 1) == "(":
+                        out.append({"kind": "sql", "pos": i, "cls": self.class_of(i), "name": self.token[k], "sql_type": self.token[i + 1].upper(), "text": self.text(i + 3, end)})
+                        break
+                    k = self.after_annotations(k) if self.token[k] == "@" else k + 1
+        return out
+
+    def entities(self) -> list[dict]:
+        """Table names on classes."""
+        out = []
+        for i, t in enumerate(self.token):
+            if t != "@" or self.at(i + 1) != "TableName" or self.at(i + 2) != "(":
+                continue
+            end, value = self.match[i + 2], i + 3
+            if not self.at(value).startswith('"'):
+                named = [k for k in range(i + 3, end) if self.token[k] == "value" and self.token[k + 1] == "="]
+                value = named[0] + 2 if named else end
+            k = self.after_annotations(end + 1)
+            while k < len(self.token) and (self.token[k] in MODIFIERS or self.token[k] == "@"):
+                k = self.after_annotations(k) if self.token[k] == "@" else k + 1
+            if self.at(value).startswith('"') and self.at(k) == "class" and self.is_name(k + 1):
+                out.append({"kind": "entity", "pos": i, "name": self.token[k + 1], "text": self.token[value]})
+        return out
+
+    def usages(self) -> list[dict]:
+        """Calls on builders, in source order for each builder."""
+        made: list[dict] = []
+        held: dict[tuple[int, str], dict] = {}
+        declared: dict[tuple[int, str], tuple[str, str | None]] = {}
+
+        def born(i: int, wrapper: str, entity: str | None, calls: list, var: str | None) -> None:
+            methods = self.methods_of(i)
+            if not methods:
+                return
+            if var is not None and entity is None:
+                entity = next((declared[m, var][1] for m in methods if (m, var) in declared), None)
+            usage = {"at": i, "method": methods[0], "wrapper": wrapper, "entity": entity, "calls": list(calls)}
+            made.append(usage)
+            if var is not None:
+                held[next((m for m in methods if (m, var) in declared), methods[0]), var] = usage
+
+        for i in range(len(self.token)):
+            t = self.token[i]
+            if t in WRAPPERS and self.at(i - 1) not in ("new", ".") and self.methods_of(i):
+                entity, k = self.generic(i + 1)
+                if self.is_name(k) and self.at(k + 1) in ("=", ";", ","):
+                    declared[self.methods_of(i)[0], self.token[k]] = (t, entity)
+                    start = k + 2
+                    if self.at(k + 1) == "=":
+                        f = start + 2 if self.is_name(start) and self.at(start + 1) == "." else start
+                        f = self.generic(f)[1]
+                        if self.at(f) in FACTORIES and self.at(f + 1) == "(":
+                            born(i, t, entity, self.chain(self.match[f + 1] + 1)[0], self.token[k])
+            elif t == "new":
+                k = i + 1
+                while self.is_name(k) and self.at(k + 1) == ".":
+                    k += 2
+                if self.at(k) in WRAPPERS:
+                    entity, opened = self.generic(k + 1)
+                    if self.at(opened) == "(":
+                        calls, end = self.chain(self.match[opened] + 1)
+                        var = self.token[i - 2] if self.at(i - 1) == "=" and self.is_name(i - 2) and self.at(end) in (";", ",") else None
+                        born(i, self.token[k], entity, calls, var)
+            elif self.is_name(i) and self.at(i + 1) == "." and self.at(i - 1) != ".":
+                usage = next((held[m, t] for m in self.methods_of(i) if (m, t) in held), None)
+                if usage is not None:
+                    usage["calls"] += self.chain(i + 1)[0]
+        out = []
+        for u in made:
+            who = {"cls": self.class_of(u["at"]), "name": self.scope[u["method"]][1]}
+            for seq, (_, call, args) in enumerate(sorted(u["calls"], key=lambda c: c[0]), 1):
+                out.append({"kind": "call", "pos": u["at"], **who, "wrapper_type": u["wrapper"], "declared_entity": u["entity"], "seq": seq, "call_name": call, "args": args})
+        return out
+
+
+SCANNED = (
+    "path string, kind string, pos long, cls string, name string, sql_type string, text string, wrapper_type string, "
+    "declared_entity string, seq long, call_name string, args array<string>"
+)
+
+
+def scan_java(files: DataFrame, *kinds: str) -> DataFrame:
+    """(path, content) to rows of the kinds ``sql``, ``entity``, ``call`` and ``reject``, of one pass over each file.
+
+    Null content counts as empty.
     """
-    return F.regexp_replace(content, f'((?:[^"/]++|{STRING}|/(?![/*])|")++)|{COMMENT}', "$1")
+    wanted = kinds or ("sql", "entity", "call", "reject")
+
+    def rows_of(content: str) -> list[dict]:
+        try:
+            source = Source(content)
+        except Unbalanced as problem:
+            return [{"kind": "reject", "text": str(problem)}]
+        parts = {"sql": source.annotations, "entity": source.entities, "call": source.usages}
+        return [r for k in wanted if k in parts for r in parts[k]()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema(
+            [("path", pa.string()), ("kind", pa.string()), ("pos", pa.int64()), *[(c, pa.string()) for c in ("cls", "name", "sql_type", "text", "wrapper_type", "declared_entity")],
+             ("seq", pa.int64()), ("call_name", pa.string()), ("args", pa.list_(pa.string()))]
+        )
+        for batch in batches:
+            found = [
+                {"path": path, **row}
+                for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)
+                for row in rows_of(content or "")
+                if row["kind"] in wanted
+            ]
+            yield pa.RecordBatch.from_pylist(found, schema)
+
+    return files.select("path", "content").mapInArrow(run, SCANNED)
+
+
+def java_rejects(files: DataFrame) -> DataFrame:
+    """(path, reason) of files whose brackets do not match."""
+    return scan_java(files, "reject").select("path", F.col("text").alias("reason"))
 
 
 def _find(text: Column | str, pattern: str, group: int = 1) -> Column:
@@ -53,15 +320,6 @@ def _find_all(text: Column | str, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-def _null_if_empty(text: Column) -> Column:
-    return F.when(text != "", text)
-
-
-def split_args(args: Column) -> Column:
-    """Arguments of a call, parted at top-level commas and trimmed."""
-    pieces = _find_all(args, f'(?:[^(),"]++|{STRING}|\\({_nested(3)}\\))++')
-    return F.filter(F.transform(pieces, lambda p: F.trim(F.regexp_replace(p, r"\s+", " "))), lambda p: p != "")
-
 
 def literal_value(token: Column) -> Column:
     """Text between the quotes of a literal or text block, escapes kept as written."""
@@ -95,142 +353,32 @@ def with_annotation_text(rows: DataFrame) -> DataFrame:
 
 
 def annotation_sql_extract(files: DataFrame) -> DataFrame:
-    """(path, content) to one row per SQL annotation on a method.
-
-    The class is the nearest one declared above the method.
-    """
-    annotation = rf"@(?:Select|Insert|Update|Delete)\s*\({ARGS}\)"
-    # the method name is looked ahead, so that each of several annotations on a method finds it
-    method = rf"(?=(?:\s*@\w++(?:\s*\({ARGS}\))?)*+[\w<>\[\],.?\s]*?\b([A-Za-z_$][\w$]*+)\s*\()"
-    event = rf"\b(?:class|interface)\s+[A-Za-z_]\w*+|{annotation}{method}"
-    code = files.select("path", without_comments(F.col("content")).alias("code"))
-    pairs = F.arrays_zip(_find_all("code", event, 0).alias("event"), _find_all("code", event, 1).alias("name"))
-    events = code.select("path", F.posexplode(pairs).alias("pos", "e")).select("path", "pos", "e.event", "e.name")
-    # all text work comes before the shuffle by file, which only carries the class name down
-    texts = with_annotation_text(
-        events.select(
-            "path", "pos", "name",
-            _null_if_empty(_find("event", r"^(?:class|interface)\s+(\w+)")).alias("opened"),
-            _null_if_empty(F.upper(_find("event", r"^@(\w+)"))).alias("sql_type"),
-            _find("event", rf"^@\w+\s*\(({ARGS})\)").alias("args"),
-        )
-    ).withColumn("sql_normalized", tx.normalize_sql(F.col("sql_text")))
-    cls = F.last("opened", True).over(Window.partitionBy("path").orderBy("pos"))
-    return (
-        texts.withColumn("cls", F.coalesce(cls, F.lit("Unknown")))
-        .filter(F.col("sql_type").isNotNull() & (F.col("sql_normalized") != ""))
-        .select(
-            F.col("path").alias("source_file"), "sql_text", "sql_type",
-            F.concat("cls", F.lit("."), "name").alias("source_location"),
-            "sql_normalized", F.lit("ANNOTATION").alias("source_type"),
-        )
+    """(path, content) to one row per SQL annotation on a method, under the class whose braces hold it."""
+    found = scan_java(files, "sql").select("path", "cls", "name", "sql_type", F.col("text").alias("args"))
+    texts = with_annotation_text(found).withColumn("sql_normalized", tx.normalize_sql(F.col("sql_text")))
+    return texts.filter("sql_normalized <> ''").select(
+        F.col("path").alias("source_file"), "sql_text", "sql_type",
+        F.concat("cls", F.lit("."), "name").alias("source_location"),
+        "sql_normalized", F.lit("ANNOTATION").alias("source_type"),
     )
 
 
 def entity_table_map(files: DataFrame) -> DataFrame:
     """(entity, table_name) from table-name annotations on classes; of several, the last path counts."""
-    args = rf"\(\s*(?:(?:[^()\"]|{STRING})*?\bvalue\s*=\s*)?({LITERAL}){ARGS}\)"
-    between = rf"(?:\s*@\w++(?:\s*\({ARGS}\))?)*+[\w\s]*?\bclass\s+([A-Za-z_]\w*+)"
-    found = files.select(
-        "path", F.explode(_find_all(without_comments(F.col("content")), rf"@TableName\s*{args}{between}")).alias("m")
-    )
-    pattern = rf"@TableName\s*{args}{between}"
-    rows = found.select("path", _find("m", pattern, 2).alias("entity"), literal_value(_find("m", pattern, 1)).alias("table_name"))
+    rows = scan_java(files, "entity").select("path", F.col("name").alias("entity"), literal_value(F.col("text")).alias("table_name"))
     return (
         rows.filter("table_name <> ''").groupBy("entity").agg(F.max(F.struct("path", "table_name")).alias("m"))
         .select("entity", F.col("m.table_name").alias("table_name"))
     )
 
 
-def code_chunks(files: DataFrame) -> DataFrame:
-    """``path, pos, opened_class, opened_method, chunk``: chunks and the class or method they open."""
-    code = files.select("path", without_comments(F.col("content")).alias("code"))
-    chunks = code.select("path", F.posexplode(_find_all("code", f'(?:[^;{{}}"]++|{STRING})*+[;{{}}]')).alias("pos", "chunk"))
-    opens = F.endswith("chunk", F.lit("{"))
-    cls = _null_if_empty(_find("chunk", r"\b(?:class|interface|enum)\s+([A-Za-z_]\w*)[^;]*\{$"))
-    header = rf"(?:^|[\s>\]])(?!(?:{NOT_METHODS})\b)([A-Za-z_$][\w$]*)\s*\({ARGS}\)\s*(?:throws\s+[\w.,\s]+)?\{{$"
-    is_header = ~F.col("chunk").rlike(r"=|->|\bnew\s|^\s*[.})]|\belse\b") & ~F.col("chunk").rlike(rf"\b(?:{NOT_METHODS})\s*\(")
-    method = F.when(is_header, _null_if_empty(_find("chunk", header)))
-    return chunks.select(
-        "path", "pos", F.when(opens, cls).alias("opened_class"), F.when(opens, method).alias("opened_method"), "chunk"
-    )
-
-
 def wrapper_call_extract(files: DataFrame) -> DataFrame:
     """Builder calls: ``path, cls, method, usage_id, wrapper_type, declared_entity, seq, call_name, args``.
 
     A usage is one builder. Its calls are those chained to its creation and, if it is held in a variable,
-    the later ones on that variable in the same method, in source order. All text work comes before the
-    one shuffle by file; the windows behind it only carry names down a file.
+    the later ones on that variable in the same method, in source order.
     """
-    chain = rf"((?:\s*\.\s*[A-Za-z_]\w*+\s*\({ARGS}\))*+)"
-    create = rf"new\s+({WRAPPER})\b\s*(<[^()]*?>)?\s*\({ARGS}\){chain}"
-    factory = rf"=\s*(?:[A-Za-z_]\w*\s*\.\s*)?(?:<[^()]*?>\s*)?(?:{'|'.join(FACTORIES)})\s*\({ARGS}\){chain}"
-    declared = rf"\b({WRAPPER})\s*(<[^()=]*?>)?\s+([A-Za-z_]\w*+)\s*=(?!=)"
-    on_var = rf"(?<![\w.])([A-Za-z_]\w*+)((?:\s*\.\s*[A-Za-z_]\w*+\s*\({ARGS}\))++)"
-
-    chunk, none = F.col("chunk"), F.array().cast("array<string>")
-
-    def codes(kind: str, found: Column) -> Column:
-        return F.transform(found, lambda code, i: F.struct(F.lit(kind).alias("kind"), i.alias("nth"), code.alias("code")))
-
-    has_call = chunk.rlike(r"[A-Za-z_]\w*\s*(?:\.|<|\()")
-    chunks = code_chunks(files).select(
-        "path", "pos", "opened_class", "opened_method", "chunk",
-        # creations: "new X<T>(..)" with its chain, or a factory assigned to a declared builder
-        F.when(has_call & chunk.rlike(rf"new\s+{WRAPPER}"), _find_all(chunk, create)).otherwise(none).alias("news"),
-        # chains on plain names, also one level down in the arguments of another call
-        F.when(has_call, _find_all(chunk, on_var)).otherwise(none).alias("outer"),
-    )
-    is_made = (F.size("news") == 0) & F.contains(chunk, F.lit("Wrapper")) & chunk.rlike(declared) & chunk.rlike(factory)
-    made = F.when(is_made, F.array(chunk)).otherwise(none)
-    inner = F.flatten(F.transform("outer", lambda code: _find_all(F.regexp_extract(code, on_var, 2), on_var)))
-    every = F.concat(codes("new", F.col("news")), codes("made", made), codes("use", F.concat("outer", inner)))
-    found = chunks.select("path", "pos", "opened_class", "opened_method", "chunk", F.explode_outer(every).alias("e")).select(
-        "path", "pos", "opened_class", "opened_method", "chunk", "e.*"
-    )
-
-    kind, code, holder = F.col("kind"), F.col("code"), F.col("holder")
-    held = _null_if_empty(_find(chunk, rf"([A-Za-z_]\w*+)\s*=\s*{create}\s*;$"))
-    found = found.withColumn("holder", F.when(kind == "new", held))
-    by_kind = lambda new, made, use: F.when(kind == "new", new).when(kind == "made", made).when(kind == "use", use)
-    nothing = F.lit(None).cast("string")
-    generic = lambda text: _null_if_empty(F.regexp_extract(text, r"^<\s*(\w+)", 1))
-    declared_generic = generic(_find(chunk, declared, 2))
-    new_entity = F.coalesce(generic(_find(code, create, 2)), F.when(holder.isNotNull(), declared_generic))
-    rows = found.select(
-        "path", "pos", "opened_class", "opened_method", F.when(kind == "use", 1).otherwise(0).alias("order"), "nth",
-        by_kind(holder, _null_if_empty(_find(chunk, declared, 3)), _find(code, on_var, 1)).alias("var"),
-        kind.isin("new", "made").alias("is_born"),
-        by_kind(_find(code, create, 1), _find(chunk, declared, 1), nothing).alias("wrapper_type"),
-        by_kind(new_entity, declared_generic, nothing).alias("declared_entity"),
-        _find_all(by_kind(_find(code, create, 3), _find(chunk, factory, 1), _find(code, on_var, 2)), CALL).alias("calls"),
-    )
-    calls = F.transform(
-        "calls",
-        lambda c: F.struct(F.regexp_extract(c, CALL, 1).alias("call_name"), split_args(F.regexp_extract(c, CALL, 2)).alias("args")),
-    )
-    rows = rows.withColumn("calls", calls)
-
-    above = Window.partitionBy("path").orderBy("pos")
-    placed = (
-        rows.withColumn("cls", F.coalesce(F.last("opened_class", True).over(above), F.lit("Unknown")))
-        .withColumn("method", F.last("opened_method", True).over(above))
-        .filter(F.col("method").isNotNull() & F.col("is_born").isNotNull())
-    )
-    key = ["path", "cls", "method"]
-    born = F.concat_ws("#", *key, F.col("pos").cast("string"), F.col("nth").cast("string"))
-    placed = placed.withColumn("usage_id", F.when(F.col("is_born"), born))
-    # a later chain belongs to the builder that the variable last took; creations without one stand alone
-    placed = placed.withColumn("slot", F.coalesce("var", F.concat(F.lit("#"), F.col("usage_id"))))
-    so_far = Window.partitionBy(*key, "slot").orderBy("pos", "order", "nth")
-    carried = [F.last(c, True).over(so_far).alias(c) for c in ("usage_id", "wrapper_type", "declared_entity")]
-    owned = placed.select(*key, "pos", "order", F.col("nth").alias("at"), "slot", *carried, "calls")
-    each = owned.filter(F.col("usage_id").isNotNull()).select(
-        *key, "usage_id", "slot", "wrapper_type", "declared_entity", "pos", "order", "at", F.posexplode("calls").alias("nth", "call")
-    )
-    in_order = Window.partitionBy(*key, "slot", "usage_id").orderBy("pos", "order", "at", "nth")
-    return each.select(
-        *key, "usage_id", "wrapper_type", "declared_entity",
-        F.row_number().over(in_order).cast("long").alias("seq"), "call.call_name", "call.args",
+    return scan_java(files, "call").select(
+        "path", "cls", F.col("name").alias("method"), F.concat_ws("#", "path", "cls", "name", F.col("pos").cast("string")).alias("usage_id"),
+        "wrapper_type", "declared_entity", "seq", "call_name", "args",
     )

@@ -200,6 +200,36 @@ def wrapper_statements(inp):
     return out.select("source_file", "source_location", "source_type", "sql_type", "sql_text")
 
 
+SCOPES = r"""
+select concat('src/C', cast(p_partkey as string), '.java') as path, concat('class A {', chr(10), case p_partkey % 7
+  when 0 then ' void m() { QueryWrapper<User> q = new QueryWrapper<>(); q.eq("a", f(g(h(i(j(k(l(1)))))))).eq("b", 2); }'
+  when 1 then ' void m() { QueryWrapper<User> q = new QueryWrapper<>(); dao.a(x.b(y.c(q.eq("z", 1)))); }'
+  when 2 then ' void m() { QueryWrapper<User> q = new QueryWrapper<>(); run(new Runnable() { public void run() { go(); } }); q.eq("a", 1); }'
+  when 3 then ' static class B { void n() { } } void m() { QueryWrapper<User> q = new QueryWrapper<>(); q.eq("a", 1); }'
+  when 4 then concat(' void m() { QueryWrapper<User> q = new QueryWrapper<>(); q.eq("a", ', chr(39), ')', chr(39), ').eq("b", 2); }')
+  when 5 then ' void m() { QueryWrapper<User> q = new QueryWrapper<>(); q.eq("a", 1).and(w -> { w.x(); }).eq("b", 2); }'
+  else ' A() { dao.x(new QueryWrapper<User>().eq("no", 1)); } void m() { QueryWrapper<User> q; q = new QueryWrapper<>(); q.eq("c", 1); }' end,
+  chr(10), '}') as content from part"""
+
+
+@query(
+    "wrapper_scopes",
+    """select concat('src/C', p_partkey::varchar, '.java') as source_file, 'A.m' as source_location,
+  concat('SELECT * FROM t_user WHERE ', case p_partkey % 7 when 0 then 'a = ? AND b = ?' when 1 then 'z = ?' when 2 then 'a = ?' when 3 then 'a = ?'
+    when 4 then 'a = ? AND b = ?' when 5 then 'a = ? AND b = ?' else 'c = ?' end) as sql_text from part""",
+)
+def wrapper_scopes(inp):
+    files = inp.sql(SCOPES)
+    out = wr.wrapper_statements(js.wrapper_call_extract(files), js.entity_table_map(files))
+    return out.select("source_file", "source_location", "sql_text")
+
+
+@query("java_rejects", "select concat('src/R', p_partkey::varchar, '.java') as path from part where p_partkey % 3 = 1")
+def java_rejects(inp):
+    files = inp.sql("select concat('src/R', cast(p_partkey as string), '.java') as path, concat('class R { ', case when p_partkey % 3 = 1 then '{' else '' end, p_name, ' }') as content from part")
+    return js.java_rejects(files).select("path")
+
+
 COL = "case arg0 when 'User::getUserName' then 'user_name' when 'COUNTRY_ID' then 'country_id' when 'maxTaskNum' then 'max_task_num' else 'status' end"
 CLAUSES = {
     "clauses": f"""

@@ -156,3 +156,28 @@ def test_table_files(spark, tmp_path, table):
     out = str(tmp_path / "out")
     fs.ddl_export(table([("00 x", 3, "CREATE\n()")], "table_name string, estimated_rows long, ddl string"), out)
     assert rows(fs.ddl_directory_load(spark, out)) == [("00 x", "-- Estimated Rows: 3\n\nCREATE\n()\n")]
+
+
+def test_builders_at_any_depth_and_scopes_that_close(table):
+    deep = statements(table, "class A { void m(){ QueryWrapper<User> q = new QueryWrapper<>(); q.eq(\"a\", f(g(h(i(j(k(l(1)))))))).eq(\"b\", 2); } }")
+    assert deep == [("SELECT * FROM t_user WHERE a = ? AND b = ?", "SELECT")]
+    nested = statements(table, "class A { void m(){ QueryWrapper<User> q = new QueryWrapper<>(); dao.a(x.b(y.c(q.eq(\"z\", 1)))); } }")
+    assert nested == [("SELECT * FROM t_user WHERE z = ?", "SELECT")]
+    source = """class A { void m(){ QueryWrapper<User> q = new QueryWrapper<>(); run(new Runnable(){ public void run(){ go(); q.eq("r", 1); } });
+        q.eq("a", ')').and(w -> { w.x(); }).eq("b", 2); } A(){ dao.x(new QueryWrapper<User>().eq("no", 1)); }
+        static class B { void n(){} } void o(){ QueryWrapper<User> s; s = new QueryWrapper<>(); s.eq("c", 1); } }"""
+    df = table([("A.java", source)], "path string, content string")
+    out = wr.wrapper_statements(js.wrapper_call_extract(df), js.entity_table_map(df))
+    assert rows(out, "source_location", "sql_text") == [
+        ("A.m", "SELECT * FROM t_user WHERE r = ? AND a = ? AND b = ?"),
+        ("A.o", "SELECT * FROM t_user WHERE c = ?"),
+    ]
+    after = "class A { static class B { int x() { return 1; } } @Select(\"select 1 from t\") int m(); enum E { P { void q() {} }, Q } @Delete(\"delete from t\") void d() throws X; }"
+    out = js.annotation_sql_extract(table([("A.java", after)], "path string, content string"))
+    assert rows(out, "source_location") == [("A.d",), ("A.m",)]
+
+
+def test_files_that_do_not_balance_are_reported(table):
+    files = table([("a", "class A { void m() { }"), ("b", "class B { int x[) }"), ("c", None), ("d", "class D { char c = '{'; }")], "path string, content string")
+    assert [r[0] for r in rows(js.java_rejects(files), "path")] == ["a", "b"]
+    assert js.wrapper_call_extract(files).count() == 0
