@@ -27,18 +27,32 @@ def fingerprint(normalized: Column) -> Column:
     return F.when(is_blank(normalized), "").otherwise(F.sha2(F.trim(F.lower(normalized)), 256))
 
 
+# A name in a table list, an alias behind it (no word that goes on with the statement), and a join condition.
+_NAME = r"[^\s,;()]++"
+_GOES_ON = (
+    "where|on|using|set|values|value|select|join|left|right|inner|outer|cross|full|natural|straight_join|group|order|having|limit|offset|union|except"
+    "|intersect|for|window|force|use|ignore|partition|returning|when"
+)
+_ALIAS = rf"(?:\s++(?:as\s++)?(?!(?:{_GOES_ON})\b)[`\"A-Za-z_][\w`\"$]*+)?+"
+_CONDITION = (
+    r"\s++(?:using\s*+\([^()]*+\)|"
+    rf"on\b(?:(?!\b(?:{_GOES_ON.replace('on|', '', 1)})\b)[^,;()]|\((?:[^()]|\([^()]*+\))*+\))*+)"
+)
+_LIST = rf"{_NAME}{_ALIAS}(?:(?:{_CONDITION})?\s*+,\s*+{_NAME}{_ALIAS})*+"
+
+
 def table_refs(sql: Column) -> Column:
     """Distinct lower-case names after FROM, JOIN, INTO and UPDATE, in order of appearance.
 
-    A schema prefix is dropped, and so are sub-selects and names that start with an underscore.
-    Of a comma join only the first table is seen.
+    All names of a comma list count, also one that goes on after a join and its condition. Aliases, a schema
+    prefix and quotes are dropped, and so are names that start with an underscore. A list is followed up to
+    a sub-select in it.
     """
-    tokens = F.regexp_extract_all(sql, F.lit(r"(?i)(?:^|\s)(?:from|join|into|update)\s+(\S+)"), F.lit(1))
-    names = F.transform(
-        tokens,
-        lambda t: F.regexp_replace(F.lower(F.regexp_replace(t, r"[`,;()]+", "")), r"^.*\.", ""),
-    )
-    kept = F.filter(names, lambda n: (n != "") & ~n.startswith("select") & ~n.startswith("_"))
+    lists = F.regexp_extract_all(sql, F.lit(rf"(?i)(?:^|[\s(])(?:from|join|into|update)\s++({_LIST})"), F.lit(1))
+    bare = F.transform(lists, lambda t: F.regexp_replace(t, rf"(?i){_CONDITION}(?=\s*,)", ""))
+    items = F.flatten(F.transform(bare, lambda t: F.split(t, r"\s*,\s*")))
+    names = F.transform(items, lambda t: F.regexp_replace(F.lower(F.regexp_extract(t, r"^\s*([^\s]+)", 1)), r"^.*\.|[`\"\[\]]+", ""))
+    kept = F.filter(names, lambda n: (n != "") & ~n.startswith("_") & ~n.isin("select", "lateral", "unnest"))
     return F.coalesce(F.array_distinct(kept), F.array().cast("array<string>"))
 
 

@@ -42,22 +42,20 @@ ISSUE_PATTERNS = {
 HUGE_ROWS, LARGE_ROWS, SMALL_ROWS = 1_000_000, 20_000, 1_000
 POOR_SELECTIVITY = 0.01
 
-TEMPLATE_SLOTS = 5
-
-
 def prompt_assemble(statements: DataFrame, templates: DataFrame, key: str, default: str) -> DataFrame:
     """Statements with ``prompt``: the active template of ``key``, else the default, its ``%s`` filled.
 
-    The slots are type, location, normalised text, table context and knowledge context, in this order.
+    The slots are type, location, normalised text, table context and knowledge context, in this order; a mark
+    beyond the fifth stays as it is written.
     """
     found = templates.filter((F.col("template_key") == key) & (F.col("status") == 1)).agg(F.max("content"))
     pieces = F.split(F.coalesce(found.scalar(), F.lit(default)), "%s", -1)
     values = [F.coalesce(c, F.lit("")) for c in ("sql_type", "source_location", "sql_normalized", "ddl_context", "knowledge_context")]
-    joined = [F.get(pieces, F.lit(0))]
-    for i, value in enumerate(values, start=1):
-        piece = F.get(pieces, F.lit(i))
-        joined += [F.when(piece.isNotNull(), F.concat(value, piece)).otherwise("")]
-    return statements.withColumn("prompt", F.concat(*joined))
+    named = statements.withColumn("_slots", F.array(*values)).withColumn("_pieces", pieces)
+    filled = F.transform(
+        "_pieces", lambda piece, i: F.when(i == 0, piece).otherwise(F.concat(F.coalesce(F.get("_slots", i - 1), F.lit("%s")), piece))
+    )
+    return named.withColumn("prompt", F.array_join(filled, "")).drop("_slots", "_pieces")
 
 
 def strip_fences(response: Column) -> Column:

@@ -7,7 +7,7 @@ operator returns the next snapshot.
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -227,20 +227,25 @@ def reuse_prior_analysis(records: DataFrame, analyses: DataFrame) -> DataFrame:
 
 
 def seen_within_ttl(rows: DataFrame, key: str, ts: str, ttl: timedelta = timedelta(hours=24)) -> DataFrame:
-    """Adds ``reused``: whether the key already occurred less than ``ttl`` (at most a day) earlier.
+    """Adds ``reused``: whether the key already occurred less than ``ttl`` earlier.
 
     This counts any earlier occurrence, so a refresh prolongs the time; see ``assess_with_ttl`` for
-    expiry after writing. Only the first instant of each (key, hour) can look further back than its
-    own hour, so the ordered pass runs over one row per key and hour, not over all rows.
+    expiry after writing. Time is cut into parts of an hour, or of ``ttl`` if that is shorter; only the first
+    instant of a key in a part can look back beyond the part, so the ordered pass runs over one row per key
+    and part, not over all rows. A null key is a key; a null time is never reused.
     """
-    hour = F.date_trunc("hour", F.col(ts)).cast("timestamp_ntz")
-    hourly = rows.withColumn("_hour", hour)
-    chunks = hourly.groupBy(key, "_hour").agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
-    order = Window.partitionBy(key).orderBy("_hour")
-    chunks = chunks.withColumn("_before", F.lag("_last").over(order)).drop("_last")
+    if ttl <= timedelta(0):
+        raise ValueError("ttl must be positive")
+    micros = min(ttl, timedelta(hours=1)) // timedelta(microseconds=1)
+    since = F.timestamp_diff("MICROSECOND", F.lit(datetime(1970, 1, 1)).cast("timestamp_ntz"), F.col(ts).cast("timestamp_ntz"))
+    parted = rows.withColumn("_part", F.floor(since / micros))
+    parts = parted.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_at")).agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
+    order = Window.partitionBy("_key").orderBy("_at")
+    parts = parts.withColumn("_before", F.lag("_last").over(order)).drop("_last")
     limit = F.col(ts) - F.lit(ttl)
-    reused = (F.col(ts) > F.col("_first")) | F.coalesce(F.col("_before") >= limit, F.lit(False))
-    return hourly.join(chunks, [key, "_hour"]).withColumn("reused", reused).drop("_hour", "_first", "_before")
+    reused = F.coalesce((F.col(ts) > F.col("_first")) | (F.coalesce(F.col("_before") > limit, F.lit(False))), F.lit(False))
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col("_part").eqNullSafe(F.col("_at"))
+    return parted.join(parts, same).withColumn("reused", reused).drop("_part", "_key", "_at", "_first", "_before")
 
 
 def assess_with_ttl(

@@ -69,6 +69,7 @@ def vector_topk(
     min_similarity: float = MIN_SIMILARITY,
     pivots: int = 64,
     block_rows: int = 20_000,
+    skip_self: bool = False,
 ) -> DataFrame:
     """``query_id, entry_id, similarity, rank``: the ``k`` most similar entries with cosine >= the minimum.
 
@@ -76,7 +77,8 @@ def vector_topk(
     triangle inequality of angles a query only has to visit the cells whose ball it can reach. A cell is
     cut into blocks of about ``block_rows`` entries, a block's visitors likewise, and a task multiplies
     one block pair and hands on the best ``k`` per query, never the pairs. Pivots are a fixed number of
-    entries, the lowest by hash.
+    entries, the lowest by hash. ``skip_self`` leaves out entries with the query's own id. At worst, where the
+    bound excludes no cell, all pairs are multiplied: an exact answer on vectors without clusters costs that.
     """
     chosen = corpus.orderBy(F.xxhash64("id"), "id").limit(pivots).select("embedding").collect()
     if not chosen:
@@ -138,8 +140,11 @@ def vector_topk(
                 part = q.iloc[start : start + 512]
                 cos = _unit(part["embedding"]) @ mat.T
                 for qid, row in zip(part["id"], cos):
-                    best = np.argsort(-row, kind="stable")[:k]
-                    best = best[row[best] >= min_similarity]
+                    if skip_self:
+                        row[ids == qid] = -2.0
+                    floor = max(min_similarity, np.partition(row, -k)[-k]) if len(row) > k else min_similarity
+                    close = np.flatnonzero(row >= floor)
+                    best = close[np.argsort(-row[close], kind="stable")[:k]]
                     out["query_id"] += [qid] * len(best)
                     out["entry_id"] += ids[best].tolist()
                     out["similarity"] += row[best].tolist()

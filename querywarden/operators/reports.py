@@ -92,14 +92,18 @@ def _project_names(projects: DataFrame) -> DataFrame:
     return projects.select(F.col("id").alias("project_id"), "project_name")
 
 
+# what an analysis says besides its level, as far as the table has it
+ADVICE = ["ai_analysis", "ai_index_suggestion", "ai_rewrite_suggestion", "ai_estimated_scan_rows"]
+
+
 def risky_statements(
     analyses: DataFrame, records: DataFrame, projects: DataFrame, level: str | None = None, status: str | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Analyses by level, newest first, with their statement; 20 by default, at most 100.
+    """Analyses by level, newest first, with their statement; 20 by default.
 
     The first rows are cut before the joins.
     """
-    size = 20 if limit is None or limit <= 0 else min(limit, 100)
+    size = 20 if limit is None or limit <= 0 else limit
     rows = _text_filter(analyses, "final_risk_level", level and level.strip().upper())
     rows = _text_filter(rows, "handle_status", status and status.strip().upper())
     top = rows.orderBy(F.col("final_risk_level"), F.col("create_time").desc(), F.col("id").desc()).limit(size)
@@ -108,7 +112,10 @@ def risky_statements(
         tx.truncate_ellipsis(F.col("sql_text"), 500).alias("sql_text"),
     )
     return (
-        top.select(F.col("id").alias("analysis_id"), "sql_record_id", "final_risk_level", "handle_status", "ai_model", "create_time")
+        top.select(
+            F.col("id").alias("analysis_id"), "sql_record_id", "final_risk_level", "handle_status", "ai_model", "create_time",
+            *[c for c in ADVICE if c in analyses.columns],
+        )
         .join(stmts, "sql_record_id", "left")
         .join(_project_names(projects), "project_id", "left")
     )
@@ -137,11 +144,11 @@ def project_list(projects: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def keyword_search(records: DataFrame, analyses: DataFrame, keyword: str, limit: int | None = None) -> DataFrame:
-    """Active statements with the keyword in text, file or location, newest first; 10 by default, at most 50.
+    """Active statements with the keyword in text, file or location, newest first; 10 by default.
 
     ``records`` has ``update_time``. Only the found records' analyses are looked up.
     """
-    size = 10 if limit is None or limit <= 0 else min(limit, 50)
+    size = 10 if limit is None or limit <= 0 else limit
     word = F.lit(keyword.strip())
     hit = reduce(lambda a, b: a | b, [F.coalesce(F.contains(c, word), F.lit(False)) for c in ("sql_text", "source_file", "source_location")])
     found = records.filter((F.col("status") == 1) & hit).orderBy(F.col("update_time").desc(), F.col("id").desc()).limit(size)

@@ -113,7 +113,7 @@ HITS = {
     "hits": """
 select q.vec_id as query_id, c.vec_id as entry_id, list_inner_product(q.embedding::double[], c.embedding::double[])
     / sqrt(list_inner_product(q.embedding::double[], q.embedding::double[])) / sqrt(list_inner_product(c.embedding::double[], c.embedding::double[])) as similarity
-from embeddings q, embeddings c where q.vec_id % 50 = 0 and c.vec_id % 50 <> 0
+from embeddings q, embeddings c where q.vec_id <> c.vec_id
   and list_inner_product(q.embedding::double[], c.embedding::double[]) > 0.15""",
     "topk": """
 select *, row_number() over (partition by query_id order by similarity desc, entry_id) as rank from hits where similarity >= 0.2
@@ -122,9 +122,9 @@ qualify rank <= 3""",
 
 
 def top_hits(inp: Inputs):
-    """Vectors with an id divisible by 50 stand for statements, the others for entries."""
+    """Each vector stands for a statement and for an entry, and asks for the others."""
     vecs = inp.table("embeddings").withColumnRenamed("vec_id", "id")
-    return kn.vector_topk(vecs.filter("id % 50 = 0"), vecs.filter("id % 50 <> 0"), k=3, min_similarity=0.2)
+    return kn.vector_topk(vecs, vecs, k=3, min_similarity=0.2, skip_self=True)
 
 
 @query(

@@ -188,13 +188,23 @@ def reuse_prior_analysis(inp):
 @query(
     "reuse_within_ttl",
     """select event_id, user_id, count(*) over (partition by user_id order by ts
-  range between interval 24 hours preceding and interval 1 microsecond preceding) > 0 as reused from events""",
+  range between interval 86399999999 microseconds preceding and interval 1 microsecond preceding) > 0 as reused from events""",
 )
 def reuse_within_ttl(inp):
     rows = inp.table("events").select("event_id", "user_id", "ts")
     return inv.seen_within_ttl(rows, "user_id", "ts").select("event_id", "user_id", "reused")
 
 
+@query(
+    "reuse_within_ttl_short",
+    """select event_id, user_id, count(*) over (partition by user_id order by ts
+  range between interval 599999999 microseconds preceding and interval 1 microsecond preceding) > 0 as reused from events""",
+)
+def reuse_within_ttl_short(inp):
+    rows = inp.table("events").select("event_id", "user_id", "ts")
+    return inv.seen_within_ttl(rows, "user_id", "ts", timedelta(minutes=10)).select("event_id", "user_id", "reused")
+
+
 def day_range(first, last) -> list[date]:
     return [first.date() + timedelta(days=i) for i in range((last.date() - first.date()).days + 1)]
 

@@ -122,9 +122,16 @@ def column_cardinality(inp):
     return md.prefix_cardinality(inp.table("lineitem"), CARD_COLS)
 
 
-@query("column_cardinality_approx")
+@query(
+    "column_cardinality_approx",
+    "select unnest(range(1, 4)) as seq, unnest(['l_orderkey', 'l_partkey', 'l_suppkey']) as column_name, true as within_5_percent",
+)
 def column_cardinality_approx(inp):
-    return md.prefix_cardinality(inp.table("lineitem"), CARD_COLS, approx_rsd=0.02)
+    rows = inp.table("lineitem")
+    exact = md.prefix_cardinality(rows, CARD_COLS).select("seq", F.col("cardinality").alias("n"))
+    near = F.abs(F.col("cardinality") - F.col("n")) <= 0.05 * F.col("n")
+    found = md.prefix_cardinality(rows, CARD_COLS, approx_rsd=0.01).join(exact, "seq")
+    return found.select("seq", "column_name", near.alias("within_5_percent"))
 
 
 @query(
@@ -183,6 +190,28 @@ def referenced(inp: Inputs):
     return md.with_table_refs(inv.with_fingerprint(inp.get("statements", spread=True)))
 
 
+LISTS = """
+select p_partkey, case p_partkey % 8
+  when 0 then 'select * from a, b x, db.c where a.i = b.i, 1'
+  when 1 then 'SELECT 1 FROM `Shop`.`Orders` AS o , part p, _tmp t JOIN nation n ON n.k = o.k, region'
+  when 2 then 'update t_log l, part set l.a = 1, l.b = 2'
+  when 3 then 'delete from customer where id in (select id from supplier, nation n)'
+  when 4 then 'insert into region(a, b) values (?, ?), (?, ?)'
+  when 5 then 'select f(a, b) from x left join y using (id), z order by 1, 2'
+  when 6 then 'select * from (select 1 from inner_a, inner_b) s join c1 on f(s.a, 2) = (c1.b), c2'
+  else concat('select * from t', cast(p_partkey as string), ' t1, u', cast(p_partkey as string), chr(10), ', v group by a, b') end as sql_text
+from part"""
+
+
+@query(
+    "table_refs_lists",
+    """select p_partkey, case p_partkey % 8 when 0 then 'a,b,c' when 1 then 'orders,part,nation,region' when 2 then 't_log,part' when 3 then 'customer,supplier,nation'
+  when 4 then 'region' when 5 then 'x,y,z' when 6 then 'inner_a,inner_b,c1,c2' else concat('t', p_partkey::varchar, ',u', p_partkey::varchar, ',v') end as tables from part""",
+)
+def table_refs_lists(inp):
+    return inp.sql(LISTS).select("p_partkey", F.array_join(tx.table_refs(F.col("sql_text")), ",").alias("tables"))
+
+
 @query(
     "table_refs",
     "select stmt_id, unnest(range(len(refs))) as pos, unnest(refs) as table_ref from refs_of",

@@ -61,12 +61,20 @@ def active_projects(inp):
 @query(
     "risky_statements",
     """select a.id as analysis_id, a.sql_record_id, a.final_risk_level, a.handle_status, a.ai_model, a.create_time, r.project_id, r.sql_type,
+  a.ai_analysis, concat('["index ', a.id % 7, '"]') as ai_index_suggestion, case when a.id % 2 = 0 then '[]' end as ai_rewrite_suggestion, a.ai_tokens_used * 3 as ai_estimated_scan_rows,
   r.source_file, r.source_location, r.source_type, case when length(r.sql_text) > 500 then concat(left(r.sql_text, 500), '...') else r.sql_text end as sql_text, p.project_name
-from (select * from analyses where handle_status = 'PENDING' order by final_risk_level, create_time desc, id desc limit 100) a
+from (select * from analyses where handle_status = 'PENDING' order by final_risk_level, create_time desc, id desc limit 500) a
 left join sql_records r on r.id = a.sql_record_id left join projects p on p.id = r.project_id""",
 )
 def risky_statements(inp):
-    return rp.risky_statements(inp.get("analyses"), inp.get("sql_records"), inp.get("projects"), None, " pending ", 500)
+    advised = inp.get("analyses").withColumns(
+        {
+            "ai_index_suggestion": F.concat(F.lit('["index '), (F.col("id") % 7).cast("string"), F.lit('"]')),
+            "ai_rewrite_suggestion": F.when(F.col("id") % 2 == 0, "[]"),
+            "ai_estimated_scan_rows": F.col("ai_tokens_used") * 3,
+        }
+    )
+    return rp.risky_statements(advised, inp.get("sql_records"), inp.get("projects"), None, " pending ", 500)
 
 
 DETAIL = {
@@ -114,7 +122,7 @@ def project_list(inp):
   coalesce(l.final_risk_level, '未分析') as risk_level, l.handle_status, case when length(l.ai_analysis) > 200 then concat(left(l.ai_analysis, 200), '...') else l.ai_analysis end as brief_analysis
 from (select r.* from sql_records r join customer on c_custkey = r.id
   where r.status = 1 and (contains(sql_text, 'lineitem') or contains(source_file, 'lineitem') or contains(source_location, 'lineitem'))
-  order by c_acctbal desc, r.id desc limit 50) r left join latest l on l.sql_record_id = r.id""",
+  order by c_acctbal desc, r.id desc limit 99) r left join latest l on l.sql_record_id = r.id""",
     LATEST,
 )
 def keyword_search(inp):

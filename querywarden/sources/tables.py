@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+PARTITIONS_CONF = "querywarden.inputPartitions"
+
 
 def spread_small(df: DataFrame, key: str | None = None) -> DataFrame:
-    """``df`` over all cores when its files give fewer partitions than that, else unchanged.
+    """``df`` in as many partitions as the session's ``querywarden.inputPartitions`` says; unchanged without it.
 
-    Text extraction spends its time in regular expressions, so one small file should not keep it on one
-    core. Data of any size has more partitions than cores and is left alone. Rows are placed by the hash
-    of ``key``, by default the first column, so a repeated task gives the same rows.
+    Set it where tables are one small file each, as in a benchmark on one machine; files of a cluster have
+    partitions of their own. Rows are placed by the hash of ``key``, by default the first column, so a
+    repeated task gives the same rows.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key or df.columns[0])
+    n = df.sparkSession.conf.get(PARTITIONS_CONF, None)
+    return df if n is None else df.repartition(int(n), key or df.columns[0])

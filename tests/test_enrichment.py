@@ -195,3 +195,29 @@ def test_failure_streaks_equal_the_running_count(table):
         run[p] = 0 if ok else run.get(p, 0) + 1
         last[p] = last.get(p) if ok else t
         assert got[i] == (run[p], cooling), i
+
+
+def test_prompt_keeps_all_of_its_template(spark):
+    from querywarden.operators import assessment as am
+
+    rows_in = spark.createDataFrame([("SELECT", "l", "q", "d", "k")], "sql_type string, source_location string, sql_normalized string, ddl_context string, knowledge_context string")
+    templates = spark.createDataFrame([], "template_key string, status int, content string")
+    got = am.prompt_assemble(rows_in, templates, "x", "a%sb%sc%sd%se%sf%sTAIL").first().prompt
+    assert got == "aSELECTblcqddekf%sTAIL"
+
+
+def test_reuse_expires_exactly_at_its_time(spark):
+    from datetime import datetime, timedelta
+
+    from querywarden.operators import inventory as inv
+
+    start = datetime(2024, 1, 1, 10, 50)
+    at = [0, 10, 19, 60, 60 * 24 + 60, 60 * 24 + 61]
+    data = [(k, start + timedelta(minutes=m)) for m in at for k in ("a", None)] + [("n", None)]
+    df = spark.createDataFrame(data, "k string, ts timestamp_ntz")
+    short = {(r.k, r.ts): r.reused for r in inv.seen_within_ttl(df, "k", "ts", timedelta(minutes=10)).collect()}
+    day = {(r.k, r.ts): r.reused for r in inv.seen_within_ttl(df, "k", "ts").collect()}
+    for k in ("a", None):
+        assert [short[k, start + timedelta(minutes=m)] for m in at] == [False, False, True, False, False, True]
+        assert [day[k, start + timedelta(minutes=m)] for m in at] == [False, True, True, True, False, True]
+    assert short["n", None] is False and len(short) == 13

@@ -6,6 +6,9 @@ from oracle import compare, duck
 from querywarden.plans.catalog import ORACLES, QUERIES
 
 
+EMPTY_AT_SF0001: set[str] = set()
+
+
 @pytest.fixture(scope="module")
 def con(sf_dir):
     return duck(sf_dir)
@@ -15,8 +18,8 @@ def con(sf_dir):
 def test_query(spark, con, sf_dir, name):
     if name in ORACLES:
         problem = compare(spark, con, sf_dir, QUERIES[name], ORACLES[name])
-        # the smallest tables leave some reports without rows
-        assert problem is None or problem == "no rows", problem
+        # in the smallest tables nothing is above the thresholds of these
+        assert problem is None or (problem == "no rows" and name in EMPTY_AT_SF0001), problem
     else:
         assert QUERIES[name](spark, sf_dir).count() > 0
 
