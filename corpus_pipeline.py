@@ -14,14 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querywarden.llm import bpe, chosen_path, line_rules, mixing, stream_dedup
-from querywarden.llm.packs import stored
+from querywarden.llm.packs import prepare, stored
 from querywarden.llm.queries import tokenizer_path
-from querywarden.session import ship_code
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without their failing lines."""
-    ship_code(spark)
+    prepare(spark)
     kept = line_rules.line_rules(docs, keep_text=False).filter("kept")
     clean = kept.withColumn("text", F.col("clean_text")).withColumn("n_chars", F.length("clean_text").cast(docs.schema["n_chars"].dataType))
     return clean.select(*docs.columns)
@@ -29,13 +28,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id."""
-    ship_code(spark)
+    prepare(spark)
     return stream_dedup.kept_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
-    ship_code(spark)
+    prepare(spark)
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
     gone = chosen_path.jaccard_join(numbered, key="_row").filter("not stays").select(F.col("doc_id").alias("_row"))
     return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
@@ -43,13 +42,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, shard by shard in random order."""
-    ship_code(spark)
+    prepare(spark)
     return mixing.Mix(docs).mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document (little-endian, 32 bits each), and whether they decode to its text."""
-    ship_code(spark)
+    prepare(spark)
     spec = bpe.tokenizer_json(tokenizer_path())
     ids = bpe.bpe_encode(docs.select("doc_id", "lang", "source", "text"), spec, keep_text=True)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))

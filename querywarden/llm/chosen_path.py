@@ -36,6 +36,7 @@ BINS, LIKELY = 128, 0.6
 #: a large bucket with this share of sets like its first one is not split on; all its sets are tied to the first
 DENSE = 0.7
 BLOCK = 512
+CHUNK = 1 << 20
 SEED = 0x5DEECE66D
 
 
@@ -322,7 +323,7 @@ def exact_links(packed: DataFrame, clusters: DataFrame) -> DataFrame:
 def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", recall: float = RECALL) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``class_id``, ``n_links`` (documents it is linked to), ``n_tokens``
     (shingles) and ``stays``, true for one row of each class: a row with the class id as key."""
-    packed = pack(docs, text, key)
+    packed = pack(docs, text, key, CHUNK)
     described = stored(packed.mapInArrow(_describe(runs_for(recall)), DESCRIBED), "sets")
     full = described.filter("size > 0")
     sets = stored(full.groupBy("low", "high").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")), "classes")

@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 from querywarden.llm.words import WHITE, Words, chunks, covered, text_bytes
 
 WINDOW = 8
+#: bytes of text measured at once
+PART = 512 << 10
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: a document goes if its failing lines hold a larger share of its word characters than this
@@ -130,7 +132,7 @@ def line_rules(docs: DataFrame, text: str = "text", clean: bool = True, keep_tex
     schema = T.StructType([f for f in source.schema if f.name != "_text"] + list(OWN))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, "_text"):
+        for part in chunks(batches, "_text", PART):
             passed = [part.column(f"in_{c}") for c in others]
             names = [f"in_{c}" for c in others] + OWN.names
             yield pa.RecordBatch.from_arrays([*passed, *_measure(part, clean)], names)

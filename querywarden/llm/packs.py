@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querywarden.llm.words import chunks, text_bytes
-from querywarden.session import scratch_dir
+from querywarden.session import scratch_dir, ship_code
 
 PACK = "chunk long, doc_id array<long>, size array<long>, raw long, blob binary"
 KEYS = "part int, chunk long, n int, keys binary"
@@ -27,6 +27,15 @@ CHUNK_BYTES = 2 << 20
 ROW_BITS = 20
 
 
+BATCH = "4m"
+
+
+def prepare(spark) -> None:
+    """What the operators need of a session: this package on the executors, and texts sent to Python in small batches."""
+    ship_code(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder with a denser compression, and read back."""
     path = scratch_dir(df.sparkSession, label)

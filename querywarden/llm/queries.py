@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from querywarden.llm import bpe, chosen_path, debruijn, hmm, line_rules, mixing, pii, quality_gam, sharding, stream_dedup
 from querywarden.llm.oracles import ORACLES
+from querywarden.llm.packs import prepare
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -22,6 +23,7 @@ def tokenizer_path() -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

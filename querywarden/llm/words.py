@@ -16,7 +16,7 @@ WHITE = np.zeros(256, dtype=bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD1342543DE82EF95
-PIECE = 1 << 20
+PIECE = 1 << 18
 _tables: dict[int, np.ndarray] = {}
 
 
@@ -26,7 +26,7 @@ def _powers(base: int, n: int) -> np.ndarray:
         table = np.full(max(n, PIECE + 1024), base, dtype=np.uint64)
         table[0] = 1
         np.cumprod(table, out=table)
-        if n <= 4 * PIECE:
+        if n <= 16 * PIECE:
             _tables[base] = table
     return table[:n]
 
@@ -46,8 +46,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about ``limit`` bytes of text each, one row at least."""
+def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``limit`` bytes of text each, one row at least.
+
+    Memory that the last slice no longer needs goes back to the system.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -59,6 +62,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20)
             end = max(at + 1, int(np.searchsorted(total, before + limit, side="right")))
             yield batch.slice(at, end - at)
             at = end
+            pa.default_memory_pool().release_unused()
 
 
 class Words:
