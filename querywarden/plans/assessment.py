@@ -155,7 +155,8 @@ qualify row_number() over (partition by project_id, sql_hash order by scan_ord,
 def risk_by_project(inp: Inputs):
     """Statements to distinct statements to graded statements to counts per project and level."""
     distinct = inv.first_occurrence(inv.with_fingerprint(inp.get("statements", spread=True)))
-    issues = am.rule_issues(md.with_table_refs(distinct).withColumn("has_dynamic", F.col("source_type") != "ANNOTATION"))
+    named = inp.once("distinct", lambda: md.with_table_refs(distinct))
+    issues = am.rule_issues(named.withColumn("has_dynamic", F.col("source_type") != "ANNOTATION"))
     rated = am.rule_risk_level(am.with_table_facts(issues, inp.get("table_meta"), stats_of(inp)))
     return rated.groupBy("project_id", "rule_risk_level").agg(F.count("*").alias("statements"))
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from querywarden.session import cut_lineage
 from querywarden.sources.tables import spread_small
 
 TABLES = [
@@ -142,6 +144,7 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self._known: dict[tuple[str, bool], DataFrame] = {}
+        self._stored: dict[str, DataFrame] = {}
 
     def table(self, name: str, spread: bool = False) -> DataFrame:
         """A driver table; ``spread`` is for work that is heavy per row, see ``spread_small``."""
@@ -162,6 +165,13 @@ class Inputs:
             self._known[name, spread] = self.sql(DERIVED[name], spread)
         return self._known[name, spread]
 
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """What ``build`` returns, computed once for a query and kept in the shared folder: for a table that costs
+        work per row and is read for several lookups."""
+        if name not in self._stored:
+            self._stored[name] = cut_lineage(build(), name)
+        return self._stored[name]
+
 
 def with_inputs(sql: str, extra: dict[str, str] | None = None) -> str:
     """Oracle SQL with the derived inputs it names in front, as common table expressions."""

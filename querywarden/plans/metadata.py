@@ -92,7 +92,8 @@ from stats_card group by table_name""",
 
 
 def stats_of(inp: Inputs):
-    return md.index_stats(inp.get("index_rows"), inp.get("table_meta"))
+    """Index statistics, collected once for a query."""
+    return inp.once("index_stats", lambda: md.index_stats(inp.get("index_rows"), inp.get("table_meta")))
 
 
 @query(
@@ -186,10 +187,15 @@ def collect_all_diff(inp):
 REFS_OF = {**FP, "refs_of": f"select stmt_id, project_id, q, {REFS} as refs from (select *, sql_normalized as q from fp)"}
 
 
-def referenced(inp: Inputs):
+def referenced_now(inp: Inputs):
     return md.with_table_refs(inv.with_fingerprint(inp.get("statements", spread=True)))
 
 
+def referenced(inp: Inputs):
+    """Statements with fingerprint and tables, worked out once: lookups read narrow columns of the stored table."""
+    return inp.once("referenced", lambda: referenced_now(inp))
+
+
 LISTS = """
 select p_partkey, case p_partkey % 8
   when 0 then 'select * from a, b x, db.c where a.i = b.i, 1'
@@ -218,7 +224,7 @@ def table_refs_lists(inp):
     REFS_OF,
 )
 def table_refs(inp):
-    return referenced(inp).select("stmt_id", F.posexplode("table_refs").alias("pos", "table_ref"))
+    return referenced_now(inp).select("stmt_id", F.posexplode("table_refs").alias("pos", "table_ref"))
 
 
 @query(
@@ -227,7 +233,7 @@ def table_refs(inp):
     {**REFS_OF, **RESOLVE},
 )
 def shard_to_base(inp):
-    names = referenced(inp).select(F.explode("table_refs").alias("table_ref")).distinct()
+    names = referenced_now(inp).select(F.explode("table_refs").alias("table_ref")).distinct()
     return md.resolve_names(names, inp.get("table_meta"))
 
 
@@ -235,7 +241,8 @@ META = "select table_name, estimated_rows, concat('CREATE TABLE ', table_name, '
 
 
 def full_meta(inp: Inputs):
-    return inp.sql(META).join(md.index_stats_text(stats_of(inp)), "table_name", "left")
+    """Table metadata with index statistics, collected once for a query as a catalog would be."""
+    return inp.once("metadata", lambda: inp.sql(META).join(md.index_stats_text(stats_of(inp)), "table_name", "left"))
 
 
 CONTEXT = {
