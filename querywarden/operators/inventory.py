@@ -1,8 +1,9 @@
 """The versioned statement inventory: dedup, comparison of scans, upserts, clean-up.
 
 An inventory row is ``id, project_id, sql_hash, sql_text, source_file, source_location, status,
-first_scan_id, last_scan_id``; ``status`` 1 is active, 0 retired. Nothing is changed in place: each
-operator returns the next snapshot.
+first_scan_id, last_scan_id`` and any further columns (owner, normalised text, types, update time);
+``status`` 1 is active, 0 retired. Nothing is changed in place: each operator returns the next snapshot. Further
+columns are kept; those that a scan has, too, are refreshed where the scan knows a value.
 """
 
 from __future__ import annotations
@@ -78,7 +79,26 @@ def _max_id(inventory: DataFrame) -> Column:
     return F.coalesce(inventory.agg(F.max("id")).scalar(), F.lit(0))
 
 
+BASIC = ["id", *KEY, "sql_text", "source_file", "source_location", "status", "first_scan_id", "last_scan_id", "change"]
+
+
+def _further(inventory: DataFrame) -> list[str]:
+    return [c for c in inventory.columns if c not in BASIC]
+
+
+def _scanned(scan: DataFrame, inventory: DataFrame) -> list[Column]:
+    """The scan's values for further columns, under names of their own."""
+    return [F.col(c).alias(f"_new_{c}") for c in _further(inventory) if c in scan.columns]
+
+
+def _refreshed(scan: DataFrame, inventory: DataFrame, when: Column) -> list[Column]:
+    return [
+        F.when(when, F.coalesce(f"_new_{c}", c)).otherwise(F.col(c)).alias(c) if c in scan.columns else F.col(c) for c in _further(inventory)
+    ]
+
+
 def _as_new(rows: DataFrame, inventory: DataFrame, scan_id: int) -> DataFrame:
+    kinds = dict(inventory.dtypes)
     numbered = number_by_hash(rows, "sql_hash", ["project_id"], _max_id(inventory), "id")
     return numbered.select(
         "id", *KEY, "sql_text", "source_file", "source_location",
@@ -86,6 +106,7 @@ def _as_new(rows: DataFrame, inventory: DataFrame, scan_id: int) -> DataFrame:
         F.lit(scan_id).cast("long").alias("first_scan_id"),
         F.lit(scan_id).cast("long").alias("last_scan_id"),
         F.lit("new").alias("change"),
+        *[(F.col(c) if c in rows.columns else F.lit(None).cast(kinds[c])).alias(c) for c in _further(inventory)],
     )
 
 
@@ -106,7 +127,7 @@ def full_scan_upsert(
         passive = passive.unionByName(others)
         active = active.join(ids, "project_id", "left_semi")
     seen = scan.select(
-        *KEY, F.col("source_file").alias("_file"), F.col("source_location").alias("_loc"), F.lit(True).alias("_seen")
+        *KEY, F.col("source_file").alias("_file"), F.col("source_location").alias("_loc"), F.lit(True).alias("_seen"), *_scanned(scan, inventory)
     )
     known = active.join(seen, KEY, "left").select(
         "id", *KEY, "sql_text",
@@ -116,6 +137,7 @@ def full_scan_upsert(
         "first_scan_id",
         F.when(F.col("_seen"), F.lit(scan_id).cast("long")).otherwise(F.col("last_scan_id")).alias("last_scan_id"),
         F.when(F.col("_seen"), "refreshed").otherwise("retired").alias("change"),
+        *_refreshed(scan, inventory, F.col("_seen")),
     )
     fresh = _as_new(scan.join(active, KEY, "left_anti"), inventory, scan_id)
     return known.unionByName(fresh).unionByName(passive.select(known.columns))
@@ -133,7 +155,7 @@ def incremental_scan_upsert(inventory: DataFrame, scan: DataFrame, changes: Data
     marks = changes.groupBy("project_id", "source_file").agg(
         F.max(F.col("change_type") == "DELETE").alias("_deleted")
     )
-    seen = scan.select(*KEY, F.lit(True).alias("_seen"))
+    seen = scan.select(*KEY, F.lit(True).alias("_seen"), *_scanned(scan, inventory))
     judged = (
         salted_lookup(active, marks, ["project_id", "source_file"], "id")
         .join(seen, KEY, "left")
@@ -152,6 +174,7 @@ def incremental_scan_upsert(inventory: DataFrame, scan: DataFrame, changes: Data
         F.when(F.col("change") == "refreshed", F.lit(scan_id).cast("long"))
         .otherwise(F.col("last_scan_id")).alias("last_scan_id"),
         "change",
+        *_refreshed(scan, inventory, F.col("change") == "refreshed"),
     )
     survivors = known.filter("status = 1").select(*KEY)
     fresh = _as_new(scan.join(survivors, KEY, "left_anti"), inventory, scan_id)

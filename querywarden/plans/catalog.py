@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["inventory", "metadata", "enrichment", "assessment", "reports", "scalars", "extraction", "streams"]
+MODULES = ["inventory", "metadata", "enrichment", "assessment", "reports", "scalars", "extraction", "streams", "scans"]
 
 for _name in MODULES:
     import_module(f"querywarden.plans.{_name}")
