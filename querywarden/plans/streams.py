@@ -73,7 +73,7 @@ qualify row_number() over (partition by project_id, sql_hash order by b desc) =
 def stream_incremental_upsert(inp):
     statements = inp.get("statements")
     slices = [statements.filter(F.col("o_custkey") % SCANS == b) for b in range(SCANS)]
-    root = arrive(inp, slices, "inventory", il.apply_batch)
+    root = arrive(inp, slices, "inventory", lambda df, n, root: il.apply_batch(df, n, root, compact_every=2))
     return il.current_inventory(inp.spark, root).drop("sql_text")
 
 
@@ -109,6 +109,6 @@ from (select *, max(ts) filter (where ok = 1) over (partition by provider) as ok
 )
 def stream_provider_health(inp):
     slices = in_time_order(inp.get("call_log").select("event_id", "ts", "provider", "ok"))
-    root = arrive(inp, slices, "health", hl.apply_batch)
+    root = arrive(inp, slices, "health", lambda df, n, root: hl.apply_batch(df, n, root, compact_every=2))
     as_of = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
     return hl.provider_health(inp.spark, root, as_of, cooldown=timedelta(days=5))

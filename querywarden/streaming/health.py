@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from querywarden.operators.assessment import COOLDOWN, FAILURE_THRESHOLD
 from querywarden.operators.lookups import salted_lookup
+from querywarden.streaming.compaction import COMPACT_EVERY, add, entries
 
-SUMMARY = "provider long, has_success boolean, tail bigint, last_failure timestamp_ntz, batch long"
+SUMMARY = "provider long, has_success boolean, tail bigint, last_failure timestamp_ntz"
 
 
 def summarize(calls: DataFrame) -> DataFrame:
@@ -33,21 +34,28 @@ def summarize(calls: DataFrame) -> DataFrame:
     )
 
 
-def apply_batch(calls: DataFrame, batch_id: int, root: str) -> None:
+def apply_batch(calls: DataFrame, batch_id: int, root: str, compact_every: int = COMPACT_EVERY) -> None:
     """Log the summary of one micro-batch; batches arrive in time order and a replay overwrites itself."""
-    summarize(calls).write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+    add(summarize(calls), batch_id, root, SUMMARY, merge, compact_every)
 
 
-def provider_health(spark: SparkSession, root: str, as_of: Column, threshold: int = FAILURE_THRESHOLD, cooldown: timedelta = COOLDOWN) -> DataFrame:
-    """``provider, streak, last_failure, cooling`` after all batches."""
-    log = spark.read.schema(SUMMARY).parquet(root)
+def merge(log: DataFrame) -> DataFrame:
+    """One summary per provider: failures count from the batch of its last success on."""
     reset = log.groupBy("provider").agg(F.max(F.when(F.col("has_success"), F.col("batch"))).alias("_reset"))
     since = F.col("_reset").isNull() | (F.col("batch") >= F.col("_reset"))
-    state = (
+    return (
         log.join(reset, "provider")
-        .filter(since)
         .groupBy("provider")
-        .agg(F.sum("tail").alias("streak"), F.max("last_failure").alias("last_failure"))
+        .agg(
+            F.max("has_success").alias("has_success"),
+            F.coalesce(F.sum(F.when(since, F.col("tail"))), F.lit(0)).alias("tail"),
+            F.max(F.when(since, F.col("last_failure"))).alias("last_failure"),
+        )
     )
+
+
+def provider_health(spark: SparkSession, root: str, as_of: Column, threshold: int = FAILURE_THRESHOLD, cooldown: timedelta = COOLDOWN) -> DataFrame:
+    """``provider, streak, last_failure, cooling`` after all batches."""
+    state = merge(entries(spark, root, SUMMARY)).select("provider", F.col("tail").alias("streak"), "last_failure")
     cooling = (F.col("streak") >= threshold) & (as_of - F.col("last_failure") < F.lit(cooldown))
     return state.withColumn("cooling", F.coalesce(cooling, F.lit(False)))

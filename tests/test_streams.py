@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from querywarden.streaming import assessments as at
 from querywarden.streaming import health as hl
 from querywarden.streaming import inventory_log as il
+from querywarden.streaming.compaction import newest
 from querywarden.streaming.push import route_push_events
 from querywarden.streaming.runner import drain_to_parquet
 
@@ -19,10 +20,13 @@ def test_inventory_log(spark, tmp_path, table):
     want = [("select 1", "a", 0, 0, 0), ("select 2", "a", 0, 1, 1), ("select 3", "c", 0, 1, 1)]
     cols = ["sql_text", "source_file", "first_scan_id", "last_scan_id", "status"]
     for n, batch in [(0, first), (1, second), (1, second)]:  # the last one is a replay
-        il.apply_batch(batch, n, root)
+        il.apply_batch(batch, n, root, compact_every=2)
     assert rows(il.current_inventory(spark, root), *cols) == want
-    il.compact(spark, root, str(tmp_path / "packed"))
-    assert rows(il.current_inventory(spark, str(tmp_path / "packed")), *cols) == want
+    assert newest(spark, f"{root}/seen") == 1 and newest(spark, f"{root}/files", 1) is None
+    il.apply_batch(first, 2, root, compact_every=2)
+    assert [r[0] for r in rows(il.current_inventory(spark, root), "sql_text") if r] == ["select 1", "select 2", "select 3"]
+    il.apply_batch(table([(7, 1, "d", "l", "ANNOTATION", "select 4")], STMT), 3, root, compact_every=2)
+    assert newest(spark, f"{root}/seen") == 3 and il.current_inventory(spark, root).filter("status = 1").count() == 4
 
 
 def test_assessments_continue_across_batches(spark, tmp_path, table):
@@ -43,7 +47,7 @@ def test_provider_health_batches(spark, tmp_path, table):
     calls = [(p * 100 + i, base + timedelta(seconds=i), p, ok) for p, seq in oks.items() for i, ok in enumerate(seq)]
     for n, (lo, hi) in enumerate([(0, 3), (3, 6), (6, 9)]):
         part = [c for c in calls if lo <= (c[1] - base).seconds < hi]
-        hl.apply_batch(table(part, "event_id long, ts timestamp_ntz, provider long, ok int"), n, str(tmp_path))
+        hl.apply_batch(table(part, "event_id long, ts timestamp_ntz, provider long, ok int"), n, str(tmp_path), compact_every=2)
     out = hl.provider_health(spark, str(tmp_path), F.lit(base + timedelta(seconds=30)).cast("timestamp_ntz"))
     assert rows(out, "provider", "streak", "cooling") == [(1, 1, False), (2, 4, True), (3, 0, False)]
 
