@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from querywarden.operators import assessment as am
 from querywarden.operators import exemptions as ex
 from querywarden.operators import inventory as inv
 from querywarden.operators import metadata as md
+from querywarden.plans.assessment import ISSUES, with_issues
 from querywarden.plans.enrichment import RULED
 from querywarden.plans.inputs import Inputs
 from querywarden.plans.inventory import CHANGED, existing_inventory, fingerprinted_once
+from querywarden.plans.metadata import stats_of
 from querywarden.plans.oracle_parts import SCANS, first_of
 from querywarden.plans.registry import query
 from querywarden.session import cut_lineage
@@ -89,3 +92,23 @@ def incremental_scan_pipeline(inp):
     part = fingerprinted_once(inp).filter("o_custkey % 5 <> 0").join(touched, ["project_id", "source_file"], "left_semi")
     out = inv.incremental_scan_upsert(records(inp), scanned(inp, part, 3), changed, 3)
     return out.select("id", "project_id", "sql_hash", "status", "owner", "updated", "change")
+
+
+DRIFT_LOCAL = "select table_name, concat('-- Estimated Rows: ', cast(estimated_rows as string), chr(10), chr(10), 'CREATE TABLE ', table_name, ' (id bigint)') as content from table_meta"
+DRIFT_REMOTE = """select table_name, estimated_rows as rows,
+  concat('CREATE TABLE ', table_name, case when table_name in ('lineitem', 'region') then ' (id bigint, more int)' else ' (id bigint)' end) as ddl from table_meta"""
+
+
+@query(
+    "drift_reanalysis",
+    """select g.stmt_id, g.level as final_risk_level, 'ANALYZED' as handle_status from graded g join refs_of r using (stmt_id)
+where g.project_id % 2 = 0 and (list_contains(r.refs, 'lineitem') or list_contains(r.refs, 'region'))""",
+    ISSUES,
+)
+def drift_reanalysis(inp):
+    """Tables whose DDL changed, the active statements that name them, their grades, their analysis rows."""
+    drift = md.ddl_drift(inp.sql(DRIFT_LOCAL), inp.sql(DRIFT_REMOTE))
+    active = with_issues(inp).withColumn("status", F.when(F.col("project_id") % 2 == 0, 1).otherwise(0))
+    affected = md.affected_statements(active, drift.filter("drift = 'changed'").select("table_name"))
+    scored = am.batch_score(am.with_table_facts(affected, inp.get("table_meta"), stats_of(inp)))
+    return scored.select("stmt_id", F.col("risk_level").alias("final_risk_level"), F.lit("ANALYZED").alias("handle_status"))
