@@ -23,7 +23,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    # an executor may hold many stores: small buffers for each, and stores of ended streams are closed soon
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
+    "spark.sql.streaming.stateStore.rocksdb.maxWriteBufferNumber": "2",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # else each of many small stores takes 4 MB ahead of need
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
