@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querywarden.llm.components import components
-from querywarden.llm.packs import ROW_BITS, pack, stored, unpack
+from querywarden.llm.packs import KEYS, ROW_BITS, flags_of, judge, key_rows, pack, parts_of, repeats, stored, unpack
 from querywarden.llm.words import Words, mix
 
 SHINGLE, SIMILARITY = 5, (4, 5)
@@ -149,23 +149,57 @@ def _describe(runs: int):
 DESCRIBED = "row long, doc_id long, size long, low long, high long, sketch binary, keys array<long>"
 
 
+NODE = np.dtype([("level", "u1"), ("key", "<u8"), ("row", "<i8"), ("parent", "<u8")])
+NODES = "chunk long, nodes binary"
 DEEPER = "level int, key long, row long, parent long"
 
 
 def _deeper(_, left: pa.Table, right: pa.Table) -> pa.Table:
-    """Further paths of the sets of a chunk that lie in large buckets, for all rounds to come; ``parent`` is the
-    path of the round before that a path extends."""
-    out = [pa.table({name: pa.array([], kind) for name, kind in (("level", pa.int32()), ("key", pa.int64()), ("row", pa.int64()), ("parent", pa.int64()))})]
+    """Further paths of the sets of a chunk that lie in large buckets, for all rounds to come, packed; ``parent`` is
+    the path of the round before that a path extends."""
+    chunks, blobs = [], []
     for row in left.to_pylist():
         s = Sets(unpack(row))
         base = row["chunk"] << ROW_BITS
         doc, key = right.column("row").to_numpy() - base, right.column("key").to_numpy().view(np.uint64)
+        found = []
         for level in range(1, ROUNDS + 1):
             before = key
             doc, key, origin = s.paths(doc, key, DEPTH)
-            columns = [np.full(len(key), level, np.int32), key.view(np.int64), doc + base, before[origin].view(np.int64)]
-            out.append(pa.table([pa.array(c) for c in columns], ["level", "key", "row", "parent"]))
-    return pa.concat_tables(out)
+            nodes = np.empty(len(key), NODE)
+            nodes["level"], nodes["key"], nodes["row"], nodes["parent"] = level, key, doc + base, before[origin]
+            found.append(nodes)
+        chunks.append(row["chunk"])
+        blobs.append(np.concatenate(found).tobytes())
+    return pa.table({"chunk": pa.array(chunks, pa.int64()), "nodes": pa.array(blobs, pa.binary())})
+
+
+def _node_keys(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                keys, times = np.unique(np.frombuffer(row["nodes"], NODE)["key"], return_counts=True)
+                yield key_rows(row["chunk"], keys, (times > 1).astype(np.uint8), parts)
+
+    return run
+
+
+def _shared_nodes(_, left: pa.Table, right: pa.Table) -> pa.Table:
+    """The paths of a chunk that other sets take, too."""
+    nodes = np.concatenate([np.frombuffer(b, NODE) for b in left.column("nodes").to_pylist()] or [np.empty(0, NODE)])
+    if len(nodes):
+        _keys, which = np.unique(nodes["key"], return_inverse=True)
+        nodes = nodes[flags_of(right)[which] > 0]
+    columns = [nodes["level"].astype(np.int32), nodes["key"].astype(np.int64), nodes["row"].astype(np.int64), nodes["parent"].astype(np.int64)]
+    return pa.table([pa.array(c) for c in columns], ["level", "key", "row", "parent"])
+
+
+def deeper_nodes(packed: DataFrame, going: DataFrame) -> DataFrame:
+    """Further paths from those of ``going`` (key, row, chunk), as far as two sets share them."""
+    nodes = stored(packed.groupBy("chunk").cogroup(going.groupBy("chunk")).applyInArrow(_deeper, NODES), "deeper")
+    keys = nodes.mapInArrow(_node_keys(parts_of(packed.sparkSession)), KEYS)
+    flags = judge(keys, np.dtype("u1"), repeats)
+    return stored(nodes.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(_shared_nodes, DEEPER), "shared")
 
 
 def _root(parent: dict[int, int], x: int) -> int:
@@ -238,7 +272,7 @@ def candidates(described: DataFrame, packed: DataFrame) -> DataFrame:
         if level == ROUNDS or going.isEmpty():
             break
         if not level:
-            deeper = stored(packed.groupBy("chunk").cogroup(going.groupBy("chunk")).applyInArrow(_deeper, DEEPER), "deeper")
+            deeper = deeper_nodes(packed, going)
         open_keys = going.select(F.col("key").alias("parent")).distinct()
         nodes = deeper.filter(F.col("level") == level + 1).join(open_keys, "parent", "left_semi").select("key", "row")
     edges = spark.createDataFrame([], "a long, b long")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querywarden.llm.packs import FLAGS, KEYS, flags_of, judge, key_rows, pack, parts_of, stored, unpack
+from querywarden.llm.packs import FLAGS, KEYS, flags_of, judge, key_rows, pack, parts_of, repeats, stored, unpack
 from querywarden.llm.words import Words, covered, rolling
 
 WINDOW, ANCHOR = 35, 12
@@ -103,13 +103,9 @@ def _texts(table: pa.Table) -> list[tuple[dict, list[bytes]]]:
     return [(r, unpack(r)) for r in table.to_pylist()]
 
 
-def _repeats(which: np.ndarray, load: np.ndarray, m: int) -> np.ndarray:
-    return (np.bincount(which, minlength=m) > 1) | (np.bincount(which, weights=load, minlength=m) > 0)
-
-
 def _degrees(which: np.ndarray, load: np.ndarray, m: int) -> np.ndarray:
     """Bit 0: the edge repeats; bit 1: one word before all its occurrences; bit 2: one after."""
-    flags = _repeats(which, load["many"], m).astype(np.uint8)
+    flags = repeats(which, load["many"], m).astype(np.uint8)
     for bit, side in ((2, "before"), (4, "after")):
         one = _one(which, load[side].astype(np.int64), m)
         flags |= np.where((one != BRANCH) & (one != 0), bit, 0).astype(np.uint8)
@@ -146,7 +142,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", win
     def beside(kind: int, df: DataFrame) -> DataFrame:
         return df.withColumn("kind", F.lit(kind))
 
-    hot_anchors = stored(judge(packed.mapInArrow(anchors, KEYS), np.dtype("u1"), _repeats), "anchors")
+    hot_anchors = stored(judge(packed.mapInArrow(anchors, KEYS), np.dtype("u1"), repeats), "anchors")
     edge_rows = packed.groupBy("chunk").cogroup(hot_anchors.groupBy("chunk")).applyInArrow(edges, KEYS)
     hot_edges = stored(judge(edge_rows, EDGE, _degrees), "edges")
     known = beside(0, hot_anchors).unionByName(beside(1, hot_edges))

@@ -113,6 +113,11 @@ def judge(keyed: DataFrame, payload: np.dtype, verdict: Callable[[np.ndarray, np
     return keyed.groupBy("part").applyInArrow(run, FLAGS)
 
 
+def repeats(which: np.ndarray, many: np.ndarray, m: int) -> np.ndarray:
+    """Verdict: keys of two chunks, or of one that holds them ``many`` times."""
+    return (np.bincount(which, minlength=m) > 1) | (np.bincount(which, weights=many, minlength=m) > 0)
+
+
 def flags_of(table: pa.Table, kind: str = "u1") -> np.ndarray:
     """A chunk's verdicts in the order of its keys."""
     order = np.argsort(table.column("part").to_numpy())
