@@ -12,8 +12,8 @@ leaves each shard has its own disjoint blocks, and rows are ordered at random wi
 
 Null texts and texts without words have size 0 and are taken as often as their source asks; taken words
 are 0. The null source is a source. Repeated rows go together. An empty table gives an empty result. Choices depend
-on a document's key and text and the seed only, so reruns agree. Columns of the input pass through; own columns
-replace columns of the same name.
+on a document's key and text and the seed only, so reruns agree. ``mixed`` returns the input's rows as they are,
+whatever their columns are called; ``mix_sources`` returns its own columns.
 """
 
 from __future__ import annotations
@@ -97,7 +97,7 @@ class Mix:
     def __init__(self, docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS,
                  cap: int = CAP, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED):
         self.text, self.key, self.source, self.seed = text, key, source, seed
-        self.rows = stored(self.measured(docs).select(F.col(key).alias("doc_id"), "source", "size", "value"), "mix-rows")
+        self.rows = stored(self.measured(docs), "mix-rows")
         totals = self.rows.groupBy("source").agg(F.sum("size").alias("source_size"))
         z, t = F.col("source_size"), F.col("target")
         epochs = F.when(z > 0, F.least(F.floor(t / z), F.lit(cap))).otherwise(F.lit(0)).cast("int")
@@ -110,9 +110,10 @@ class Mix:
         self.shards = max(1, -(-words // shard_words))
         self.blocks = self._blocks()
 
-    def measured(self, docs: DataFrame) -> DataFrame:
+    def measured(self, docs: DataFrame, *more: Column) -> DataFrame:
         return docs.select(
-            *[F.col(c) for c in docs.columns if c not in ("source", "size", "value")],
+            *more,
+            F.col(self.key).alias("doc_id"),
             F.col(self.source).alias("source"),
             word_count(self.text).alias("size"),
             F.xxhash64(F.lit(self.seed), F.col(self.key), F.col(self.text)).alias("value"),
@@ -160,8 +161,9 @@ class Mix:
 
     def mixed(self, docs: DataFrame) -> DataFrame:
         """The mix: rows of ``docs`` once per copy, each shard in one partition and in random order."""
-        copies = self.drawn(self.measured(docs)).select(*docs.columns, F.explode("draws").alias("_draw"))
-        return copies.repartition(self.shards, "_draw.shard").sortWithinPartitions("_draw.shard", "_draw.place").select(*docs.columns)
+        whole = F.struct(*[F.col(c) for c in docs.columns]).alias("_doc")
+        copies = self.drawn(self.measured(docs, whole)).select("_doc", F.explode("draws").alias("_draw"))
+        return copies.repartition(self.shards, "_draw.shard").sortWithinPartitions("_draw.shard", "_draw.place").select("_doc.*")
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:

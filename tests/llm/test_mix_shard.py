@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from querywarden.llm import mixing, sharding
 
@@ -61,6 +62,9 @@ def test_blocks_are_shared_out_evenly_and_reruns_agree(spark):
     assert sorted(count) == list(range(mix.shards)) and max(count.values()) - min(count.values()) <= mix.shards.bit_length()
     one = mix.mixed(docs)
     assert one.columns == docs.columns
+    odd = docs.withColumns({"block": F.lit(7), "order": F.col("doc_id"), "cut": F.lit("c"), "target": F.lit(1), "draws": F.lit("d")})
+    kept = mixing.Mix(odd, block_words=40, shard_words=1500).mixed(odd)
+    assert kept.columns == odd.columns and {(r.size, r.block, r.cut, r.target, r.draws) for r in kept.collect()} <= {("x", 7, "c", 1, "d"), (None, 7, "c", 1, "d")}
     two = mixing.Mix(docs.repartition(5), block_words=40, shard_words=1500).mixed(docs.repartition(5))
     assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
     assert one.count() == sum(len(r.draws) for r in mixing.mix_sources(docs, block_words=40, shard_words=1500).collect())
