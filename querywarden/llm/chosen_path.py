@@ -33,8 +33,8 @@ SHINGLE, SIMILARITY = 5, (4, 5)
 LAMBDA, DEPTH, ROUNDS, LIMIT = 0.7, 3, 2, 64
 RECALL = 0.9995
 BINS, LIKELY = 128, 0.6
-#: a large bucket with this share of sets like its first one is not split on; all its sets are tied to the first
-DENSE = 0.7
+#: a large bucket with this share of sets somewhat like its first one is not split on; all its sets are tied to the first
+SOMEWHAT, DENSE = 0.4, 0.5
 BLOCK = 512
 CHUNK = 1 << 20
 SEED = 0x5DEECE66D
@@ -244,7 +244,7 @@ def _small_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _near_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         one, two = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, BINS) for c in ("sketch", "sketch_first"))
-        yield pa.RecordBatch.from_arrays([b.column("row"), b.column("first"), pa.array(alike(one, two) >= LIKELY)], ["row", "first", "near"])
+        yield pa.RecordBatch.from_arrays([b.column("row"), b.column("first"), pa.array(alike(one, two))], ["row", "first", "near"])
 
 
 def candidates(described: DataFrame, packed: DataFrame) -> DataFrame:
@@ -262,11 +262,11 @@ def candidates(described: DataFrame, packed: DataFrame) -> DataFrame:
         large = shared.filter(F.col("n") > LIMIT).select("key", "row", "first")
         firsts = large.select("first").distinct().join(sketches.withColumnsRenamed({"row": "first", "sketch": "sketch_first"}), "first")
         pairs = large.filter("row != first").select("row", "first").distinct().join(sketches, "row").join(firsts, "first")
-        near = stored(pairs.mapInArrow(_near_first, "row long, first long, near boolean"), "near")
-        compared = large.join(near, ["row", "first"], "left").withColumn("near", F.coalesce("near", F.lit(True)))
-        dense = compared.groupBy("key").agg(F.avg(F.col("near").cast("int")).alias("share")).filter(F.col("share") >= DENSE)
+        near = stored(pairs.mapInArrow(_near_first, "row long, first long, near double"), "near")
+        compared = large.join(near, ["row", "first"], "left").withColumn("near", F.coalesce("near", F.lit(1.0)))
+        dense = compared.groupBy("key").agg(F.avg((F.col("near") >= SOMEWHAT).cast("int")).alias("share")).filter(F.col("share") >= DENSE)
         judged = stored(compared.join(dense, "key", "left"), "judged")
-        tied = F.col("near") | F.col("share").isNotNull()
+        tied = (F.col("near") >= LIKELY) | F.col("share").isNotNull()
         found.append(judged.filter(tied & (F.col("row") != F.col("first"))).select(F.col("row").alias("a"), F.col("first").alias("b")).distinct())
         going = judged.filter("share is null").select("key", "row", F.shiftright("row", ROW_BITS).alias("chunk"))
         if level == ROUNDS or going.isEmpty():
