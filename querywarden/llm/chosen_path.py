@@ -313,8 +313,19 @@ def _tokens(_, left: pa.Table, right: pa.Table) -> pa.Table:
 TOKENS = "cluster long, one int, two int, row long, block int, copies long, tokens binary"
 
 
+def _stars(link: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """For each row the least row of its component by ``link``; these edges have the components of all links."""
+    least, left = row.copy(), np.ones(len(row), bool)
+    for i in np.argsort(row):
+        front = np.array([i] if left[i] else [], np.int64)
+        while len(front):
+            least[front], left[front] = row[i], False
+            front = np.flatnonzero(link[front].any(0) & left)
+    return least
+
+
 def _exact(group: pa.Table) -> pa.Table:
-    """All pairs of a block pair: each row's linked documents, and the least row it is linked to."""
+    """All pairs of a block pair: each row's linked documents, and the least row its links lead to."""
     sets = [np.frombuffer(t, np.uint64) for t in group.column("tokens").to_pylist()]
     row, copies, block = (group.column(c).to_numpy() for c in ("row", "copies", "block"))
     m, size = len(sets), np.array([len(s) for s in sets])
@@ -338,8 +349,7 @@ def _exact(group: pa.Table) -> pa.Table:
     if group.column("one")[0].as_py() != group.column("two")[0].as_py():
         link &= block[:, None] != block[None, :]
     links = link @ copies
-    least = np.where(link, row[None, :], row[:, None]).min(1)
-    return pa.table({"row": pa.array(row), "links": pa.array(links.astype(np.int64)), "least": pa.array(np.minimum(least, row))})
+    return pa.table({"row": pa.array(row), "links": pa.array(links.astype(np.int64)), "least": pa.array(_stars(link, row))})
 
 
 def exact_links(packed: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -69,6 +69,15 @@ def test_against_all_pairs(spark, monkeypatch):
     assert len({r.class_id for r in got if r.class_id is not None}) <= len(stays) < len(got)
 
 
+def test_links_through_a_later_row(spark):
+    base = [f"w{i}" for i in range(104)]
+    swap = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(base))
+    rows = [(1, swap(20, 40)), (2, swap(60, 80)), (3, " ".join(base))]
+    got = chosen_path.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == plain(rows) == [(1, 1, 1), (2, 1, 1), (3, 1, 2)]
+    assert [r.stays for r in got].count(True) == 1
+
+
 def test_documents_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
