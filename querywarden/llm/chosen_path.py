@@ -6,7 +6,8 @@ a set chooses some of its tokens by a random threshold of 1 / (``LAMBDA`` * size
 shared tokens; each choice extends a path and splits the sets again, ``DEPTH`` times at once. Sets with the same
 path share a bucket. Small buckets are compared by brute force on sketches; buckets above ``LIMIT`` are
 split on, ``DEPTH`` tokens deeper, for ``ROUNDS`` more rounds, unless most of their sets are like the first one; sets
-like it are tied to it. The number of runs follows from the target recall by the survival of a path. Sets tied by candidates form clusters, and
+like it are tied to it. Buckets still above ``LIMIT`` after the last round are compared by brute force, too, in block
+pairs. The number of runs follows from the target recall by the survival of a path through all rounds. Sets tied by candidates form clusters, and
 in these all pairs are compared exactly, in blocks, so no cluster meets in one task.
 
 A link is a pair of documents with similarity >= ``SIMILARITY``; classes are the connected components of links.
@@ -49,8 +50,8 @@ def survival(similarity: float, depth: int) -> float:
 
 
 def runs_for(recall: float) -> int:
-    """Runs until two sets at the threshold have met in a bucket with chance ``recall``."""
-    return ceil(log(1 - recall) / log(1 - survival(SIMILARITY[0] / SIMILARITY[1], DEPTH)))
+    """Runs until two sets at the threshold have met in a bucket with chance ``recall``, even if all their buckets are split on to the last round."""
+    return ceil(log(1 - recall) / log(1 - survival(SIMILARITY[0] / SIMILARITY[1], DEPTH * (ROUNDS + 1))))
 
 
 class Sets:
@@ -247,6 +248,36 @@ def _near_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("row"), b.column("first"), pa.array(alike(one, two))], ["row", "first", "near"])
 
 
+def _stars(link: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """For each row the least row of its component by ``link``; these edges have the components of all links."""
+    least, left = row.copy(), np.ones(len(row), bool)
+    for i in np.argsort(row):
+        front = np.array([i] if left[i] else [], np.int64)
+        while len(front):
+            least[front], left[front] = row[i], False
+            front = np.flatnonzero(link[front].any(0) & left)
+    return least
+
+
+def _large_buckets(group: pa.Table) -> pa.Table:
+    """Brute force on a block pair of a bucket; a forest of the likely pairs."""
+    row = group.column("row").to_numpy()
+    sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(row), BINS)
+    likely = np.stack([alike(sketch[i], sketch) >= LIKELY for i in range(len(row))])
+    least = _stars(likely, row)
+    tied = least != row
+    return pa.table({"a": pa.array(row[tied]), "b": pa.array(least[tied])})
+
+
+def block_pairs(large: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Likely pairs inside buckets of any size (``key``, ``row``, ``n`` rows), each block of a bucket with each other."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = large.select("key", "row", blocks.alias("blocks"), F.pmod(F.xxhash64("row"), blocks).cast("int").alias("block"))
+    spread = placed.join(sketches, "row").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sides = spread.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "row", "sketch")
+    return sides.groupBy("key", "one", "two").applyInArrow(_large_buckets, "a long, b long").distinct()
+
+
 def candidates(described: DataFrame, packed: DataFrame) -> DataFrame:
     """Pairs (``a``, ``b``) of rows whose connected components hold all likely links."""
     spark = described.sparkSession
@@ -259,7 +290,7 @@ def candidates(described: DataFrame, packed: DataFrame) -> DataFrame:
         shared = stored(nodes.join(sizes, "key"), "buckets")
         small = shared.filter(F.col("n") <= LIMIT).join(sketches, "row").select("key", "row", "sketch")
         found.append(small.repartition("key").sortWithinPartitions("key", "row").mapInArrow(_small_buckets, "a long, b long"))
-        large = shared.filter(F.col("n") > LIMIT).select("key", "row", "first")
+        large = shared.filter(F.col("n") > LIMIT).select("key", "row", "first", "n")
         firsts = large.select("first").distinct().join(sketches.withColumnsRenamed({"row": "first", "sketch": "sketch_first"}), "first")
         pairs = large.filter("row != first").select("row", "first").distinct().join(sketches, "row").join(firsts, "first")
         near = stored(pairs.mapInArrow(_near_first, "row long, first long, near double"), "near")
@@ -268,8 +299,11 @@ def candidates(described: DataFrame, packed: DataFrame) -> DataFrame:
         judged = stored(compared.join(dense, "key", "left"), "judged")
         tied = (F.col("near") >= LIKELY) | F.col("share").isNotNull()
         found.append(judged.filter(tied & (F.col("row") != F.col("first"))).select(F.col("row").alias("a"), F.col("first").alias("b")).distinct())
-        going = judged.filter("share is null").select("key", "row", F.shiftright("row", ROW_BITS).alias("chunk"))
-        if level == ROUNDS or going.isEmpty():
+        going = judged.filter("share is null").select("key", "row", "n", F.shiftright("row", ROW_BITS).alias("chunk"))
+        if going.isEmpty():
+            break
+        if level == ROUNDS:
+            found.append(block_pairs(going, sketches))
             break
         if not level:
             deeper = deeper_nodes(packed, going)
@@ -313,17 +347,6 @@ def _tokens(_, left: pa.Table, right: pa.Table) -> pa.Table:
 TOKENS = "cluster long, one int, two int, row long, block int, copies long, tokens binary"
 
 
-def _stars(link: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """For each row the least row of its component by ``link``; these edges have the components of all links."""
-    least, left = row.copy(), np.ones(len(row), bool)
-    for i in np.argsort(row):
-        front = np.array([i] if left[i] else [], np.int64)
-        while len(front):
-            least[front], left[front] = row[i], False
-            front = np.flatnonzero(link[front].any(0) & left)
-    return least
-
-
 def _exact(group: pa.Table) -> pa.Table:
     """All pairs of a block pair: each row's linked documents, and the least row its links lead to."""
     sets = [np.frombuffer(t, np.uint64) for t in group.column("tokens").to_pylist()]

@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import pytest
+
 from querywarden.llm import chosen_path
 from querywarden.llm.components import components
 
@@ -78,6 +80,26 @@ def test_links_through_a_later_row(spark):
     assert [r.stays for r in got].count(True) == 1
 
 
+@pytest.mark.parametrize("block", [512, 16])
+def test_buckets_large_to_the_last_round(spark, monkeypatch, block):
+    rng = random.Random(5)
+    monkeypatch.setattr(chosen_path, "ROUNDS", 0)
+    monkeypatch.setattr(chosen_path, "BLOCK", block)
+    own = [rng.randbytes(chosen_path.BINS) for _ in range(100)]
+    rows = [(i, bytearray(own[i - 1 if i in (41, 98) else i]), [7]) for i in range(100)]
+    described = spark.createDataFrame(rows, "row long, sketch binary, keys array<long>")
+    got = components(chosen_path.candidates(described, None)).collect()
+    near = {(40, 41), (97, 98)}
+    roots = {r.node: r.root for r in got}
+    assert all(roots.get(a, a) == roots.get(b, b + 1000) for a, b in near)
+    assert set(roots) == {40, 41, 97, 98}
+
+
+def test_runs_reach_the_target_through_all_rounds():
+    alive = chosen_path.survival(0.8, chosen_path.DEPTH * (chosen_path.ROUNDS + 1))
+    assert 1 - (1 - alive) ** chosen_path.runs_for(chosen_path.RECALL) >= chosen_path.RECALL
+
+
 def test_documents_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
