@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querywarden.llm import bpe, chosen_path, line_rules, mixing, stream_dedup
-from querywarden.llm.packs import prepare, stored
+from querywarden.llm.packs import ROW, numbered, prepare, stored
 from querywarden.llm.queries import tokenizer_path
 
 
@@ -35,9 +35,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
     prepare(spark)
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    gone = chosen_path.jaccard_join(numbered, key="_row").filter("not stays").select(F.col("doc_id").alias("_row"))
-    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    gone = chosen_path.jaccard_join(rows, key=ROW).filter("not stays").select(F.col("doc_id").alias(ROW))
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,8 @@ FLAGS = "chunk long, part int, flags binary"
 CHUNK_BYTES = 2 << 20
 #: a row is numbered by its chunk and its place there; a chunk by its task and its place there
 ROW_BITS = 20
+#: the column of row numbers in stored tables
+ROW = "_querywarden_row"
 
 
 BATCH = "4m"
@@ -43,6 +45,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, *columns: str) -> DataFrame:
+    """The rows of ``docs`` (all columns, or those named), stored with their number ``ROW``, which is computed only here:
+    a second scan of the same files may be cut into other partitions and number its rows otherwise."""
+    return stored(docs.select(*dict.fromkeys(columns or docs.columns), F.monotonically_increasing_id().alias(ROW)), "numbered")
+
+
 def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = CHUNK_BYTES) -> DataFrame:
     """The rows of ``docs`` in stored chunks; null texts are empty."""
 

@@ -20,7 +20,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from querywarden.llm.packs import stored
+from querywarden.llm.packs import ROW, numbered, stored
 
 # A match starts where a run of local characters starts, or right behind the match before.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -76,7 +76,7 @@ def _pieces(t: Column, kind: str, pattern: str, when: Column) -> Column:
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``row, kind, start, end, hit, left, right`` of every match; ``row`` numbers the rows of ``docs``."""
+    """``row, kind, start, end, hit, left, right`` of every match in a ``numbered`` table."""
     t = F.col("_text")
     digits, plus = F.col("_digits"), F.contains(t, F.lit("+"))
     equal = F.contains(t, F.lit("=")) | F.contains(t, F.lit(":"))
@@ -89,7 +89,7 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
         _pieces(t, "masked_email", MASKED_EMAIL, t.rlike(MASK)),
         _pieces(t, "secret", SECRET, equal),
     )
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = docs.select(F.col(ROW).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     rows = rows.withColumn("_digits", t.rlike("[0-9]")).filter(digits | equal | F.contains(t, F.lit("@")) | t.rlike(MASK))
     some = F.flatten(F.filter(found, lambda f: f.isNotNull() & (F.size(f) > 1)))
     pieces = stored(rows.select("row", F.explode(some).alias("p")).select("row", "p.*"), "pii-pieces")
@@ -221,8 +221,7 @@ def span_features() -> Column:
 
 
 def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Kept spans: ``row, kind, start, end, base, chance``; ``row`` numbers the rows of ``docs``, which must be a stored
-    table or otherwise give the same rows in the same order each time."""
+    """Kept spans: ``row, kind, start, end, base, chance``; ``docs`` is a ``numbered`` table."""
     wanted = candidates(docs, text).withColumn("base", base_holds()).filter(F.col("base") | (F.col("kind") >= len(BASE)))
     judged = wanted.select("*", *[v.cast("int").alias(name) for name, v in votes().items()], span_features().alias("features"))
     judged = stored(judged.drop("hit", "left", "right"), "pii-candidates")
@@ -252,9 +251,10 @@ def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 def personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: ``doc_id`` and ``spans``, an array of (kind, start, end, base, chance) in order of kind and start."""
     name = lambda s: F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["kind"] + 1)
+    docs = numbered(docs, key, text)
     kept = find_spans(docs, text).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end", "base", "chance"))).alias("s"))
     named = F.transform("s", lambda s: F.struct(name(s).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), s["chance"].alias("chance")))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"))
+    rows = docs.select(F.col(ROW).alias("row"), F.col(key).alias("doc_id"))
     empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,base:boolean,chance:double>>")
     return rows.join(kept.select("row", named.alias("spans")), "row", "left").select("doc_id", F.coalesce("spans", empty).alias("spans"))
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from querywarden.llm.packs import ROW, numbered
 from querywarden.session import cut_lineage, scratch_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,11 +44,11 @@ def normal_text(text: str | Column) -> Column:
 
 
 def digests(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row: ``doc_id``, the row's stable number ``row``, and the digest of its normalised text."""
+    """Per row of a ``numbered`` table: ``doc_id``, the row's stored number ``row``, and the digest of its normalised text."""
     norm = normal_text(text)
     return docs.select(
         F.col(key).cast("long").alias("doc_id"),
-        F.monotonically_increasing_id().alias("row"),
+        F.col(ROW).alias("row"),
         F.unhex(F.sha2(norm, 256)).alias("digest"),
     )
 
@@ -90,10 +91,10 @@ def state_now(spark: SparkSession, updates: str) -> DataFrame:
 def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``, ``row``.
 
-    ``row`` is the row's number in ``docs``, which must be a stored table or otherwise give the same rows in
-    the same order each time it is read.
+    ``row`` is the number in ``docs`` if that is a ``numbered`` table; else rows are numbered and stored here.
     """
     spark = docs.sparkSession
+    docs = docs if ROW in docs.columns else numbered(docs, key, text)
     rows = cut_lineage(digests(docs, text, key), "dedup-digests")
     path = rows.inputFiles()
     base = scratch_dir(spark, "dedup-stream")
@@ -118,14 +119,14 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", files_
 
 def collisions(docs: DataFrame, hits: DataFrame, text: str) -> DataFrame:
     """Digests whose rows (``hits``: row, digest) do not all hold the same bytes."""
-    own = docs.select(F.monotonically_increasing_id().alias("row"), normal_text(text).alias("own"))
+    own = docs.select(F.col(ROW).alias("row"), normal_text(text).alias("own"))
     span = own.join(hits, "row").groupBy("digest").agg(F.min("own").alias("low"), F.max("own").alias("high"))
     return span.filter("low != high").select("digest")
 
 
 def _apart(docs: DataFrame, placed: DataFrame, collided: DataFrame, text: str) -> DataFrame:
     """``placed`` with groups by bytes instead of digest where the digest is one of ``collided``."""
-    own = docs.select(F.monotonically_increasing_id().alias("row"), normal_text(text).alias("own"))
+    own = docs.select(F.col(ROW).alias("row"), normal_text(text).alias("own"))
     mixed = placed.join(collided, "digest", "left_semi").select("doc_id", "row", "digest").join(own, "row")
     groups = mixed.groupBy("digest", "own").agg(F.max(F.struct("doc_id", "row")).alias("k"), F.count(F.lit(1)).alias("group_size"))
     regrouped = mixed.join(groups, ["digest", "own"]).select(
@@ -136,5 +137,6 @@ def _apart(docs: DataFrame, placed: DataFrame, collided: DataFrame, text: str) -
 
 def kept_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``."""
-    stay = exact_dedup(docs, text, key).filter("kept").select(F.col("row").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(stay, "_row", "left_semi").drop("_row")
+    rows = numbered(docs)
+    stay = exact_dedup(rows, text, key).filter("kept").select(F.col("row").alias(ROW))
+    return rows.join(stay, ROW, "left_semi").select(*docs.columns)

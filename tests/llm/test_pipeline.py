@@ -2,13 +2,14 @@
 
 from collections import Counter, defaultdict
 
+import pytest
 from test_mix_shard import plain_targets
 from test_near import plain as plain_links
 from test_text_ops import SPEC, plain_measures
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from querywarden.llm import line_rules
+from querywarden.llm import chosen_path, line_rules, pii, stream_dedup
 from querywarden.llm.packs import stored
 
 
@@ -65,3 +66,27 @@ def test_pipeline_of_nothing_and_nulls(spark):
         for name, stage in corpus_pipeline.STAGES:
             now = stored(stage(spark, now, ""), name)
         assert now.count() == left
+
+
+@pytest.mark.parametrize("step", ["exact", "near", "spans"])
+def test_files_cut_anew_between_scans(spark, monkeypatch, step):
+    rows = [(i, " ".join(f"w{i // 2}x{j}" for j in range(30)) + f" a{i // 2}@b.com") for i in range(80)]
+    docs = stored(spark.createDataFrame(rows, "doc_id long, text string").repartition(8, "doc_id"), "test")
+    module, name = {"exact": (stream_dedup, "exact_dedup"), "near": (chosen_path, "jaccard_join"), "spans": (pii, "find_spans")}[step]
+    real = getattr(module, name)
+
+    def then_cut(*args, **named):
+        out = stored(real(*args, **named), "test")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1")
+        return out
+
+    monkeypatch.setattr(module, name, then_cut)
+    try:
+        if step == "spans":
+            got = pii.personal_data(docs).join(docs, "doc_id").collect()
+            assert len(got) == 80 and all([r.text[s.start : s.end] for s in r.spans if s.base] == [r.text.split()[-1]] for r in got)
+            return
+        stage = stream_dedup.kept_documents(docs) if step == "exact" else corpus_pipeline.near_dedup(spark, docs, "")
+        assert sorted(r.doc_id // 2 for r in stage.collect()) == list(range(40))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
