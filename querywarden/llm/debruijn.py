@@ -28,8 +28,8 @@ from querywarden.llm.packs import FLAGS, KEYS, flags_of, judge, key_rows, pack,
 from querywarden.llm.words import Words, covered, rolling
 
 WINDOW, ANCHOR = 35, 12
-EDGE = np.dtype([("many", "u1"), ("before", "<u2"), ("after", "<u2")])
-BRANCH = 0xFFFF
+EDGE = np.dtype([("many", "u1"), ("before", "<u8"), ("after", "<u8")])
+BRANCH = (1 << 64) - 1
 OUT = (
     "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:long,end:long>>, "
     "chunk long, path long, low long, high long"
@@ -80,10 +80,11 @@ class Chunk:
         """Distinct edges among the picked windows, what is known of each here, and the edge of each window."""
         w = self.words
         at, doc = self.at[picked], w.doc[self.at[picked]]
-        short = lambda h: ((h >> np.uint64(40)) % np.uint64(BRANCH - 1)).astype(np.int64) + 1
-        before = np.where(at > w.first[doc], short(self.hash[np.maximum(at - 1, 0)]), 0)
+        # no word is 0, and different ones are BRANCH
+        word = lambda h: h % np.uint64(BRANCH - 1) + np.uint64(1)
+        before = np.where(at > w.first[doc], word(self.hash[np.maximum(at - 1, 0)]), np.uint64(0))
         last = w.first[doc + 1] - 1
-        after = np.where(at + self.window <= last, short(self.hash[np.minimum(at + self.window, len(self.hash) - 1)]), 0)
+        after = np.where(at + self.window <= last, word(self.hash[np.minimum(at + self.window, len(self.hash) - 1)]), np.uint64(0))
         keys, which, times = np.unique(self.edge[picked], return_inverse=True, return_counts=True)
         load = np.zeros(len(keys), EDGE)
         load["many"] = times > 1
@@ -93,10 +94,10 @@ class Chunk:
 
 def _one(which: np.ndarray, value: np.ndarray, m: int) -> np.ndarray:
     """The value all entries of a key have in common, or ``BRANCH``."""
-    low, high = np.full(m, 1 << 40), np.full(m, -1)
+    low, high = np.full(m, BRANCH, np.uint64), np.zeros(m, np.uint64)
     np.minimum.at(low, which, value)
     np.maximum.at(high, which, value)
-    return np.where(low == high, low, BRANCH)
+    return np.where(low == high, low, np.uint64(BRANCH))
 
 
 def _texts(table: pa.Table) -> list[tuple[dict, list[bytes]]]:
@@ -107,8 +108,8 @@ def _degrees(which: np.ndarray, load: np.ndarray, m: int) -> np.ndarray:
     """Bit 0: the edge repeats; bit 1: one word before all its occurrences; bit 2: one after."""
     flags = repeats(which, load["many"], m).astype(np.uint8)
     for bit, side in ((2, "before"), (4, "after")):
-        one = _one(which, load[side].astype(np.int64), m)
-        flags |= np.where((one != BRANCH) & (one != 0), bit, 0).astype(np.uint8)
+        one = _one(which, load[side], m)
+        flags |= np.where((one != np.uint64(BRANCH)) & (one != 0), bit, 0).astype(np.uint8)
     return flags
 
 

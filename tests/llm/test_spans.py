@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from querywarden.llm import debruijn
+from querywarden.llm.words import Words
 
 
 def plain(texts, k):
@@ -57,3 +58,17 @@ def test_false_paths_are_vetoed(spark, monkeypatch):
 
     monkeypatch.setattr(debruijn, "_unverified", once)
     assert {r.doc_id: r.n_removed for r in debruijn.repeated_spans(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+
+
+def test_branches_between_words_alike_in_16_bits(spark):
+    words = [f"v{i}" for i in range(3000)]
+    by_bits = {}
+    for w, h in zip(words, Words([" ".join(words).encode()]).hashes().tolist(), strict=True):
+        by_bits.setdefault((h >> 40) % 65534, []).append(w)
+    a, b = next(v for v in by_bits.values() if len(v) > 1)[:2]
+    passage = " ".join(f"p{i}" for i in range(8))
+    texts = [f"one {passage} {a} tail", f"two {passage} {a} end", f"three {passage} {b} rest", f"{a} {passage} x", f"{b} {passage} y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for some in (texts[:3], texts):
+        got = debruijn.repeated_spans(docs.filter(f"doc_id < {len(some)}"), window=5, anchor=2).collect()
+        assert Counter((r.n_words, r.n_removed, r.kept) for r in got) == Counter(plain(some, 5))
