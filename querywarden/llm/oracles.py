@@ -122,9 +122,58 @@ RULES = rf"""
     from measured
 """
 
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 (reversed polynomial 0xEDB88320) of a text's UTF-8, byte by byte; ``crc_table`` must be joined."""
+    octets = f"list_transform(range(strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), 2 * i::int + 1, 2))::bigint)"
+    step = "xor(acc >> 8, crc_t[(xor(acc, b) & 255) + 1])"
+    return f"xor(list_reduce(list_concat([4294967295], {octets}), lambda acc, b: {step}), 4294967295)"
+
+
+CRC_TABLE = """crc_table as (
+        select list(c order by i) as crc_t from (
+            select i, list_reduce(list_concat([i], range(8)), lambda x, _: xor(x >> 1, (x & 1) * 3988292384)) as c
+            from (select unnest(range(256)) as i)
+        )
+    )"""
+
+#: words one edit apart share what is left without one letter; roots by following the forms
+VARIANTS = f"""
+    with recursive {CRC_TABLE},
+    runs as (
+        select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all({NORMAL}, '[A-Za-z\u00C0-\u00FF]+')) as run from documents
+    ),
+    counted as (select id, run, count(*) as n from runs group by id, run),
+    hashed as (select *, id || ':' || run as k from counted),
+    thinned as (
+        select n, case when h % 97 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word
+        from (select run, n, {_crc32("k")} as h from hashed, crc_table)
+    ),
+    words as (
+        select word, sum(n)::bigint as n from thinned where length(word) >= 5 group by word having sum(n) >= 3
+    ),
+    less as (
+        select word, n, i, left(word, i::int) || substr(word, i::int + 2) as rest from (select word, n, unnest(range(length(word))) as i from words)
+    ),
+    pairs as (
+        select a.word as word, b.word as near, b.n as m from less as a join less as b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+        union select a.word, b.word, b.n from less as a join words as b on a.rest = b.word
+        union select b.word, a.word, a.n from less as a join words as b on a.rest = b.word
+    ),
+    best as (select word, count(*) as n_near, arg_min(near, (-m, near)) as near, max(m) as m from pairs group by word),
+    found as (
+        select w.word, case when m >= 2 * n then near end as form, n, coalesce(n_near, 0)::bigint as n_near, case when m >= 2 * n then m end as form_n
+        from words as w left join best as b using (word)
+    ),
+    way(word, top, steps) as (
+        select word, word, 0 from words union all select y.word, f.form, steps + 1 from way as y join found as f on f.word = y.top where f.form is not null
+    )
+    select f.word, form, (select arg_max(top, steps) from way as y where y.word = f.word) as root, n, n_near, form_n from found as f
+"""
+
 ORACLES: dict[str, str] = {
     "op6_chosen_path": NEAR,
     "op8_debruijn_spans": SPANS,
     "op9_exact_dedup": EXACT,
     "op10_line_rules": RULES,
+    "op12_pivotal_grams": VARIANTS,
 }

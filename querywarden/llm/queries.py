@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querywarden.llm import bpe, chosen_path, debruijn, hmm, line_rules, mixing, pii, quality_gam, sharding, stream_dedup
+from querywarden.llm import bpe, chosen_path, debruijn, hmm, line_rules, mixing, pii, quality_gam, sharding, stream_dedup, variants
 from querywarden.llm.oracles import ORACLES
 from querywarden.llm.packs import prepare
 
@@ -84,6 +84,10 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_rules(docs, clean=False, keep_text=False)
 
 
+def op12_pivotal_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_tree": op1_bpe_tree,
     "op2_weak_pii": op2_weak_pii,
@@ -95,4 +99,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_debruijn_spans": op8_debruijn_spans,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_line_rules": op10_line_rules,
+    "op12_pivotal_grams": op12_pivotal_grams,
 }
