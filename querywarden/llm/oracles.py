@@ -170,10 +170,39 @@ VARIANTS = f"""
     select f.word, form, (select arg_max(top, steps) from way as y where y.word = f.word) as root, n, n_near, form_n from found as f
 """
 
+#: strings of 200 bytes, in hexadecimal digits, that start twice: each byte in one goes
+BYTES = """
+    with docs as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+    blocks as (
+        select doc_id, 500 * block as first, least(500, length(x) // 2 - 199 - 500 * block) as n, substr(x, 1000 * block + 1, 1398) as y
+        from (select doc_id, x, unnest(range((length(x) // 2 + 300) // 500)) as block from docs where length(x) >= 400)
+    ),
+    starts as (
+        select doc_id, first + at as pos, md5(substr(y, 2 * at + 1, 400)) as k from (select *, unnest(range(n)) as at from blocks)
+    ),
+    hot as (select k from starts group by k having count(*) > 1),
+    repeated as (select doc_id, pos from starts where k in (from hot)),
+    fresh as (
+        select doc_id, pos, case when pos - lag(pos) over (partition by doc_id order by pos) <= 200 then 0 else 1 end as opens from repeated
+    ),
+    numbered as (select doc_id, pos, sum(opens) over (partition by doc_id order by pos) as span from fresh),
+    spans as (select doc_id, span, min(pos) as a, max(pos) + 200 as b from numbered group by doc_id, span),
+    bounds as (select doc_id, list(a order by a) as a, list(b order by a) as b, sum(b - a)::bigint as n, count(*) as m from spans group by doc_id),
+    kept as (
+        select doc_id, x, n, m, case when m is null then x else array_to_string(list_transform(range(m + 1), lambda i:
+            substr(x, (2 * (case when i = 0 then 0 else b[i] end) + 1)::bigint,
+                (2 * ((case when i = m then length(x) // 2 else a[i + 1] end) - (case when i = 0 then 0 else b[i] end)))::bigint)), '') end as left_over
+        from docs left join bounds using (doc_id)
+    )
+    select doc_id, length(x) // 2 as n_bytes, coalesce(n, 0)::bigint as n_removed, coalesce(m, 0)::bigint as n_spans, sha256(unhex(left_over)) as kept_sha256
+    from kept
+"""
+
 ORACLES: dict[str, str] = {
     "op6_chosen_path": NEAR,
     "op8_debruijn_spans": SPANS,
     "op9_exact_dedup": EXACT,
     "op10_line_rules": RULES,
     "op12_pivotal_grams": VARIANTS,
+    "op13_suffix_buckets": BYTES,
 }

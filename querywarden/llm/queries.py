@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querywarden.llm import bpe, chosen_path, debruijn, hmm, line_rules, mixing, pii, quality_gam, sharding, stream_dedup, variants
+from querywarden.llm import bpe, chosen_path, debruijn, hmm, line_rules, mixing, pii, quality_gam, sharding, stream_dedup, suffix_buckets, variants
 from querywarden.llm.oracles import ORACLES
 from querywarden.llm.packs import prepare
 
@@ -88,6 +88,11 @@ def op12_pivotal_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(documents(spark, sf_dir))
 
 
+def op13_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_buckets.repeated_bytes(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_tree": op1_bpe_tree,
     "op2_weak_pii": op2_weak_pii,
@@ -100,4 +105,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_line_rules": op10_line_rules,
     "op12_pivotal_grams": op12_pivotal_grams,
+    "op13_suffix_buckets": op13_suffix_buckets,
 }
