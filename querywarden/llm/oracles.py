@@ -178,7 +178,7 @@ BYTES = """
         from (select doc_id, x, unnest(range((length(x) // 2 + 300) // 500)) as block from docs where length(x) >= 400)
     ),
     starts as (
-        select doc_id, first + at as pos, md5(substr(y, 2 * at + 1, 400)) as k from (select *, unnest(range(n)) as at from blocks)
+        select doc_id, first + nth as pos, md5(substr(y, 2 * nth + 1, 400)) as k from (select *, unnest(range(n)) as nth from blocks)
     ),
     hot as (select k from starts group by k having count(*) > 1),
     repeated as (select doc_id, pos from starts where k in (from hot)),
