@@ -13,7 +13,7 @@ segment is summed by pointer doubling over the segments' heads and added to the
 
 Turns are put in order without one task for a conversation: all turns are sorted into ranges, and counted by
 range. Turns are ordered by number (null first), then by the hash of role and text; equal rows are turns of
-their own. Null roles and texts are empty. Rows without a conversation id belong to no conversation. An empty
+their own. Null roles and texts are empty; the remainder of a negative id is negative or zero. Rows without a conversation id belong to no conversation. An empty
 table has no nodes; other columns play no part. The list of conversations that end at a node is hashed in order
 by one task, as SHA-256 demands, but streamed in packed pieces, so it is never held.
 """
@@ -41,7 +41,9 @@ SWEPT = (
     "a long, b long, pa long, pb long"
 )
 ENDS = "ea long, eb long, ends_sha256 string"
+#: a node's name; a container's, as the last node of a segment heads a container of the next one, too
 KEY = ["ka", "kb"]
+HELD = [*KEY, "seg"]
 
 
 def own_turns(conversations: DataFrame) -> DataFrame:
@@ -196,7 +198,7 @@ def sweep(rows: Iterator[dict], segment: int) -> Iterator[tuple]:
 
     for r in rows:
         turns, at = r["turns"], r["at"]
-        if head is None or (r["ka"], r["kb"]) != (head["ka"], head["kb"]):
+        if head is None or any(r[k] != head[k] for k in HELD):
             while path:
                 yield from close()
             head, last = r, []
@@ -230,7 +232,7 @@ def _swept(rows: DataFrame, segment: int) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    shards = rows.repartition(*KEY).sortWithinPartitions(*KEY, "turns")
+    shards = rows.repartition(*HELD).sortWithinPartitions(*HELD, "turns")
     return stored(shards.mapInArrow(run, SWEPT), "swept")
 
 
@@ -239,16 +241,16 @@ def _burst(rows: DataFrame, segment: int, capacity: int) -> tuple[list[DataFrame
     left, nodes = [], []
     inner = (F.col("seg") > 0) & (F.col("at") == 0)
     while True:
-        big = stored(rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n_convs"), F.min("first").alias("conv_id")).filter(F.col("m") > capacity), "oversized")
+        big = stored(rows.groupBy(*HELD).agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n_convs"), F.min("first").alias("conv_id")).filter(F.col("m") > capacity), "oversized")
         if big.isEmpty():
             return [*left, rows], nodes
-        marked = stored(rows.join(big.select(*KEY, F.col("conv_id").alias("least")), KEY, "left"), "containers")
+        marked = stored(rows.join(big.select(*HELD, F.col("conv_id").alias("least")), HELD, "left"), "containers")
         left.append(marked.filter("least is null").drop("least"))
         hot = marked.filter("least is not null and size(turns) > at")
         turn = F.element_at("turns", F.col("at") + 1)
-        kids = hot.groupBy(*KEY, turn["a"].alias("ta"), turn["b"].alias("tb")).agg(F.any_value("seg").alias("seg"), F.any_value("at").alias("at"), F.any_value("up").alias("up"), F.any_value("pa").alias("pa"), F.any_value("pb").alias("pb"), F.any_value(F.try_element_at("turns", "at")["w"]).alias("w"))
-        heads = kids.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_children"), *[F.any_value(c).alias(c) for c in ("seg", "at", "up", "pa", "pb", "w")])
-        found = heads.join(big.drop("m"), KEY).withColumn("kind", F.when(inner, 1).otherwise(0)).withColumn("depth", F.col("seg") * segment + F.col("at"))
+        kids = hot.groupBy(*HELD, turn["a"].alias("ta"), turn["b"].alias("tb")).agg(F.any_value("at").alias("at"), F.any_value("up").alias("up"), F.any_value("pa").alias("pa"), F.any_value("pb").alias("pb"), F.any_value(F.get("turns", F.col("at") - 1)["w"]).alias("w"))
+        heads = kids.groupBy(*HELD).agg(F.count(F.lit(1)).alias("n_children"), *[F.any_value(c).alias(c) for c in ("at", "up", "pa", "pb", "w")])
+        found = heads.join(big.drop("m"), HELD).withColumn("kind", F.when(inner, 1).otherwise(0)).withColumn("depth", F.col("seg") * segment + F.col("at"))
         own = F.when(inner | F.col("w").isNull(), 0).otherwise((F.col("n_convs") - 1) * F.col("w"))
         nodes.append(stored(found.withColumn("own", own), "burst"))
         rows = stored(

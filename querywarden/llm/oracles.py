@@ -198,11 +198,44 @@ BYTES = """
     from kept
 """
 
+#: nodes by their paths (role, text); a text's length keeps the two apart
+TRIE = f"""
+    with {CRC_TABLE},
+    turns as (
+        select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+    ),
+    own as (
+        select conv_id, list(length(role) || ':' || role || text order by turn nulls first, sha256(length(role) || ':' || role || text)) as ids from turns group by conv_id
+    ),
+    words as (
+        select length(role) || ':' || role || text as id, any_value(len(regexp_extract_all(text, '{WORD}'))) as w from turns group by 1
+    ),
+    borrowing as (select conv_id, ids, {_crc32("conv_id::varchar")} % 4 as h from own, crc_table),
+    paths as (
+        select b.conv_id, list_concat(coalesce(s.ids, [])[1:b.h], b.ids[b.h + 1:]) as path
+        from borrowing as b left join own as s on s.conv_id = b.conv_id - b.conv_id % 20
+    ),
+    steps as (select conv_id, path, unnest(range(len(path) + 1)) as d from paths),
+    nodes as (select path[1:d] as node, d, min(conv_id) as conv_id, count(*) as n_convs from steps group by all),
+    kids as (select node[1:d - 1] as node, count(*) as n_children from nodes where d > 0 group by 1),
+    known as (
+        select n.*, coalesce(k.n_children, 0) as n_children, coalesce((n.n_convs - 1) * w.w, 0) as own_saved
+        from nodes as n left join kids as k using (node) left join words as w on w.id = n.node[n.d]
+    ),
+    above as (select node, n_children, own_saved, unnest(range(d + 1)) as u from known),
+    sums as (select node[1:u] as node, sum((n_children = 0)::int) as n_leaves, sum(own_saved) as saved_tokens from above group by 1),
+    ends as (select path as node, string_agg(conv_id::varchar, ',' order by conv_id) as ids from paths group by path)
+    select k.conv_id, k.d as depth, p.conv_id as parent_conv_id, k.n_convs, k.n_children, n_leaves::bigint as n_leaves, saved_tokens::bigint as saved_tokens,
+        sha256(coalesce(e.ids, '')) as ends_sha256
+    from known as k join sums using (node) left join known as p on k.d > 0 and p.node = k.node[1:k.d - 1] left join ends as e on e.node = k.node
+"""
+
 ORACLES: dict[str, str] = {
     "op6_chosen_path": NEAR,
     "op8_debruijn_spans": SPANS,
     "op9_exact_dedup": EXACT,
     "op10_line_rules": RULES,
+    "op11_burst_trie": TRIE,
     "op12_pivotal_grams": VARIANTS,
     "op13_suffix_buckets": BYTES,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querywarden.llm import bpe, chosen_path, debruijn, hmm, line_rules, mixing, pii, quality_gam, sharding, stream_dedup, suffix_buckets, variants
+from querywarden.llm import bpe, burst_trie, chosen_path, debruijn, hmm, line_rules, mixing, pii, quality_gam, sharding, stream_dedup, suffix_buckets, variants
 from querywarden.llm.oracles import ORACLES
 from querywarden.llm.packs import prepare
 
@@ -84,6 +84,11 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_rules(docs, clean=False, keep_text=False)
 
 
+def op11_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return burst_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_pivotal_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(documents(spark, sf_dir))
 
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_debruijn_spans": op8_debruijn_spans,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_line_rules": op10_line_rules,
+    "op11_burst_trie": op11_burst_trie,
     "op12_pivotal_grams": op12_pivotal_grams,
     "op13_suffix_buckets": op13_suffix_buckets,
 }
