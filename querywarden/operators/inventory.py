@@ -8,7 +8,7 @@ columns are kept; those that a scan has, too, are refreshed where the scan knows
 
 from __future__ import annotations
 
-from datetime import date, datetime, timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from querywarden.functions import text as tx
 from querywarden.operators.lookups import salted_lookup
 from querywarden.operators.ranking import number_by_hash, pick_first, pick_last, top_n
-from querywarden.session import scratch_dir
 
 KEY = ["project_id", "sql_hash"]
 
@@ -252,8 +251,8 @@ def reuse_prior_analysis(records: DataFrame, analyses: DataFrame) -> DataFrame:
 def seen_within_ttl(rows: DataFrame, key: str, ts: str, ttl: timedelta = timedelta(hours=24)) -> DataFrame:
     """Adds ``reused``: whether the key already occurred less than ``ttl`` earlier.
 
-    This counts any earlier occurrence, so a refresh prolongs the time; see ``assess_with_ttl`` for
-    expiry after writing. Time is cut into parts of an hour, or of ``ttl`` if that is shorter; only the first
+    This counts any earlier occurrence, so a refresh prolongs the time; see ``expiry.assess_with_ttl``
+    for expiry after writing. Time is cut into parts of an hour, or of ``ttl`` if that is shorter; only the first
     instant of a key in a part can look back beyond the part, so the ordered pass runs over one row per key
     and part, not over all rows. A null key is a key; a null time is never reused.
     """
@@ -271,43 +270,6 @@ def seen_within_ttl(rows: DataFrame, key: str, ts: str, ttl: timedelta = timedel
     return parted.join(parts, same).withColumn("reused", reused).drop("_part", "_key", "_at", "_first", "_before")
 
 
-def assess_with_ttl(
-    rows: DataFrame, key: str, ts: str, days: list[date], state: DataFrame | None = None
-) -> DataFrame:
-    """Instants at which each key is assessed when a result expires 24 h after it was written.
-
-    Two assessments of a key are at least 24 h apart, hence at most one falls on a calendar day, and
-    only those of the same day and the day before can still be valid. So the days are folded in order:
-    a day's step joins its rows with the valid assessments and takes the first due instant per key, a
-    combined minimum whatever share of the rows a key has. Each day's result is a written table.
-    ``days`` are the dates to fold; ``state`` (key, assessed_at) continues an earlier run.
-    """
-    spark = rows.sparkSession
-    source, out = scratch_dir(spark, "ttl-rows"), scratch_dir(spark, "ttl-found")
-    daily = rows.select(key, F.col(ts).alias("_ts"), F.to_date(ts).alias("_day"))
-    # rebalanced, so that a day is a few files of even size however the input is spread
-    daily.hint("rebalance", "_day").write.partitionBy("_day").parquet(source)
-    daily = spark.read.schema(daily.schema).parquet(source)
-    shape = daily.select(key, F.col("_ts").alias("assessed_at")).schema
-    valid = spark.createDataFrame([], shape) if state is None else state
-    due = F.col("assessed_at").isNull() | (F.col("_ts") >= F.col("assessed_at") + F.lit(timedelta(hours=24)))
-    paths = []
-    for day in days:
-        hits = (
-            salted_lookup(daily.filter(F.col("_day") == F.lit(day)), valid, [key], "_ts")
-            .filter(due)
-            .groupBy(key)
-            .agg(F.min("_ts").alias("assessed_at"))
-        )
-        paths.append(f"{out}/day={day.isoformat()}")
-        hits.write.parquet(paths[-1])
-        valid = spark.read.schema(shape).parquet(paths[-1])
-        if state is not None:
-            same_day = state.filter(F.to_date("assessed_at") == F.lit(day))
-            valid = valid.unionByName(same_day).groupBy(key).agg(F.max("assessed_at").alias("assessed_at"))
-    return spark.read.schema(shape).parquet(*paths) if paths else spark.createDataFrame([], shape)
-
-
 def analysis_budget(statements: DataFrame, n: int, batch: str = "project_id") -> DataFrame:
     """The first ``n`` statements of each batch in scan order; a negative ``n`` means no limit."""
     if n < 0:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
 from querywarden.functions import text as tx
 from querywarden.operators import changes, inventory as inv
+from querywarden.operators.expiry import assess_with_ttl
 from querywarden.plans.inputs import Inputs
 from querywarden.plans.oracle_parts import FP, LATEST, NORM, SCANS, first_of
 from querywarden.plans.registry import query
@@ -210,25 +211,24 @@ def reuse_within_ttl_short(inp):
     return inv.seen_within_ttl(rows, "user_id", "ts", timedelta(minutes=10)).select("event_id", "user_id", "reused")
 
 
-def day_range(first, last) -> list[date]:
-    return [first.date() + timedelta(days=i) for i in range((last.date() - first.date()).days + 1)]
-
-
-@query(
-    "reuse_within_ttl_exact",
-    """select user_id, assessed_at from chain""",
-    {
-        "chain": """
+def expiry_chain(ttl: str) -> dict[str, str]:
+    return {
+        "chain": f"""
 select user_id, min(ts) as assessed_at from events group by user_id
 union all
-select c.user_id, (select min(e.ts) from events e where e.user_id = c.user_id and e.ts >= c.assessed_at + interval 24 hours)
-from chain c where exists (select 1 from events e where e.user_id = c.user_id and e.ts >= c.assessed_at + interval 24 hours)"""
-    },
-)
+select c.user_id, (select min(e.ts) from events e where e.user_id = c.user_id and e.ts >= c.assessed_at + interval {ttl})
+from chain c where exists (select 1 from events e where e.user_id = c.user_id and e.ts >= c.assessed_at + interval {ttl})"""
+    }
+
+
+@query("reuse_within_ttl_exact", "select user_id, assessed_at from chain", expiry_chain("24 hours"))
 def reuse_within_ttl_exact(inp):
-    rows = inp.table("events").select("user_id", "ts")
-    span = rows.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
-    return inv.assess_with_ttl(rows, "user_id", "ts", day_range(span.a, span.b))
+    return assess_with_ttl(inp.table("events").select("user_id", "ts"), "user_id", "ts")
+
+
+@query("reuse_within_ttl_exact_short", "select user_id, assessed_at from chain", expiry_chain("10 minutes"))
+def reuse_within_ttl_exact_short(inp):
+    return assess_with_ttl(inp.table("events").select("user_id", "ts"), "user_id", "ts", timedelta(minutes=10))
 
 
 @query(

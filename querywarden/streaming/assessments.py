@@ -1,4 +1,4 @@
-"""One assessment per key and 24 hours, on streams."""
+"""One assessment per key and time to live, on streams."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querywarden.operators.inventory import assess_with_ttl
+from querywarden.operators.expiry import assess_with_ttl
+
+TTL = timedelta(hours=24)
 
 
 def dedup_within_watermark(stream: DataFrame, key: str, ts: str, ttl: str = "24 hours") -> DataFrame:
@@ -19,22 +21,22 @@ def dedup_within_watermark(stream: DataFrame, key: str, ts: str, ttl: str = "24
     return stream.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
 
 
-def apply_batch(rows: DataFrame, batch_id: int, root: str, key: str, ts: str, schema: str) -> None:
+def apply_batch(rows: DataFrame, batch_id: int, root: str, key: str, ts: str, schema: str, ttl: timedelta = TTL) -> None:
     """Add the assessments due in one micro-batch to the log, exact when batches arrive in time order.
 
-    A batch reads only earlier numbers and overwrites its own, so a replay changes nothing.
+    A batch reads only earlier numbers and overwrites its own, so a replay changes nothing. Of the log only
+    results that can still be valid when the batch starts are read.
     """
     spark = rows.sparkSession
-    span = rows.agg(F.min(ts).alias("a"), F.max(ts).alias("b")).first()
-    if span.a is None:
+    first = rows.agg(F.min(ts).alias("a")).first().a
+    if first is None:
         return
-    days = [span.a.date() + timedelta(days=i) for i in range((span.b.date() - span.a.date()).days + 1)]
     state = None
     if batch_id > 0:
-        recent = F.col("assessed_at") > F.lit(span.a - timedelta(hours=24)).cast("timestamp_ntz")
+        recent = F.col("assessed_at") > F.lit(first - ttl).cast("timestamp_ntz")
         earlier = assessments(spark, root, schema).filter((F.col("batch") < batch_id) & recent)
         state = earlier.groupBy(key).agg(F.max("assessed_at").alias("assessed_at"))
-    found = assess_with_ttl(rows, key, ts, days, state)
+    found = assess_with_ttl(rows, key, ts, ttl, state)
     found.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
 

@@ -1,9 +1,12 @@
+import random
 from datetime import datetime, timedelta
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from querywarden.operators import changes as ch
+from querywarden.operators import expiry as ttl
 from querywarden.operators import inventory as inv
 from querywarden.operators.ranking import number_by_hash, top_n
 
@@ -128,12 +131,38 @@ def test_ttl_fold_equals_the_sequential_cache(spark, table):
     base = datetime(2024, 1, 1)
     hours = {"a": [0, 5, 23, 24, 30, 47, 48, 49, 90, 200], "b": [1, 30, 55, 80], "c": [100]}
     data = [(k, base + timedelta(hours=h)) for k, hs in hours.items() for h in hs]
-    days = [(base + timedelta(days=i)).date() for i in range(10)]
-    out = inv.assess_with_ttl(table(data, "k string, ts timestamp_ntz"), "k", "ts", days)
+    out = ttl.assess_with_ttl(table(data, "k string, ts timestamp_ntz"), "k", "ts")
     want = sorted((k, t) for k in hours for t in greedy([x for kk, x in data if kk == k], timedelta(hours=24)))
     assert sorted(tuple(r) for r in out.collect()) == want
 
 
+@pytest.mark.parametrize("span", [timedelta(microseconds=1), timedelta(minutes=10), timedelta(days=40)])
+def test_expiry_at_any_time_to_live(spark, table, span):
+    rng, base = random.Random(7), datetime(2024, 1, 1)
+    data = [(rng.choice(["a", "a", "b", "null", None]), base + timedelta(microseconds=rng.choice([1, 10**6, 10**9]) * rng.randint(0, 3000))) for _ in range(700)]
+    data += [("c", None), (None, None), ("d", base), ("d", base)] + data[:40]
+    df, half = table(data, "k string, ts timestamp_ntz"), base + timedelta(seconds=1500)
+    want = sorted(((k, t) for k in {k for k, _ in data} for t in greedy({x for kk, x in data if kk == k and x}, span)), key=str)
+    assert sorted((tuple(r) for r in ttl.assess_with_ttl(df, "k", "ts", span).collect()), key=str) == want
+    first = ttl.assess_with_ttl(df.filter(F.col("ts") < F.lit(half)), "k", "ts", span).collect()
+    state = table([tuple(r) for r in first], "k string, assessed_at timestamp_ntz").groupBy("k").agg(F.max("assessed_at").alias("assessed_at"))
+    rest = ttl.assess_with_ttl(df.filter(F.col("ts") >= F.lit(half)), "k", "ts", span, state).collect()
+    assert sorted((tuple(r) for r in [*first, *rest]), key=str) == want
+    assert ttl.assess_with_ttl(df.limit(0), "k", "ts", span).count() == 0
+
+
+def test_jobs_of_expiry_grow_with_the_logarithm_of_time(spark, table):
+    def jobs(days):
+        spark.sparkContext.setJobGroup(f"expiry-{days}", "")
+        data = [("a", datetime(2024, 1, 1) + timedelta(days=d)) for d in (*range(5), days)]
+        assert ttl.assess_with_ttl(table(data, "k string, ts timestamp_ntz"), "k", "ts").count() == 6
+        n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"expiry-{days}"))
+        spark.sparkContext.setJobGroup("tests", "")
+        return n
+
+    assert jobs(700) <= jobs(7)
+
+
 def test_ttl_window_counts_any_earlier_occurrence(table):
     base = datetime(2024, 1, 1)
     data = [(i, "a", base + timedelta(hours=h)) for i, h in enumerate([0, 0, 1, 25, 49.5, 74])]
