@@ -27,31 +27,78 @@ def fingerprint(normalized: Column) -> Column:
     return F.when(is_blank(normalized), "").otherwise(F.sha2(F.trim(F.lower(normalized)), 256))
 
 
-# A name in a table list, an alias behind it (no word that goes on with the statement), and a join condition.
-_NAME = r"[^\s,;()]++"
+# Literals and comments; a name in a table list, an alias or hint behind it (no word that goes on with the statement),
+# and a join condition. HELD stands for a pair of brackets whose content is looked at by itself.
+_HELD = "\u0001"
+_SILENT = r"(?s)'(?:[^'\\]|\\.|'')*+'|--[^\n]*+|/\*.*?\*/"
+_INNERMOST = r"\(([^()]*+)\)"
+_JOINED = r"(?i)\b(from|join)\s*+((?:\(\s*+)*)\((?!\s*+(?:select|with|values|table)\b)([^()]*+)\)"
+_NAME = rf"[^\s,;(){_HELD}]++"
 _GOES_ON = (
     "where|on|using|set|values|value|select|join|left|right|inner|outer|cross|full|natural|straight_join|group|order|having|limit|offset|union|except"
     "|intersect|for|window|force|use|ignore|partition|returning|when"
 )
+_BEHIND = rf"(?:\s*+{_HELD})?+"
 _ALIAS = rf"(?:\s++(?:as\s++)?(?!(?:{_GOES_ON})\b)[`\"A-Za-z_][\w`\"$]*+)?+"
-_CONDITION = (
-    r"\s++(?:using\s*+\([^()]*+\)|"
-    rf"on\b(?:(?!\b(?:{_GOES_ON.replace('on|', '', 1)})\b)[^,;()]|\((?:[^()]|\([^()]*+\))*+\))*+)"
-)
-_LIST = rf"{_NAME}{_ALIAS}(?:(?:{_CONDITION})?\s*+,\s*+{_NAME}{_ALIAS})*+"
+_HINTS = rf"(?:\s++(?:(?:force|use|ignore)\s++(?:index|key)(?:\s++for\s++[a-z]++(?:\s++by)?+)?+|partition)\s*+{_HELD})*+"
+_ITEM = rf"(?:lateral\s++)?+(?:{_HELD}|{_NAME}){_BEHIND}{_HINTS}{_ALIAS}{_BEHIND}{_HINTS}"
+_ENDS = _GOES_ON.replace("on|", "", 1).replace("|when", r"|when\s+(?:not\s+)?matched")
+_CONDITION = rf"\s*+(?:\busing\s*+{_HELD}|\bon\b(?:(?!\b(?:{_ENDS})\b(?!\s*+{_HELD}))[^,;()])*+)"
+_LIST = rf"{_ITEM}(?:(?:{_CONDITION})?+\s*+,\s*+{_ITEM})*+"
+_STATEMENT = rf"(?i)^[\s{_HELD}]*+(?:select|with|insert|update|delete|merge|replace|from)\b"
 
 
-def table_refs(sql: Column) -> Column:
-    """Distinct lower-case names after FROM, JOIN, INTO and UPDATE, in order of appearance.
+def _levels(text: Column) -> Column:
+    """How deep brackets are nested in ``text``."""
+    marks = F.filter(F.split(F.regexp_replace(text, "[^()]", ""), ""), lambda c: c != "")
+    open_now = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def count(acc: Column, mark: Column) -> Column:
+        now = F.greatest(acc["now"] + F.when(mark == "(", 1).otherwise(-1), F.lit(0))
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(marks, open_now, count, lambda acc: acc["most"])
 
-    All names of a comma list count, also one that goes on after a join and its condition. Aliases, a schema
-    prefix and quotes are dropped, and so are names that start with an underscore. A list is followed up to
-    a sub-select in it.
+
+def _statements_in(text: Column) -> Column:
+    """The statement without its brackets, and the sub-selects in them, each behind the one around it.
+
+    Innermost brackets are taken out again and again, so any depth works. Brackets around joined tables are only
+    opened; those that do not match stay as they are.
     """
-    lists = F.regexp_extract_all(sql, F.lit(rf"(?i)(?:^|[\s(])(?:from|join|into|update)\s++({_LIST})"), F.lit(1))
+    start = F.struct(text.alias("text"), F.array().cast("array<string>").alias("inner"))
+
+    def collapse(acc: Column, _: Column) -> Column:
+        opened = F.regexp_replace(acc["text"], _JOINED, "$1 $2$3 ")
+        inside = F.regexp_extract_all(opened, F.lit(_INNERMOST), F.lit(1))
+        # joined tables in a comma list
+        inside = F.transform(inside, lambda t: F.when(t.rlike(r"(?i)\bjoin\b") & ~t.rlike(_STATEMENT), F.concat(F.lit("from "), t)).otherwise(t))
+        found = F.filter(inside, lambda t: t.rlike(_STATEMENT))
+        return F.struct(F.regexp_replace(opened, _INNERMOST, f" {_HELD} ").alias("text"), F.concat(found, acc["inner"]).alias("inner"))
+
+    whole = F.aggregate(F.sequence(F.lit(1), _levels(text)), start, collapse, lambda acc: F.concat(F.array(acc["text"]), acc["inner"]))
+    return F.when(F.contains(text, F.lit("(")), whole).otherwise(F.array(text))
+
+
+def _listed(sql: Column) -> Column:
+    """Names, in order, in the lists after FROM, JOIN, INTO and UPDATE of a statement without brackets."""
+    lists = F.regexp_extract_all(sql, F.lit(rf"(?i)(?:^|[\s({_HELD}])(?:from|join|into|update)\s++({_LIST})"), F.lit(1))
     bare = F.transform(lists, lambda t: F.regexp_replace(t, rf"(?i){_CONDITION}(?=\s*,)", ""))
     items = F.flatten(F.transform(bare, lambda t: F.split(t, r"\s*,\s*")))
-    names = F.transform(items, lambda t: F.regexp_replace(F.lower(F.regexp_extract(t, r"^\s*([^\s]+)", 1)), r"^.*\.|[`\"\[\]]+", ""))
+    first = F.transform(items, lambda t: F.regexp_extract(t, rf"(?i)^\s*(?:lateral\s+)?([^\s{_HELD}]+)", 1))
+    return F.transform(first, lambda t: F.regexp_replace(F.lower(t), r"^.*\.|[`\"\[\]]+", ""))
+
+
+def table_refs(sql: Column) -> Column:
+    """Distinct lower-case names after FROM, JOIN, INTO and UPDATE: the statement's own in order of appearance, then
+    those of its sub-selects, each behind the one around it.
+
+    All names of a comma list count, also those behind a sub-select, an index hint or a join and its condition,
+    however deep its brackets go. What stands in literals and comments does not. Aliases, a schema prefix and
+    quotes are dropped, and so are names that start with an underscore.
+    """
+    clean = F.regexp_replace(sql, _SILENT, " ")
+    names = F.flatten(F.transform(_statements_in(clean), _listed))
     kept = F.filter(names, lambda n: (n != "") & ~n.startswith("_") & ~n.isin("select", "lateral", "unnest"))
     return F.coalesce(F.array_distinct(kept), F.array().cast("array<string>"))
 

@@ -197,7 +197,7 @@ def referenced(inp: Inputs):
 
 
 LISTS = """
-select p_partkey, case p_partkey % 8
+select p_partkey, case p_partkey % 16
   when 0 then 'select * from a, b x, db.c where a.i = b.i, 1'
   when 1 then 'SELECT 1 FROM `Shop`.`Orders` AS o , part p, _tmp t JOIN nation n ON n.k = o.k, region'
   when 2 then 'update t_log l, part set l.a = 1, l.b = 2'
@@ -205,14 +205,23 @@ select p_partkey, case p_partkey % 8
   when 4 then 'insert into region(a, b) values (?, ?), (?, ?)'
   when 5 then 'select f(a, b) from x left join y using (id), z order by 1, 2'
   when 6 then 'select * from (select 1 from inner_a, inner_b) s join c1 on f(s.a, 2) = (c1.b), c2'
+  when 7 then concat('select * from d', cast(p_partkey as string), ' a join e on f(g(h(1))) = 2, f')
+  when 8 then 'select * from a join b on (((a.x=b.x) and (a.y=b.y))), c'
+  when 9 then concat('select * from (select 1 from x', cast(p_partkey as string), ') t, y')
+  when 10 then 'select * from a, (select 2 from b) s, c'
+  when 11 then 'select * from a force index (i), b'
+  when 12 then 'select * from a left join lateral (select a.x from g) e on true, f'
+  when 13 then concat('select '',x from zz'' from a', cast(p_partkey as string), ' /* , no */, b -- , no')
   else concat('select * from t', cast(p_partkey as string), ' t1, u', cast(p_partkey as string), chr(10), ', v group by a, b') end as sql_text
 from part"""
 
 
 @query(
     "table_refs_lists",
-    """select p_partkey, case p_partkey % 8 when 0 then 'a,b,c' when 1 then 'orders,part,nation,region' when 2 then 't_log,part' when 3 then 'customer,supplier,nation'
-  when 4 then 'region' when 5 then 'x,y,z' when 6 then 'inner_a,inner_b,c1,c2' else concat('t', p_partkey::varchar, ',u', p_partkey::varchar, ',v') end as tables from part""",
+    """select p_partkey, case p_partkey % 16 when 0 then 'a,b,c' when 1 then 'orders,part,nation,region' when 2 then 't_log,part' when 3 then 'customer,supplier,nation'
+  when 4 then 'region' when 5 then 'x,y,z' when 6 then 'c1,c2,inner_a,inner_b'
+  when 7 then concat('d', p_partkey::varchar, ',e,f') when 8 then 'a,b,c' when 9 then concat('y,x', p_partkey::varchar) when 10 then 'a,c,b' when 11 then 'a,b' when 12 then 'a,f,g'
+  when 13 then concat('a', p_partkey::varchar, ',b') else concat('t', p_partkey::varchar, ',u', p_partkey::varchar, ',v') end as tables from part""",
 )
 def table_refs_lists(inp):
     return inp.sql(LISTS).select("p_partkey", F.array_join(tx.table_refs(F.col("sql_text")), ",").alias("tables"))

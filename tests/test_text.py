@@ -29,6 +29,33 @@ def test_table_refs(spark):
     assert apply(spark, texts, tx.table_refs) == [["a", "b", "c"], ["t1"], ["t_log_202401"], ["deep"], [], []]
 
 
+def test_table_refs_at_any_depth(spark):
+    cases = {
+        "select * from a join b on f(g(h(1))) = 2, c": "a b c",
+        "select * from a join b on (((a.x=b.x) and (a.y=b.y))), c": "a b c",
+        "select * from (select 1 from x) t, y": "y x",
+        "select * from a, (select 2 from b) s, c": "a c b",
+        "select * from a force index (i), b use index for order by (j, k), c": "a b c",
+        "select * from a left join lateral (select 1 from e0) e on true, f": "a f e0",
+        "select ',x from zz' from a": "a",
+        "select 'it''s from q', \"b\" from a -- from b\n, c /* , d */, e": "a c e",
+        "select * from (a, b x), c": "a b c",
+        "select * from ((a join b on a.i = b.i) left join (c join d using (k, l)) on (1 = 1)), e": "e a b c d",
+        "select extract(year from d1), trim(both 'x' from d2) from t": "t",
+        "select * from a where x in (select y from b where z = (select max(w) from c, d)) and exists (select 1 from e)": "a b c d e",
+        "select * from a, (b join c on b.i = c.i), (select 1 from d where f(1, (2))) x": "a d b c",
+        "insert into t(a, b) select x, y from (select * from (select * from deep) p) q, r": "t r deep",
+        "select * from a join b on left(a.x, 2) = case when a.y = 1 then b.y end, c": "a b c",
+        "merge into t using s on t.i = s.i when matched then update set x = 1, y = 2": "t set",
+        "select * from t partition (p0, p1) v, u as w (m, n), x": "t u x",
+        "select * from a where (x in (select y from b": "a b",
+        "select * from ((((((((select 1 from z))))))))": "z",
+        "delete from a where b = 'x (y' and c in (1, (2), ((3)))": "a",
+    }
+    got = apply(spark, list(cases), tx.table_refs)
+    assert {q: " ".join(g) for q, g in zip(cases, got, strict=True)} == cases
+
+
 def test_shard_base(spark):
     names = ["t_log_202603", "t_log_123", "t_2026_03", "t_1", "plain", None]
     assert apply(spark, names, tx.shard_base) == ["t_log", None, "t_2026", "t", None, None]
