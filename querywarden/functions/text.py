@@ -48,6 +48,11 @@ _LIST = rf"{_ITEM}(?:(?:{_CONDITION})?+\s*+,\s*+{_ITEM})*+"
 _STATEMENT = rf"(?i)^[\s{_HELD}]*+(?:select|with|insert|update|delete|merge|replace|from)\b"
 
 
+def _once(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once, however often ``then`` uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _levels(text: Column) -> Column:
     """How deep brackets are nested in ``text``."""
     marks = F.filter(F.split(F.regexp_replace(text, "[^()]", ""), ""), lambda c: c != "")
@@ -69,12 +74,14 @@ def _statements_in(text: Column) -> Column:
     start = F.struct(text.alias("text"), F.array().cast("array<string>").alias("inner"))
 
     def collapse(acc: Column, _: Column) -> Column:
-        opened = F.regexp_replace(acc["text"], _JOINED, "$1 $2$3 ")
+        return _once(F.regexp_replace(acc["text"], _JOINED, "$1 $2$3 "), lambda opened: taken_out(opened, acc["inner"]))
+
+    def taken_out(opened: Column, inner: Column) -> Column:
         inside = F.regexp_extract_all(opened, F.lit(_INNERMOST), F.lit(1))
         # joined tables in a comma list
         inside = F.transform(inside, lambda t: F.when(t.rlike(r"(?i)\bjoin\b") & ~t.rlike(_STATEMENT), F.concat(F.lit("from "), t)).otherwise(t))
         found = F.filter(inside, lambda t: t.rlike(_STATEMENT))
-        return F.struct(F.regexp_replace(opened, _INNERMOST, f" {_HELD} ").alias("text"), F.concat(found, acc["inner"]).alias("inner"))
+        return F.struct(F.regexp_replace(opened, _INNERMOST, f" {_HELD} ").alias("text"), F.concat(found, inner).alias("inner"))
 
     whole = F.aggregate(F.sequence(F.lit(1), _levels(text)), start, collapse, lambda acc: F.concat(F.array(acc["text"]), acc["inner"]))
     return F.when(F.contains(text, F.lit("(")), whole).otherwise(F.array(text))
@@ -98,7 +105,7 @@ def table_refs(sql: Column) -> Column:
     quotes are dropped, and so are names that start with an underscore.
     """
     clean = F.regexp_replace(sql, _SILENT, " ")
-    names = F.flatten(F.transform(_statements_in(clean), _listed))
+    names = _once(clean, lambda text: F.flatten(F.transform(_statements_in(text), _listed)))
     kept = F.filter(names, lambda n: (n != "") & ~n.startswith("_") & ~n.isin("select", "lateral", "unnest"))
     return F.coalesce(F.array_distinct(kept), F.array().cast("array<string>"))
 

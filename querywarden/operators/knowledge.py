@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querywarden.functions import text as tx
 from querywarden.operators.lookups import salted_lookup
 from querywarden.operators.metadata import reference_sets
-from querywarden.operators.ranking import top_n
 
 # Wording of documents and of the retrieved context.
 TABLES_LABEL = "相关表: "
 TABLES_SHORT = "表: "
 CONTEXT_TITLE = "## 相关业务知识（RAG 检索）"
-TOP_K = 3
-MIN_SIMILARITY = 0.5
 SNIPPET = 500
 
 
@@ -52,112 +44,6 @@ def knowledge_by_table(statements: DataFrame, entries: DataFrame) -> DataFrame:
     return reference_sets(statements).join(named, "table_ref").select("table_refs", "entry_id").distinct()
 
 
-def _unit(values: pd.Series) -> np.ndarray:
-    mat = np.asarray(values.tolist(), dtype=np.float64)
-    norm = np.linalg.norm(mat, axis=1, keepdims=True)
-    return mat / np.where(norm == 0, 1.0, norm)
-
-
-def _angle(cosine: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(cosine, -1.0, 1.0))
-
-
-def vector_topk(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int = TOP_K,
-    min_similarity: float = MIN_SIMILARITY,
-    pivots: int = 64,
-    block_rows: int = 20_000,
-    skip_self: bool = False,
-) -> DataFrame:
-    """``query_id, entry_id, similarity, rank``: the ``k`` most similar entries with cosine >= the minimum.
-
-    Exact, for two large sides. Inputs are (id, embedding). Each entry goes to its nearest pivot; by the
-    triangle inequality of angles a query only has to visit the cells whose ball it can reach. A cell is
-    cut into blocks of about ``block_rows`` entries, a block's visitors likewise, and a task multiplies
-    one block pair and hands on the best ``k`` per query, never the pairs. Pivots are a fixed number of
-    entries, the lowest by hash. ``skip_self`` leaves out entries with the query's own id. At worst, where the
-    bound excludes no cell, all pairs are multiplied: an exact answer on vectors without clusters costs that.
-    """
-    chosen = corpus.orderBy(F.xxhash64("id"), "id").limit(pivots).select("embedding").collect()
-    if not chosen:
-        return queries.select(
-            F.col("id").alias("query_id"), F.col("id").alias("entry_id"),
-            F.lit(0.0).alias("similarity"), F.lit(1).alias("rank"),
-        ).limit(0)
-    centres = _unit(pd.Series([r.embedding for r in chosen]))
-
-    def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                cos = _unit(b["embedding"]) @ centres.T
-                cell = cos.argmax(axis=1)
-                angle = _angle(cos[np.arange(len(b)), cell])
-                yield pd.DataFrame({"id": b["id"], "embedding": b["embedding"], "cell": cell, "angle": angle})
-
-    placed = corpus.select("id", "embedding").mapInPandas(
-        to_cells, "id long, embedding array<float>, cell int, angle double"
-    )
-    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()
-    radius = np.full(len(centres), -np.inf)
-    blocks = np.zeros(len(centres), dtype=np.int64)
-    for c in cells:
-        radius[c.cell] = c.radius
-        blocks[c.cell] = math.ceil(c.n / block_rows)
-    reach = math.acos(max(-1.0, min(1.0, min_similarity))) + 1e-9
-    per_cell = F.array(*[F.lit(int(max(n, 1))) for n in blocks])
-
-    def to_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                gap = _angle(_unit(b["embedding"]) @ centres.T) - radius
-                row, cell = np.nonzero(gap <= reach)
-                yield pd.DataFrame(
-                    {"id": b["id"].to_numpy()[row], "embedding": b["embedding"].to_numpy()[row], "cell": cell}
-                )
-
-    visits = queries.select("id", "embedding").mapInPandas(to_visits, "id long, embedding array<float>, cell int")
-    visit_counts = {r.cell: r.n for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    q_blocks = F.array(*[F.lit(max(1, math.ceil(visit_counts.get(i, 0) / block_rows))) for i in range(len(centres))])
-    at = F.col("cell") + 1
-    left = (
-        visits.withColumn("qb", F.pmod(F.xxhash64("id"), F.element_at(q_blocks, at)).cast("int"))
-        .withColumn("cb", F.explode(F.sequence(F.lit(0), F.element_at(per_cell, at) - 1)))
-    )
-    right = (
-        placed.drop("angle")
-        .withColumn("cb", F.pmod(F.xxhash64("id"), F.element_at(per_cell, at)).cast("int"))
-        .withColumn("qb", F.explode(F.sequence(F.lit(0), F.element_at(q_blocks, at) - 1)))
-    )
-
-    def best_in_block(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"query_id": [], "entry_id": [], "similarity": []}
-        if len(q) and len(c):
-            c = c.sort_values("id", kind="stable")
-            ids, mat = c["id"].to_numpy(), _unit(c["embedding"])
-            for start in range(0, len(q), 512):
-                part = q.iloc[start : start + 512]
-                cos = _unit(part["embedding"]) @ mat.T
-                for qid, row in zip(part["id"], cos):
-                    if skip_self:
-                        row[ids == qid] = -2.0
-                    floor = max(min_similarity, np.partition(row, -k)[-k]) if len(row) > k else min_similarity
-                    close = np.flatnonzero(row >= floor)
-                    best = close[np.argsort(-row[close], kind="stable")[:k]]
-                    out["query_id"] += [qid] * len(best)
-                    out["entry_id"] += ids[best].tolist()
-                    out["similarity"] += row[best].tolist()
-        return pd.DataFrame(out)
-
-    keys = ["cell", "cb", "qb"]
-    partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        best_in_block, "query_id long, entry_id long, similarity double"
-    )
-    order = [F.col("similarity").desc(), F.col("entry_id")]
-    return top_n(partial, ["query_id"], order, k, "entry_id")
-
-
 def retrieve_context(
     statements: DataFrame, entries: DataFrame, hits: DataFrame, base: DataFrame | None = None
 ) -> DataFrame:

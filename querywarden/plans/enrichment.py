@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from querywarden.operators import exemptions as ex
 from querywarden.operators import knowledge as kn
+from querywarden.operators import vector_index as vi
 from querywarden.plans.inputs import Inputs
 from querywarden.plans.metadata import REFS_OF, referenced
 from querywarden.plans.registry import query
@@ -124,7 +125,7 @@ qualify rank <= 3""",
 def top_hits(inp: Inputs):
     """Each vector stands for a statement and for an entry, and asks for the others."""
     vecs = inp.table("embeddings").withColumnRenamed("vec_id", "id")
-    return kn.vector_topk(vecs, vecs, k=3, min_similarity=0.2, skip_self=True)
+    return vi.vector_topk(vecs, vecs, k=3, min_similarity=0.2, skip_self=True)
 
 
 @query(

@@ -1,6 +1,8 @@
+import math
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from querywarden.functions import ddltext as dt
 from querywarden.operators import assessment as am
 from querywarden.operators import exemptions as ex
 from querywarden.operators import knowledge as kn
+from querywarden.operators import vector_index as vi
 from querywarden.operators import metadata as md
 
 RULES = "id long, rule_type string, pattern string, project_id long, status int"
@@ -121,15 +124,55 @@ def test_vector_topk_equals_brute_force(table):
     make = lambda n, ids: [(i, (centres[0 if i % 3 else i % 6] + rng.normal(scale=0.4, size=16)).astype("float32").tolist()) for i in ids[:n]]
     corpus, queries = make(400, range(1000, 1400)), make(60, range(60))
     schema = "id long, embedding array<float>"
-    out = kn.vector_topk(table(queries, schema), table(corpus, schema), k=4, min_similarity=0.9, pivots=8, block_rows=25)
+    out = vi.vector_topk(table(queries, schema), table(corpus, schema), k=4, min_similarity=0.9, pivots=8, block_rows=25)
     got = sorted((r.query_id, r.entry_id, r.rank) for r in out.collect())
     want = brute_topk([(i, np.array(v)) for i, v in queries], [(i, np.array(v)) for i, v in corpus], 4, 0.9)
     assert got == want and len(want) > 50
 
 
+def test_vector_topk_with_itself_ties_and_odd_vectors(table):
+    rng = np.random.default_rng(8)
+    vecs = [(i, rng.normal(size=6).astype("float32").tolist()) for i in range(80)]
+    vecs += [(100 + i, vecs[3][1]) for i in range(150)] + [(300, None), (301, [0.0] * 6)]
+    df = table(vecs, "id long, embedding array<float>")
+    some = [(i, np.array(v)) for i, v in vecs if v and any(v)]
+    for floor in (0.8, 0.0, -0.5):
+        got = sorted((r.query_id, r.entry_id, r.rank) for r in vi.vector_topk(df, df, k=3, min_similarity=floor, pivots=9, block_rows=20, skip_self=True).collect() if 301 not in (r.query_id, r.entry_id))
+        if floor > 0:
+            want = []
+            for i, v in some:
+                near = sorted((-round(float(v @ w / np.linalg.norm(v) / np.linalg.norm(w)), 9), j) for j, w in some if j != i)
+                want += [(i, j, n + 1) for n, (c, j) in enumerate(near[:3]) if -c >= floor]
+            assert got == sorted(want)
+        else:
+            assert {(q, r) for q, _, r in got} >= {(i, 1) for i, _ in some}
+
+
+@pytest.mark.parametrize(("floor", "share"), [(0.9, 0.5), (0.7, 0.5), (-1.0, None)])
+def test_blocks_of_clustered_vectors_are_skipped(table, floor, share):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 24))
+    vecs = table([(i, (centres[i % 40] + rng.normal(scale=0.05, size=24)).astype("float32").tolist()) for i in range(2000)], "id long, embedding array<float>")
+    pivots = vi._unit(vecs.limit(64).toPandas()["embedding"])
+    rows_, n = vi.blocked(vi.placed(vecs, pivots), 25)
+    of = vi.ranges(rows_, n, vi.BOUNDS)
+    pairs = vi.near_blocks(of, of, math.acos(floor) + vi.SLACK).count()
+    assert n >= 80 and (pairs <= share * n * n if share else pairs == n * n)
+
+
+def test_blocks_have_bounded_rows():
+    counts = [(0, 1, 3), (0, 2, 1000), (0, 5, 4), (1, 0, 5), (1, 1, 1), (2, 9, 10)]
+    rings, blocks = vi.layout(counts, 10)
+    filled = {}
+    for (_, _, n), (_, _, start, pieces) in zip(sorted(counts), rings, strict=True):
+        for b in range(start, start + pieces):
+            filled[b] = filled.get(b, 0) + n / pieces
+    assert sorted(filled) == list(range(blocks)) and max(filled.values()) <= 10
+
+
 def test_vector_topk_without_entries(table):
     schema = "id long, embedding array<float>"
-    assert kn.vector_topk(table([(1, [1.0])], schema), table([], schema)).count() == 0
+    assert vi.vector_topk(table([(1, [1.0])], schema), table([], schema)).count() == 0
 
 
 def test_retrieve_context_lists_an_entry_once(table):
