@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from querywarden.functions import text as tx
 from querywarden.operators.lookups import keep_if, salted_lookup
 from querywarden.operators.metadata import resolve_sets
+from querywarden.session import cut_lineage
 
 ASSESSMENT = T.StructType(
     [
@@ -199,19 +200,20 @@ COOLDOWN = timedelta(seconds=60)
 
 
 def failure_streaks(
-    calls: DataFrame, threshold: int = FAILURE_THRESHOLD, cooldown: timedelta = COOLDOWN, part: str = "minute"
+    calls: DataFrame, threshold: int = FAILURE_THRESHOLD, cooldown: timedelta = COOLDOWN
 ) -> DataFrame:
     """Calls with ``streak``, failures in a row up to and including the call, and ``cooling``.
 
     ``cooling`` says that before the call the provider had ``threshold`` failures in a row, the last one
     less than ``cooldown`` ago. Input: ``event_id, ts, provider, ok``; a success resets the streak.
 
-    Time is cut into parts (``part`` is a unit of ``date_trunc``), so that no task orders all calls of one
-    provider. A part hands on the number
-    of failures after its last success, or all of them if it has none; only these summaries, one per
-    provider and part, are ordered as a whole.
+    Calls are sorted into ranges of about equal numbers of rows, however they lie in time, so a provider with
+    all its calls in one minute is spread over all ranges. A range hands on the number of a provider's failures
+    after its last success, or all of them if it has none; only these summaries, one per provider and range, are
+    ordered as a whole. Ranges are stored, so that a lost executor cannot cut them anew.
     """
-    log = calls.withColumn("_part", F.date_trunc(part, F.col("ts")).cast("timestamp_ntz"))
+    ranged = calls.repartitionByRange("provider", "ts", "event_id")
+    log = cut_lineage(ranged.withColumn("_part", F.spark_partition_id()), "calls")
     fail = F.col("ok") == 0
     inside = Window.partitionBy("provider", "_part").orderBy("ts", "event_id")
     run = log.withColumn("_resets", F.sum(F.col("ok")).over(inside))
@@ -239,7 +241,8 @@ def failure_streaks(
         F.coalesce(F.lag("_sum").over(upto), F.lit(0)).alias("_carry"),
         F.max("_last_fail").over(across).alias("_carry_fail"),
     )
-    joined = run.join(carry, ["provider", "_part"])
+    same = run["provider"].eqNullSafe(carry["provider"]) & (run["_part"] == carry["_part"])
+    joined = run.join(carry, same).drop(carry["provider"], carry["_part"])
     streak = F.when(F.col("_resets") == 0, F.col("_run") + F.col("_carry")).otherwise(F.col("_run"))
     before = F.when(F.col("_prev_resets") == 0, F.col("_prev_run") + F.col("_carry")).otherwise(F.col("_prev_run"))
     last_fail = F.coalesce("_prev_fail", "_carry_fail")

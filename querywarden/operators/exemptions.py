@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querywarden.functions import text as tx
-from querywarden.operators.lookups import salted_lookup
+from querywarden.operators.lookups import heavy_lookup, salted_lookup
 
 
 def location_keys(location: Column) -> Column:
@@ -23,14 +23,14 @@ def location_keys(location: Column) -> Column:
     )
 
 
-def matches_class(location: Column, pattern: Column) -> Column:
-    """Whether one pattern matches a location."""
-    return F.array_contains(location_keys(location), pattern)
-
-
 def _best_rule(facts: DataFrame, by: str, keys: DataFrame, rules: DataFrame) -> DataFrame:
-    """Lowest matching rule per (``by``, project_id). ``keys`` maps ``by`` to ``rule_key``."""
-    hits = keys.join(rules, "rule_key").select(by, "rule_id", "rule_project")
+    """Lowest matching rule per (``by``, project_id). ``keys`` maps ``by`` to ``rule_key``.
+
+    A key such as the first part of all package names may belong to every place, so heavy keys are spread. Of the
+    rules with one pattern and project only the lowest counts, so a place meets one rule per key and project.
+    """
+    lowest = rules.groupBy("rule_key", "rule_project").agg(F.min("rule_id").alias("rule_id"))
+    hits = heavy_lookup(keys, lowest, ["rule_key"], by, "inner").select(by, "rule_id", "rule_project")
     return (
         facts.select(by, "project_id")
         .distinct()
@@ -84,7 +84,10 @@ def _preview_filter(records: DataFrame, rule_type: str, pattern: str, project_id
     if project_id is not None:
         scope = scope.filter(F.col("project_id") == project_id)
     if rule_type == "SOURCE_CLASS":
-        hit = matches_class(F.col("source_location"), F.lit(pattern))
+        at = F.col("source_location")
+        of_class = F.regexp_extract(at, r"^(.+)\.[^.]*$", 1)
+        hit = at.startswith(f"{pattern}.") | F.concat(F.lit("."), of_class).endswith(f".{pattern}")
+        hit = hit & F.lit(pattern != "")
     elif rule_type == "TABLE_NAME":
         hit = F.contains(F.lower("sql_normalized"), F.lit(pattern.lower()))
     else:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querywarden.functions import text as tx
-from querywarden.operators.lookups import salted_lookup
+from querywarden.operators.lookups import heavy_lookup, salted_lookup
 from querywarden.operators.metadata import reference_sets
 
 # Wording of documents and of the retrieved context.
@@ -41,7 +41,7 @@ def knowledge_by_table(statements: DataFrame, entries: DataFrame) -> DataFrame:
         entries.filter((F.col("status") == 1) & F.col("related_tables").isNotNull())
         .select(F.col("id").alias("entry_id"), F.explode(F.array_distinct(tables)).alias("table_ref"))
     )
-    return reference_sets(statements).join(named, "table_ref").select("table_refs", "entry_id").distinct()
+    return heavy_lookup(named, reference_sets(statements), ["table_ref"], "entry_id", "inner").select("table_refs", "entry_id").distinct()
 
 
 def retrieve_context(

@@ -10,13 +10,36 @@ from querywarden.functions import ddltext as dt
 from querywarden.operators import assessment as am
 from querywarden.operators import exemptions as ex
 from querywarden.operators import knowledge as kn
-from querywarden.operators import vector_index as vi
 from querywarden.operators import metadata as md
+from querywarden.operators import vector_index as vi
+from querywarden.operators.lookups import heavy_lookup, spread_heavy
 
 RULES = "id long, rule_type string, pattern string, project_id long, status int"
 STMTS = "stmt_id long, project_id long, source_location string, sql_normalized string, table_refs array<string>"
 
 
+def test_heavy_keys_are_spread_and_others_copied_once(spark, table):
+    rows_in = table([(i, "hot" if i % 3 == 0 else f"k{i % 500}", i % 2) for i in range(6000)] + [(9999, None, 0)], "i long, k string, p int")
+    known = table([("hot", 0, "H"), ("hot", 1, "I")] + [(f"k{j}", j % 2, f"v{j}") for j in range(400)], "k string, p int, v string")
+    spread = spread_heavy(rows_in, ["k"], "i", part=100)
+    of = {r.k: (r.n, r.least) for r in spread.groupBy("k").agg(F.countDistinct("_salt").alias("n"), F.count("*").alias("least")).collect()}
+    assert of["hot"][0] > 15 and all(n == 1 for k, (n, _) in of.items() if k != "hot")
+    load = [r["count"] for r in spread.groupBy("k", "_salt").count().collect()]
+    assert max(load) <= 2 * 100
+    got = rows(heavy_lookup(rows_in, known, ["k", "p"], "i", part=100), "i", "v")
+    values = {(r.k, r.p): r.v for r in known.collect()}
+    assert got == sorted(((r.i, values.get((r.k, r.p))) for r in rows_in.collect()), key=lambda t: tuple((v is not None, str(v)) for v in t))
+    assert heavy_lookup(rows_in.limit(0), known, ["k", "p"], "i").count() == 0
+
+
+def test_exemption_rules_on_a_hot_prefix(table):
+    stmts = table([(i, i % 2, f"com.a{i}.C{i}.m", f"s{i}", [f"t{i % 3}"]) for i in range(900)], STMTS)
+    rules = table([(1, "SOURCE_CLASS", "com", 1, 1), (2, "SOURCE_CLASS", "com.a4", None, 1), (3, "SOURCE_CLASS", "C6", None, 1), (4, "TABLE_NAME", "T1", 0, 1), (5, "SOURCE_CLASS", "com", None, 0)], RULES)
+    got = {r.stmt_id: r.rule_id for r in ex.exemption_match(stmts, rules).collect()}
+    want = {i: min([r for r, hit in ((1, i % 2 == 1), (2, i == 4), (3, i == 6), (4, i % 3 == 1 and i % 2 == 0)) if hit], default=None) for i in range(900)}
+    assert got == want
+
+
 def test_exemption_rules(table):
     stmts = table(
         [
@@ -240,6 +263,24 @@ def test_failure_streaks_equal_the_running_count(table):
         assert got[i] == (run[p], cooling), i
 
 
+def test_streaks_of_one_minute_are_spread_over_ranges(spark, table):
+    base, rng = datetime(2024, 1, 1), np.random.default_rng(4)
+    ok = (rng.random(6000) < 0.05).astype(int).tolist()
+    data = [(i, base + timedelta(milliseconds=i * 10), 7, ok[i]) for i in range(6000)] + [(9000, base, None, 0), (9001, base, None, 0)]
+    calls = table(data, "event_id long, ts timestamp_ntz, provider long, ok int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranges = [r["count"] for r in calls.repartitionByRange("provider", "ts", "event_id").groupBy(F.spark_partition_id()).count().collect()]
+        got = {r.event_id: r.streak for r in am.failure_streaks(calls).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    run, want = 0, {9000: 1, 9001: 2}
+    for i in range(6000):
+        run = 0 if ok[i] else run + 1
+        want[i] = run
+    assert got == want and len(ranges) == 4 and max(ranges) < 2 * sorted(ranges)[2]
+
+
 def test_prompt_keeps_all_of_its_template(spark):
     from querywarden.operators import assessment as am
 
