@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from querywarden.operators import inventory as inv
 from querywarden.operators import javasource as js
 from querywarden.operators import mapperxml as mx
 from querywarden.operators import metadata as md
 from querywarden.operators import wrappers as wr
 from querywarden.plans.inputs import Inputs
 from querywarden.plans.registry import query
-from querywarden.session import scratch_dir
+from querywarden.session import cut_lineage, scratch_dir
 from querywarden.sources import files as fs
+from querywarden.streaming import file_log as fl
+from querywarden.streaming.runner import drain
 
 PATHS = """
 select doc_id, concat(case doc_id % 7 when 0 then 'src/main/' when 1 then 'src/test/' when 2 then 'target/x/' when 3 then 'a/Build/' when 4 then 'src/Tests/' when 5 then '.idea/' else '' end,
@@ -20,18 +23,103 @@ from documents"""
 
 
 @query(
-    "source_tree_scan",
+    "scanned_path",
     r"""select doc_id, path,
   ends_with(path, '.xml') and not regexp_matches(concat('/', path), '/(\.git|node_modules|target|build)/') and not regexp_matches(lower(concat('/', path)), '/test/|/pom\.xml|/target/|/build/') as as_xml,
   ends_with(path, '.java') and not regexp_matches(concat('/', path), '/(\.git|node_modules|target|build|\.idea|\.mvn)/') and not regexp_matches(lower(concat('/', path)), '/test/|/tests/') as as_java
 from paths""",
     {"paths": PATHS},
 )
-def source_tree_scan(inp):
+def scanned_path(inp):
     path = F.col("path")
     return inp.sql(PATHS).select("doc_id", "path", fs.is_scanned(path, "xml").alias("as_xml"), fs.is_scanned(path, "java").alias("as_java"))
 
 
+# mapper files of 50 parts each; a second delivery changes every third and brings the odd ones
+FILE = "cast(floor(p_partkey / 50) as bigint)"
+MAPPER = """concat('<mapper namespace="com.acme.F', cast(f as {t}), '">', {selects}, '</mapper>')"""
+ONE = """concat('<select id="q', cast(p_partkey as {t}), '">SELECT ', cast(p_size as {t}), ' FROM part_', cast(p_partkey % 7 as {t}), ', brand WHERE "n" = #{{a}}</select>')"""
+TREE = {
+    "mapper_files": f"""
+select f, count(*) as n, {MAPPER.format(t="varchar", selects="string_agg(one, '' order by p_partkey)")} as content
+from (select p_partkey, {FILE} as f, {ONE.format(t="varchar")} as one from part) group by f""",
+    "second_files": "select f, case when f % 3 = 0 then concat(content, '<!-- new -->') else content end as content from mapper_files",
+}
+
+
+def mapper_files(inp: Inputs):
+    """(f, content); a file has 50 statements at most."""
+    rows = inp.table("part").selectExpr("p_partkey", f"{FILE} as f", f"{ONE.format(t='string')} as one")
+    selects = "array_join(transform(array_sort(collect_list(struct(p_partkey, one))), x -> x.one), '')"
+    return rows.groupBy("f").agg(F.expr(selects).alias("s")).selectExpr("f", f"{MAPPER.format(t='string', selects='s')} as content")
+
+
+def deliver(files, root: str, prefix: str = "F") -> None:
+    fs.source_tree_write(files.select(F.concat(F.lit(prefix), F.col("f").cast("string")).alias("folder"), "content"), root)
+
+
+def folder_of(path):
+    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+
+
+@query(
+    "source_tree_scan",
+    """select concat('src/main/mapper/folder=F', f::varchar) as folder, concat(content, chr(10)) as content from mapper_files""",
+    TREE,
+)
+def source_tree_scan(inp):
+    """A tree of mapper files is written, with tests, build results and other kinds beside them, and read back."""
+    root, files = scratch_dir(inp.spark, "tree"), mapper_files(inp)
+    for place in ("src/main/mapper", "src/test/mapper", "target/classes", "a/Build/x", "node_modules/m"):
+        deliver(files, f"{root}/{place}")
+    files.select("content").coalesce(1).write.mode("append").text(f"{root}/src/main/notes")
+    return fs.source_tree_scan(inp.spark, root, "xml").select(folder_of(F.col("path")).alias("folder"), "content")
+
+
+@query(
+    "source_tree_stream",
+    """select concat('src/main/folder=F', s.f::varchar) as folder, sha256(concat(s.content, chr(10))) as content_hash,
+  case when s.f % 2 = 1 then 'ADD' when s.f % 3 = 0 then 'MODIFY' else 'ADD' end as change from second_files s""",
+    TREE,
+)
+def source_tree_stream(inp):
+    """Even files arrive first; then all do, of which every third has changed and the others are known or new."""
+    root, mark, log = (scratch_dir(inp.spark, f"tree-{x}") for x in ("in", "mark", "log"))
+    files = mapper_files(inp)
+    second = files.withColumn("content", F.when(F.col("f") % 3 == 0, F.concat("content", F.lit("<!-- new -->"))).otherwise(F.col("content")))
+    for delivery in (files.filter("f % 2 = 0"), second):
+        deliver(delivery, f"{root}/src/main")
+        stream = fs.source_tree_stream(inp.spark, root, "xml", 100_000).withColumn("path", folder_of(F.col("path")))
+        drain(stream, mark, lambda df, n: fl.apply_batch(df, n, log))
+    return fl.latest(fl.file_changes(inp.spark, log)).withColumnRenamed("path", "folder")
+
+
+INVENTORY = (
+    "id long, project_id long, sql_hash string, sql_text string, source_file string, source_location string, "
+    "status int, first_scan_id long, last_scan_id long, sql_normalized string, tables string"
+)
+
+
+@query(
+    "file_scan_pipeline",
+    """select concat('com.acme.F', f::varchar, '.q', p_partkey::varchar) as source_location, concat('src/main/folder=F', f::varchar) as folder,
+  concat('SELECT ', p_size::varchar, ' FROM part_', (p_partkey % 7)::varchar, ', brand WHERE "n" = ?') as sql_normalized,
+  concat('part_', (p_partkey % 7)::varchar, ',brand') as tables, 1 as status, 'new' as change
+from (select *, floor(p_partkey / 50)::bigint as f from part) qualify row_number() over (partition by p_size, p_partkey % 7
+  order by concat('src/main/folder=F', f::varchar), concat('com.acme.F', f::varchar, '.q', p_partkey::varchar)) = 1""",
+)
+def file_scan_pipeline(inp):
+    """From files to inventory: scan the tree, extract, normalise and fingerprint, keep first occurrences, upsert."""
+    root = scratch_dir(inp.spark, "scan-tree")
+    deliver(mapper_files(inp), f"{root}/src/main")
+    files = fs.source_tree_scan(inp.spark, root, "xml").withColumn("path", folder_of(F.col("path")))
+    found = inv.with_fingerprint(mx.mapper_statement_extract(files))
+    numbered = found.withColumn("project_id", F.lit(1).cast("long")).withColumn("stmt_id", F.xxhash64("source_file", "source_location", "sql_text"))
+    named = md.with_table_refs(inv.first_occurrence(numbered)).withColumn("tables", F.array_join("table_refs", ",")).drop("table_refs")
+    out = inv.full_scan_upsert(inp.spark.createDataFrame([], INVENTORY), cut_lineage(named, "scan"), 1)
+    return out.select("source_location", F.col("source_file").alias("folder"), "sql_normalized", "tables", "status", "change")
+
+
 def exported(inp: Inputs) -> str:
     """Folder with one exported table file per supplier."""
     tables = inp.sql(

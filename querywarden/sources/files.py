@@ -37,6 +37,25 @@ def source_tree_scan(spark: SparkSession, root: str, ext: str) -> DataFrame:
     return files.select(path.alias("path"), F.col("value").alias("content")).filter(is_scanned(F.col("path"), ext))
 
 
+def source_tree_write(files: DataFrame, root: str, ext: str = "xml") -> None:
+    """Write one file per row of (folder, content) below ``root``, in ``<root>/folder=<folder>``; an extension has three letters.
+
+    The files are written by the executors; a content is written as it is.
+    """
+    raw = {"quote": "", "sep": "\u0001", "extension": ext, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows = files.select("folder", "content").repartition("folder")
+    rows.write.partitionBy("folder").options(**raw).mode("append").csv(root)
+
+
+def source_tree_stream(spark: SparkSession, root: str, ext: str, files_per_batch: int = 1000) -> DataFrame:
+    """(path, content) of scanned files under ``root`` as they arrive, each once."""
+    base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch)
+    files = reader.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=f"*.{ext}")
+    path = F.split_part(_full_path(), F.lit(f"/{base}/"), F.lit(-1))
+    return files.select(path.alias("path"), F.col("value").alias("content")).filter(is_scanned(F.col("path"), ext))
+
+
 def ddl_directory_load(spark: SparkSession, root: str) -> DataFrame:
     """(table_name, content) of table files: ``<table>.sql``, or folders ``table_name=<table>``."""
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True)

@@ -3,12 +3,14 @@ from datetime import datetime, timedelta
 from conftest import rows
 from pyspark.sql import functions as F
 
+from querywarden.sources.files import source_tree_stream
 from querywarden.streaming import assessments as at
+from querywarden.streaming import file_log as fl
 from querywarden.streaming import health as hl
 from querywarden.streaming import inventory_log as il
 from querywarden.streaming.compaction import newest
 from querywarden.streaming.push import route_push_events
-from querywarden.streaming.runner import drain_to_parquet
+from querywarden.streaming.runner import drain, drain_to_parquet
 
 STMT = "stmt_id long, project_id long, source_file string, source_location string, source_type string, sql_text string"
 
@@ -41,6 +43,23 @@ def test_assessments_continue_across_batches(spark, tmp_path, table):
     assert got == [0, 25, 49, 90]
 
 
+def test_file_log_of_a_source_tree(spark, tmp_path):
+    tree, mark, log = (str(tmp_path / x) for x in ("tree", "mark", "log"))
+    steps = [{"a/X.xml": "one", "test/T.xml": "no", "a/Y.xml": "same"}, {"b/Z.xml": "new"}, {"a/W.xml": "more"}]
+    for step in steps:
+        for path, text in step.items():
+            (tmp_path / "tree" / path).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / "tree" / path).write_text(text)
+        drain(source_tree_stream(spark, tree, "xml", 1), mark, lambda df, n: fl.apply_batch(df, n, log))
+    assert rows(fl.latest(fl.file_changes(spark, log)), "path", "change") == [("a/W.xml", "ADD"), ("a/X.xml", "ADD"), ("a/Y.xml", "ADD"), ("b/Z.xml", "ADD")]
+    files = lambda *r: spark.createDataFrame(r, "path string, content string")
+    n = fl.file_changes(spark, log).agg(F.max("batch")).first()[0] + 1
+    for _ in range(2):  # the second is a replay
+        fl.apply_batch(files(("a/X.xml", "two"), ("a/Y.xml", "same"), ("N.xml", None)), n, log)
+    got = fl.file_changes(spark, log).filter(F.col("batch") == n)
+    assert rows(got, "path", "change") == [("N.xml", "ADD"), ("a/X.xml", "MODIFY")]
+
+
 def test_provider_health_batches(spark, tmp_path, table):
     base = datetime(2024, 1, 1)
     oks = {1: [1, 0, 0, 0, 0, 1, 0], 2: [0, 0, 0, 0], 3: [0, 1]}
