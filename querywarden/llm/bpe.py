@@ -221,8 +221,8 @@ def _coder(spec: str) -> Coder:
 def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", keep_text: bool = False, leaf: int = LEAF) -> DataFrame:
     """``docs`` with a column ``ids``; ``tokenizer`` is the content of a tokenizers file.
 
-    A text's leaves are brought together again by the row's number, so ``docs`` must be a stored table or
-    otherwise give the same rows in the same order when a task is repeated.
+    A text's leaves are brought together again by the row's number, which one pass gives and uses, so ``docs`` must
+    be a stored table or otherwise give the same rows in the same order when a task is repeated.
     """
     others = [c for c in docs.columns if c != "ids" and (keep_text or c != text)]
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer)
@@ -244,32 +244,40 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", keep_text: b
 
 
 def _encode_long(rows: DataFrame, spec, others: list[str], leaf: int) -> DataFrame:
+    """Rows of long texts with their ids. A row's number is used within this one pass only: the row's other columns
+    travel with its first leaf."""
+    names = [f"in_{c}" for c in others]
+    passing = [f for f in rows.schema if f.name in names]
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "_text"):
-            for row, text in zip(part.column("_row").to_pylist(), part.column("_text").to_pylist(), strict=True):
+            for i, (row, text) in enumerate(zip(part.column("_row").to_pylist(), part.column("_text").to_pylist(), strict=True)):
                 pieces = [text[at : at + leaf] for at in range(0, len(text), leaf)]
+                own = [part.column(c).slice(i, 1) for c in names]
+                own = [pa.concat_arrays([c, pa.nulls(len(pieces) - 1, c.type)]) for c in own]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row] * len(pieces), pa.int64()), pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.string())],
-                    ["_row", "_at", "_text"],
+                    [pa.array([row] * len(pieces), pa.int64()), pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.string()), *own],
+                    ["_row", "_at", "_text", *names],
                 )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(spec.value)
         for part in chunks(batches, "_text", BATCH_BYTES):
             ids = [x.astype("<u4").tobytes() for x in coder.marked(part.column("_text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("_at"), pa.array(ids, pa.binary())], ["_row", "_at", "_ids"])
+            yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("_at"), pa.array(ids, pa.binary()), *[part.column(c) for c in names]], ["_row", "_at", "_ids", *names])
 
     def join(group: pa.Table) -> pa.Table:
         order = np.argsort(group.column("_at").to_numpy())
         leaves = group.column("_ids").combine_chunks()
         whole = _coder(spec.value).tree([np.frombuffer(leaves[int(i)].as_py(), dtype="<u4") for i in order])
         ids = (whole & ~FIRST).astype("<u4").tobytes()
-        return pa.table({"_row": group.column("_row").slice(0, 1), "_ids": pa.array([ids], pa.binary())})
+        return group.select(names).slice(int(order[0]), 1).append_column("_ids", pa.array([ids], pa.binary()))
 
-    leaves = rows.select("_row", "_text").mapInArrow(cut, "_row long, _at int, _text string")
-    encoded = leaves.repartition("_row", "_at").mapInArrow(encode, "_row long, _at int, _ids binary")
-    joined = encoded.groupBy("_row").applyInArrow(join, "_row long, _ids binary")
-    return rows.select("_row", *[F.col(f"in_{c}") for c in others]).join(joined, "_row").drop("_row")
+    number, place, ids = T.StructField("_row", T.LongType()), T.StructField("_at", T.IntegerType()), T.StructField("_ids", T.BinaryType())
+    free = [T.StructField(f.name, f.dataType) for f in passing]
+    leaves = rows.mapInArrow(cut, T.StructType([number, place, T.StructField("_text", T.StringType()), *free]))
+    encoded = leaves.repartition("_row", "_at").mapInArrow(encode, T.StructType([number, place, ids, *free]))
+    return encoded.groupBy("_row").applyInArrow(join, T.StructType([*free, ids]))
 
 
 def bpe_decode(encoded: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
