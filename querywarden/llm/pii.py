@@ -31,10 +31,10 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 LOCAL_PHONE = r"(?<![0-9+.-])(?<!\+[0-9]{1,3}[\x20.-]?)(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![.-]?[0-9])"
 MASK = r"(?i)[(\[{]\x20?at\x20?[)\]}]"
 MASKED_EMAIL = (
-    r"(?i)(?<![A-Z0-9._%+-])[A-Z0-9._%+-]{1,64}\x20?[(\[{]\x20?at\x20?[)\]}]\x20?[A-Z0-9-]{1,63}"
-    r"(?:\x20?[(\[{]\x20?dot\x20?[)\]}]\x20?[A-Z0-9-]{1,63}|\.[A-Z0-9-]{1,63}){1,4}"
+    r"(?i)(?<![A-Z0-9._%+-])[A-Z0-9._%+-]++\x20?[(\[{]\x20?at\x20?[)\]}]\x20?[A-Z0-9-]++"
+    r"(?:\x20?[(\[{]\x20?dot\x20?[)\]}]\x20?[A-Z0-9-]++|\.[A-Z0-9-]++)++"
 )
-SECRET = r"(?i)(?<![A-Z0-9])(?:token|secret|password|passwd|api[_-]?key)\x20{0,2}[=:]\x20{0,2}[\"']?[A-Z0-9+/_=-]{16,256}[\"']?"
+SECRET = r"(?i)(?<![A-Z0-9])(?:token|secret|password|passwd|api[_-]?key)\x20{0,2}[=:]\x20{0,2}[\"']?[A-Z0-9+/_=-]{16,}+[\"']?"
 
 KINDS = ["email", "ip", "card", "phone", "local_phone", "masked_email", "secret"]
 BASE = KINDS[:4]

@@ -78,3 +78,12 @@ def test_reliable_labelers_outweigh_others():
 def test_no_python_on_the_executors(spark, sf_dir):
     plan = pii.personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "Cartesian", "NestedLoop"))
+
+
+def test_spans_of_any_length(spark):
+    secret, name, host = "aZ9/" * 250, "n" * 300, "h" * 200
+    texts = [f"api_key = {secret} end", f"write {name} (at) {host}.a.b.c.d.e.example [dot] com now"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans] for r in pii.personal_data(docs).collect()}
+    assert spans[0] == [f"api_key = {secret}"]
+    assert spans[1] == [f"{name} (at) {host}.a.b.c.d.e.example [dot] com"]
