@@ -95,7 +95,7 @@ def _gather(group: pa.Table) -> pa.Table:
     words["n"], words["key"], words["tail"] = total, distinct, tail
     top = _most_frequent(words[seen]).tobytes()
     sums = [np.bincount(tail, weights=total, minlength=TAILS).astype(np.int64).tolist(), np.bincount(tail[seen], minlength=TAILS).tolist(), top]
-    end, spread, m = np.cumsum(n), total.astype("<u4")[which], len(n)
+    end, spread, m = np.cumsum(n), total.astype("<u8")[which], len(n)
     kinds = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
     return pa.table(
         {
@@ -331,7 +331,7 @@ def lm_scores(docs: DataFrame, text: str = "text", key: str = "doc_id", rounds:
     lex = lexicon(gathered, packed)
 
     def code(_, left: pa.Table, right: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([_coded(row, flags_of(right, "<u4").astype(np.float64), lex) for row in left.to_pylist()])
+        return pa.Table.from_batches([_coded(row, flags_of(right, "<u8").astype(np.float64), lex) for row in left.to_pylist()])
 
     counts = gathered.select("chunk", "part", "flags")
     coded = stored(packed.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(code, CODED), "coded")

@@ -75,3 +75,14 @@ def test_nothing_to_score_or_learn_from(spark):
     assert scores(none) == []
     alone = scores(spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string"))
     assert {r.train_tokens for r in alone} == {0} and {r.n_known for r in alone} == {0} and all(np.isfinite(r.score) for r in alone)
+
+
+def test_counts_above_32_bits():
+    import numpy as np
+    import pyarrow as pa
+
+    keys = np.array([3, 9], np.uint64).tobytes()
+    load = np.array([(3_000_000_000, 1), (5, 2)], hmm.COUNT).tobytes()
+    group = pa.table({"chunk": pa.array([0, 1], pa.int64()), "part": pa.array([0, 0], pa.int32()), "n": pa.array([2, 2], pa.int32()), "keys": pa.array([keys + load] * 2, pa.binary())})
+    found = hmm._gather(group).to_pylist()
+    assert [np.frombuffer(r["flags"], "<u8").tolist() for r in found] == [[6_000_000_000, 10]] * 2
