@@ -29,6 +29,8 @@ MAX_LOST = 0.5
 MAX_ODD = 0.3
 #: a line is navigation from this many separators on, if there are at most so many words for each
 MIN_SEPARATORS, WORDS_PER_SEPARATOR = 3, 4
+#: a line of more words for each boilerplate phrase in it is text that happens to hold one
+WORDS_PER_PHRASE = 50
 
 SPACE = "\t\n\x0b\x0c\r "
 ODD = re.compile(r"(?:[#*$%&<>^~_=\\]{2,}|[!?]{2,})[.,]?(?=[\t\x0b\x0c\r ]|$)")
@@ -66,7 +68,8 @@ def failed_rule(line: str) -> str | None:
             return "navigation"
     if len(ODD.findall(line)) > MAX_ODD * words or not any(map(str.isalnum, line)):
         return "punctuation"
-    if BOILERPLATE.search(line):
+    phrases = len(BOILERPLATE.findall(line))
+    if phrases and words <= WORDS_PER_PHRASE * phrases:
         return "boilerplate"
     return None
 

@@ -86,12 +86,13 @@ RULES = rf"""
             len(list_filter(lw, lambda x: list_contains(['|', '»', '›', '>', '::', '•', '·', '/'], x))) as seps,
             len(list_filter(lw, lambda x: regexp_matches(x, '(?:[#*$%&<>^~_=\\]{{2,}}|[!?]{{2,}})[.,]?$'))) as odd,
             regexp_matches(line, '[\pL\pN]') as lettered,
-            regexp_matches(line, '(?i){_quoted(line_rules.BOILERPLATE.pattern)}') as boiler
+            len(regexp_extract_all(line, '(?i){_quoted(line_rules.BOILERPLATE.pattern)}')) as phrases
         from lines
     ),
     failed as (
         select *, (seps >= {line_rules.MIN_SEPARATORS} and n <= {line_rules.WORDS_PER_SEPARATOR + 1} * seps)
-            or odd > {line_rules.MAX_ODD}::double * n or not lettered or boiler as bad
+            or odd > {line_rules.MAX_ODD}::double * n or not lettered
+            or (phrases > 0 and n <= {line_rules.WORDS_PER_PHRASE} * phrases) as bad
         from judged
     ),
     by_doc as (

@@ -143,3 +143,17 @@ def test_exact_dedup_of_nothing(spark):
     path = stream_dedup.scratch_dir(spark, "test")
     spark.createDataFrame([], "doc_id long, text string").write.parquet(path)
     assert stream_dedup.exact_dedup(spark.read.parquet(path)).count() == 0
+
+
+def test_row_numbers_of_long_texts_are_used_in_one_scan(spark):
+    docs = spark.createDataFrame(odd_rows(), SCHEMA).select("doc_id", "lang", "text")
+    plan = bpe.bpe_encode(docs, SPEC, keep_text=True, leaf=33)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("monotonically_increasing_id()") == 1 and "Join" not in plan
+
+
+def test_a_phrase_in_a_long_line_is_no_boilerplate(spark):
+    clean = " ".join(f"word{i}" for i in range(3000))
+    texts = [f"{clean} read more {clean.replace("word", "other")}", "Read more", "\n".join(["read more about it"] * 3 + [clean])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bad_lines, r.kept) for r in line_rules.line_rules(docs).collect()}
+    assert got == {0: (0, True), 1: (1, False), 2: (3, True)}
