@@ -45,6 +45,28 @@ def prefix_cardinality(table: DataFrame, columns: list[str], approx_rsd: float |
     return counted.select(F.inline(F.array(*rows)))
 
 
+SKETCH_BITS = 14
+
+
+def prefix_sketches(table: DataFrame, columns: list[str], batch: Column) -> DataFrame:
+    """``batch, seq, column_name, n_rows, sketch``: for each part of a table a mergeable sketch of every leading part of an index.
+
+    Stored, these are all that a later refresh needs of rows it has read before. Nulls count as a value.
+    """
+    parts = range(1, len(columns) + 1)
+    sketches = [F.hll_sketch_agg(F.xxhash64(F.lit(i), *columns[:i], *[F.col(c).isNull() for c in columns[:i]]), F.lit(SKETCH_BITS)).alias(f"s{i}") for i in parts]
+    found = table.groupBy(batch.alias("batch")).agg(F.count(F.lit(1)).alias("n_rows"), *sketches)
+    rows = [F.struct(F.lit(i).alias("seq"), F.lit(columns[i - 1]).alias("column_name"), "n_rows", F.col(f"s{i}").alias("sketch")) for i in parts]
+    return found.select("batch", F.inline(F.array(*rows)))
+
+
+def merged_cardinality(sketches: DataFrame) -> DataFrame:
+    """``seq, column_name, n_rows, cardinality`` over all batches; of a batch that was sketched again the sketch over more rows counts."""
+    once = sketches.groupBy("batch", "seq", "column_name").agg(F.max_by("sketch", "n_rows").alias("sketch"), F.max("n_rows").alias("n_rows"))
+    estimate = F.hll_sketch_estimate(F.hll_union_agg("sketch", F.lit(False)))
+    return once.groupBy("seq", "column_name").agg(F.sum("n_rows").alias("n_rows"), estimate.alias("cardinality"))
+
+
 def index_stats(index_rows: DataFrame, table_rows: DataFrame) -> DataFrame:
     """One row per index from one row per index column; the last column's cardinality counts."""
     cols = F.array_sort(F.collect_list(F.struct("seq", "column_name", "cardinality", "non_unique", "index_type")))

@@ -12,6 +12,7 @@ from querywarden.plans.inputs import Inputs
 from querywarden.plans.oracle_parts import FP, REFS, RESOLVE
 from querywarden.plans.registry import query
 from querywarden.sources import catalog as cat
+from querywarden.session import scratch_dir
 
 MARK = dt.INDEX_MARKER
 
@@ -135,6 +136,21 @@ def column_cardinality_approx(inp):
     return found.select("seq", "column_name", near.alias("within_5_percent"))
 
 
+@query(
+    "index_stats_incremental",
+    """select unnest(range(1, 4)) as seq, unnest(['l_orderkey', 'l_partkey', 'l_suppkey']) as column_name, (select count(*) from lineitem) as n_rows, true as within_5_percent""",
+)
+def index_stats_incremental(inp):
+    """Sketches of the first rows are stored; then only the rows that came since are read and merged."""
+    rows, store = inp.table("lineitem").select(*CARD_COLS), scratch_dir(inp.spark, "sketches")
+    for n, part in enumerate(("l_orderkey % 4 <> 0", "l_orderkey % 4 = 0")):
+        md.prefix_sketches(rows.filter(part), CARD_COLS, F.lit(n)).write.mode("append").parquet(store)
+    found = md.merged_cardinality(inp.spark.read.parquet(store))
+    exact = md.prefix_cardinality(rows, CARD_COLS).select("seq", F.col("cardinality").alias("n"))
+    near = F.abs(F.col("cardinality") - F.col("n")) <= 0.05 * F.col("n")
+    return found.join(exact, "seq").select("seq", "column_name", "n_rows", near.alias("within_5_percent"))
+
+
 @query(
     "ddl_drift",
     """select coalesce(l.table_name, r.table_name) as table_name,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from querywarden.operators import metadata as md
 from querywarden.operators import ownership as ow
+from querywarden.operators import paging as pg
 from querywarden.operators import reports as rp
 from querywarden.plans.inputs import Inputs
 from querywarden.plans.metadata import STATS, full_meta
@@ -179,6 +180,27 @@ def paginate(inp):
     return page.select("id", "project_id", "owner", rp.total(rows).scalar().alias("total"))
 
 
+@query(
+    "paginate_deep",
+    "select event_id, user_id, event_type, value from events order by event_type desc, ts, event_id limit 37 offset 851",
+)
+def paginate_deep(inp):
+    page = pg.deep_page(inp.table("events"), ["-event_type", "ts", "event_id"], 24, 37)
+    return page.select("event_id", "user_id", "event_type", "value")
+
+
+@query(
+    "paginate_seek",
+    """select e.event_id, e.user_id, e.event_type from events e, events l where l.event_id = 77
+and (e.event_type < l.event_type or (e.event_type = l.event_type and (e.ts > l.ts or (e.ts = l.ts and e.event_id > l.event_id))))
+order by e.event_type desc, e.ts, e.event_id limit 50""",
+)
+def paginate_seek(inp):
+    events = inp.table("events")
+    last = events.filter("event_id = 77").select("event_type", "ts", "event_id").first()
+    return pg.seek_page(events, ["-event_type", "ts", "event_id"], 50, last.asDict()).select("event_id", "user_id", "event_type")
+
+
 DURATION = """case when scan_duration_ms < 1000 then concat(scan_duration_ms::varchar, 'ms') when scan_duration_ms // 1000 < 60 then concat((scan_duration_ms // 1000)::varchar, 's')
   when scan_duration_ms is not null then concat((scan_duration_ms // 60000)::varchar, 'm ', (scan_duration_ms // 1000 % 60)::varchar, 's') end"""
 

@@ -5,7 +5,7 @@ import pytest
 from querywarden.plans.catalog import QUERIES
 
 # these run jobs while they are built, their result only reads what was written
-EAGER = {"reuse_within_ttl_exact", "reuse_within_ttl_exact_short", "stream_dedup_ttl", "stream_incremental_upsert", "stream_provider_health", "push_event_route_stream", "source_tree_scan", "source_tree_stream", "file_scan_pipeline", "ddl_export_load", "ddl_export", "ddl_directory_load"}
+EAGER = {"paginate_deep", "index_stats_incremental", "reuse_within_ttl_exact", "reuse_within_ttl_exact_short", "stream_dedup_ttl", "stream_incremental_upsert", "stream_provider_health", "push_event_route_stream", "source_tree_scan", "source_tree_stream", "file_scan_pipeline", "ddl_export_load", "ddl_export", "ddl_directory_load"}
 
 
 def plan_of(df):
