@@ -8,7 +8,7 @@ path share a bucket. Small buckets are compared by brute force on sketches; buck
 split on, ``DEPTH`` tokens deeper, for ``ROUNDS`` more rounds, unless most of their sets are like the first one; sets
 like it are tied to it. Buckets still above ``LIMIT`` after the last round are compared by brute force, too, in block
 pairs. The number of runs follows from the target recall by the survival of a path through all rounds. Sets tied by candidates form clusters, and
-in these all pairs are compared exactly, in blocks, so no cluster meets in one task.
+in these all pairs of sets of like size are compared exactly, in blocks of so many sets and tokens, so no cluster meets in one task.
 
 A link is a pair of documents with similarity >= ``SIMILARITY``; classes are the connected components of links.
 Nulls and texts without words have no set and no link: each is a class of its own. Repeated rows and copies
@@ -23,12 +23,13 @@ from math import ceil, exp, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querywarden.llm.components import components
 from querywarden.llm.packs import KEYS, ROW_BITS, flags_of, judge, key_rows, pack, parts_of, repeats, stored, unpack
 from querywarden.llm.words import Words, mix
+from querywarden.operators.lookups import salted_lookup
 
 SHINGLE, SIMILARITY = 5, (4, 5)
 LAMBDA, DEPTH, ROUNDS, LIMIT = 0.7, 3, 2, 64
@@ -36,7 +37,10 @@ RECALL = 0.9995
 BINS, LIKELY = 128, 0.6
 #: a large bucket with this share of sets somewhat like its first one is not split on; all its sets are tied to the first
 SOMEWHAT, DENSE = 0.4, 0.5
-BLOCK = 512
+#: a block of a cluster has about this many sets and tokens at most; sets of two bands of sizes apart cannot be linked
+BLOCK, TOKENS, BAND = 512, 1 << 19, 1.3
+#: (path, token) pairs looked at together, and bytes of sets sent together
+PAIRS, SLICE = 1 << 18, 1 << 21
 CHUNK = 1 << 20
 SEED = 0x5DEECE66D
 
@@ -85,16 +89,27 @@ class Sets:
         """Paths ``depth`` choices longer than those given: documents, keys, and the numbers of the paths they extend."""
         chance, origin = self.thresholds(), np.arange(len(doc))
         for _ in range(depth):
-            # every node meets each token of its set
-            size = self.size[doc]
-            node = np.repeat(np.arange(len(doc)), size)
-            token = np.arange(len(node)) - np.repeat(np.cumsum(size) - size, size) + self.first[doc][node]
-            draw = self.token[token] * (key | np.uint64(1))[node]
-            taken = draw <= chance[doc][node]
-            node, token = node[taken], token[taken]
+            node, token = self._choices(doc, key, chance)
             doc, key, origin = doc[node], mix(key[node] ^ mix(self.token[token])), origin[node]
         return doc, key, origin
 
+    def _choices(self, doc: np.ndarray, key: np.ndarray, chance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every path meets each token of its set: the pairs of path and chosen token, worked out in slices."""
+        size = self.size[doc]
+        total = np.cumsum(size)
+        nodes, tokens = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        at = 0
+        while at < len(doc):
+            end = max(at + 1, int(np.searchsorted(total, total[at] - size[at] + PAIRS, side="right")))
+            part = size[at:end]
+            node = np.repeat(np.arange(at, end), part)
+            token = np.arange(len(node)) - np.repeat(np.cumsum(part) - part, part) + self.first[doc[node]]
+            taken = self.token[token] * (key[node] | np.uint64(1)) <= chance[doc[node]]
+            nodes.append(node[taken])
+            tokens.append(token[taken])
+            at = end
+        return np.concatenate(nodes), np.concatenate(tokens)
+
     def sketches(self) -> list[bytes]:
         """One byte for each of ``BINS`` ranges of hashes: of the least token in it, or 0 if there is none."""
         scrambled = mix(self.token)
@@ -118,7 +133,8 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _describe(runs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
                 s = Sets(unpack(row))
                 n = len(s.size)
                 low = np.zeros(n, np.uint64)
@@ -315,42 +331,31 @@ def candidates(described: DataFrame, packed: DataFrame) -> DataFrame:
     return edges
 
 
-def _tokens(_, left: pa.Table, right: pa.Table) -> pa.Table:
-    """The sets of a chunk's clustered rows, once for each block pair they belong to."""
-    out = [pa.table({"cluster": pa.array([], pa.int64()), "one": pa.array([], pa.int32()), "two": pa.array([], pa.int32()), "row": pa.array([], pa.int64()), "block": pa.array([], pa.int32()), "copies": pa.array([], pa.int64()), "tokens": pa.array([], pa.binary())})]
-    for row in left.to_pylist():
-        if not len(right):
-            continue
-        texts = unpack(row)
-        base = row["chunk"] << ROW_BITS
-        wanted = right.to_pylist()
-        s = Sets([texts[r["row"] - base] for r in wanted])
-        sets = [s.of(i).tobytes() for i in range(len(wanted))]
-        spread = [(i, min(r["block"], k), max(r["block"], k)) for i, r in enumerate(wanted) for k in range(r["blocks"])]
-        pick = lambda c: [wanted[i][c] for i, _, _ in spread]
-        out.append(
-            pa.table(
-                {
-                    "cluster": pa.array(pick("cluster"), pa.int64()),
-                    "one": pa.array([x[1] for x in spread], pa.int32()),
-                    "two": pa.array([x[2] for x in spread], pa.int32()),
-                    "row": pa.array(pick("row"), pa.int64()),
-                    "block": pa.array(pick("block"), pa.int32()),
-                    "copies": pa.array(pick("copies"), pa.int64()),
-                    "tokens": pa.array([sets[x[0]] for x in spread], pa.binary()),
-                }
-            )
-        )
-    return pa.concat_tables(out)
-
-
-TOKENS = "cluster long, one int, two int, row long, block int, copies long, tokens binary"
+PLACE = ["row", "cluster", "band", "block", "blocks", "above", "below", "copies"]
+SETS = "row long, cluster long, band int, block int, blocks int, above int, below int, copies long, tokens binary"
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of the placed rows of each chunk, each set once, in slices of about ``SLICE`` bytes."""
+    for b in batches:
+        for i in range(b.num_rows):
+            texts = unpack(b.select(["size", "raw", "blob"]).slice(i, 1).to_pylist()[0])
+            places = pa.RecordBatch.from_struct_array(b.column("places").slice(i, 1).flatten()).select(PLACE)
+            s = Sets([texts[place] for place in places.column("row").to_numpy() & ((1 << ROW_BITS) - 1)])
+            del texts
+            total, at = np.cumsum(8 * s.size), 0
+            while at < places.num_rows:
+                end = max(at + 1, int(np.searchsorted(total, total[at] - 8 * s.size[at] + SLICE, side="right")))
+                tokens = pa.array([s.of(d).tobytes() for d in range(at, end)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*places.slice(at, end - at).columns, tokens], [*PLACE, "tokens"])
+                at = end
 
 
 def _exact(group: pa.Table) -> pa.Table:
-    """All pairs of a block pair: each row's linked documents, and the least row its links lead to."""
+    """All pairs of a block pair (of one block: all in it; else those of both sides): each row's linked documents, and
+    the least row its links lead to."""
     sets = [np.frombuffer(t, np.uint64) for t in group.column("tokens").to_pylist()]
-    row, copies, block = (group.column(c).to_numpy() for c in ("row", "copies", "block"))
+    row, copies, side = (group.column(c).to_numpy() for c in ("row", "copies", "side"))
     m, size = len(sets), np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(m), size)
     _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -369,22 +374,65 @@ def _exact(group: pa.Table) -> pa.Table:
     union = size[:, None] + size[None, :] - common
     link = SIMILARITY[1] * common >= SIMILARITY[0] * union
     np.fill_diagonal(link, False)
-    if group.column("one")[0].as_py() != group.column("two")[0].as_py():
-        link &= block[:, None] != block[None, :]
+    if group.column("next")[0].as_py() or group.column("one")[0].as_py() != group.column("two")[0].as_py():
+        link &= side[:, None] != side[None, :]
     links = link @ copies
     return pa.table({"row": pa.array(row), "links": pa.array(links.astype(np.int64)), "least": pa.array(_stars(link, row))})
 
 
+def placed(clusters: DataFrame) -> DataFrame:
+    """``PLACE`` for the rows of ``clusters`` (row, cluster, copies, size).
+
+    A cluster that fits into a block is one block (``band`` -1). Others are cut into bands of sizes by powers of ``BAND``,
+    so that linked sets are in the same band or in neighbours (their sizes differ by a quarter at most), and a band into
+    blocks by hash: as many as its sets and tokens ask for, ``blocks``; ``above`` and ``below`` are those of its neighbours.
+    """
+    banded = clusters.withColumn("band", F.floor(F.log("size") / F.log(F.lit(BAND))).cast("int"))
+    parts = stored(banded.groupBy("cluster", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens")), "bands")
+    whole = parts.groupBy("cluster").agg(((F.sum("n") <= BLOCK) & (F.sum("tokens") <= TOKENS)).alias("whole"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("tokens") / TOKENS)).cast("int")
+    sized = parts.join(whole, "cluster").select("cluster", "band", "whole", F.when(F.col("whole"), 1).otherwise(blocks).alias("blocks"))
+    bands = Window.partitionBy("cluster").orderBy("band")
+
+    def neighbour(step: int) -> Column:
+        there = ~F.col("whole") & (F.lag("band", step).over(bands) == F.col("band") - step)
+        return F.when(there, F.lag("blocks", step).over(bands)).otherwise(0)
+
+    cut = sized.withColumn("above", neighbour(-1)).withColumn("below", neighbour(1))
+    block = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
+    return salted_lookup(banded, cut, ["cluster", "band"], "row", "inner").select(
+        "row", "cluster", F.when(F.col("whole"), -1).otherwise(F.col("band")).alias("band"), block.alias("block"), "blocks", "above", "below", "copies"
+    )
+
+
+def block_units() -> Column:
+    """The block pairs of a placed row: with each block of its band, and of the bands next to it."""
+
+    def with_each(blocks: str, unit) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.col(blocks), F.lit(1)) - 1), unit)
+
+    def unit(band: Column, following: int, one: Column, two: Column, side: Column) -> Column:
+        return F.struct(band.alias("band"), F.lit(following).alias("next"), one.alias("one"), two.alias("two"), side.cast("int").alias("side"))
+
+    band, block = F.col("band"), F.col("block")
+    own = with_each("blocks", lambda o: unit(band, 0, F.least(block, o), F.greatest(block, o), block))
+    above = with_each("above", lambda o: unit(band, 1, block, o, F.lit(0)))
+    below = with_each("below", lambda o: unit(band - 1, 1, o, block, F.lit(1)))
+    return F.concat(own, F.when(F.col("above") > 0, above).otherwise(F.slice(above, 1, 0)), F.when(F.col("below") > 0, below).otherwise(F.slice(below, 1, 0)))
+
+
 def exact_links(packed: DataFrame, clusters: DataFrame) -> DataFrame:
-    """``row, links, least`` for the rows of ``clusters`` (row, cluster, copies), from comparisons of all pairs in it."""
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = clusters.join(sizes, "cluster").select(
-        "row", "cluster", "copies", F.shiftright("row", ROW_BITS).alias("chunk"), blocks.alias("blocks"),
-        F.pmod(F.xxhash64("row"), blocks).cast("int").alias("block"),
-    )
-    sets = packed.groupBy("chunk").cogroup(placed.groupBy("chunk")).applyInArrow(_tokens, TOKENS)
-    return sets.groupBy("cluster", "one", "two").applyInArrow(_exact, "row long, links long, least long")
+    """``row, links, least`` for the rows of ``clusters`` (row, cluster, copies, size), from exact comparisons.
+
+    A set leaves Python once and is copied in the shuffle, once for each block pair it belongs to: n / ``BLOCK``
+    copies in a cluster of n sets of like size. No task holds more than a block pair.
+    """
+    places = placed(clusters).withColumn("chunk", F.shiftright("row", ROW_BITS))
+    wanted = places.groupBy("chunk").agg(F.collect_list(F.struct(*PLACE)).alias("places"))
+    sets = packed.join(wanted, "chunk").select("size", "raw", "blob", "places").mapInArrow(_sets, SETS)
+    units = sets.select("row", "cluster", "copies", "tokens", F.explode(block_units()).alias("u"))
+    sides = units.select("cluster", "u.band", "u.next", "u.one", "u.two", "u.side", "row", "copies", "tokens")
+    return sides.groupBy("cluster", "band", "next", "one", "two").applyInArrow(_exact, "row long, links long, least long")
 
 
 def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", recall: float = RECALL) -> DataFrame:
@@ -393,13 +441,13 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", recal
     packed = pack(docs, text, key, CHUNK)
     described = stored(packed.mapInArrow(_describe(runs_for(recall)), DESCRIBED), "sets")
     full = described.filter("size > 0")
-    sets = stored(full.groupBy("low", "high").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")), "classes")
+    sets = stored(full.groupBy("low", "high").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.min("size").alias("size")), "classes")
     chosen = described.join(sets.select("row"), "row", "left_semi")
     clusters = components(candidates(chosen, packed)).select(F.col("node").alias("row"), F.col("root").alias("cluster"))
-    exact = stored(exact_links(packed, clusters.join(sets.select("row", "copies"), "row")), "links")
+    exact = stored(exact_links(packed, clusters.join(sets.select("row", "copies", "size"), "row")), "links")
     counts = exact.groupBy("row").agg(F.sum("links").alias("links"))
     roots = components(exact.filter("least != row").select(F.col("row").alias("a"), F.col("least").alias("b")))
-    rooted = sets.join(counts, "row", "left").join(roots.withColumnRenamed("node", "row"), "row", "left")
+    rooted = sets.drop("size").join(counts, "row", "left").join(roots.withColumnRenamed("node", "row"), "row", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "row"))
     classes = rooted.groupBy("root").agg(F.min("least_id").alias("class_id"))
     known = rooted.join(classes, "root").select("low", "high", "root", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))

@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from querywarden.llm import chosen_path
@@ -50,10 +52,13 @@ def edited(rng, words, n):
     return " ".join(words)
 
 
-def test_against_all_pairs(spark, monkeypatch):
+@pytest.mark.parametrize("block, tokens", [(7, 1 << 19), (512, 400)])
+def test_against_all_pairs(spark, monkeypatch, block, tokens):
     rng = random.Random(3)
     monkeypatch.setattr(chosen_path, "LIMIT", 8)
-    monkeypatch.setattr(chosen_path, "BLOCK", 7)
+    monkeypatch.setattr(chosen_path, "BLOCK", block)
+    monkeypatch.setattr(chosen_path, "TOKENS", tokens)
+    monkeypatch.setattr(chosen_path, "PAIRS", 500)
     common = [f"c{i}" for i in range(40)]
     texts = [None, "", " ", "a b", "a  b", "b a", "one", "one", "p q r s t", "p q r s t u"]
     for g in range(12):
@@ -71,6 +76,47 @@ def test_against_all_pairs(spark, monkeypatch):
     assert len({r.class_id for r in got if r.class_id is not None}) <= len(stays) < len(got)
 
 
+def test_links_between_bands_of_sizes(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "BLOCK", 5)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(n, " ".join(words[:n])) for n in range(5, 400, 2)]
+    places = {}
+    for r in chosen_path.placed(spark.createDataFrame([(n, 1, 1, n - 4) for n, _ in rows], "row long, cluster long, copies long, size long")).collect():
+        places.setdefault(r.band, set()).add((r.blocks, r.above, r.below))
+    assert all(len(v) == 1 for v in places.values()) and len(places) > 10
+    blocks = {band: next(iter(v))[0] for band, v in places.items()}
+    assert all(v == {(blocks[band], blocks.get(band + 1, 0), blocks.get(band - 1, 0))} for band, v in places.items())
+    got = chosen_path.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == sorted(plain(rows))
+
+
+@pytest.mark.parametrize("blocks", [20, 200])
+def test_a_chunk_sends_each_set_once_in_slices(monkeypatch, blocks):
+    monkeypatch.setattr(chosen_path, "SLICE", 1 << 12)
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)).encode() for i in range(100)]
+    raw = b"".join(texts)
+    places = [dict(zip(chosen_path.PLACE, (7 << 20 | i, 1, 3, i % blocks, blocks, 0, 0, 1), strict=True)) for i in range(0, 100, 2)]
+    row = {"size": [len(t) for t in texts], "raw": len(raw), "blob": pa.compress(raw, "zstd", asbytes=True), "places": places}
+    out = list(chosen_path._sets(iter([pa.RecordBatch.from_pylist([row, row])])))
+    assert sum(b.num_rows for b in out) == 2 * 50
+    assert all(b.column("tokens").nbytes <= (1 << 12) + 8 * b.num_rows + 8 for b in out)
+    assert [r for b in out[: len(out) // 2] for r in b.column("row").to_pylist()] == [p["row"] for p in places]
+
+
+def test_sketches_lose_no_pair_at_the_threshold():
+    rng, low = random.Random(11), 0
+    for size in (9, 45, 450):
+        for _ in range(200):
+            both = [f"s{rng.random()}" for _ in range(size)]
+            left, right = both[: size - size // 9], both[size // 9 :]
+            hashes = [chosen_path.mix(np.array([hash(x) & (2**64 - 1) for x in side], np.uint64)) for side in (left, right)]
+            s = chosen_path.Sets([])
+            s.token, s.doc, s.size = np.concatenate(hashes), np.repeat([0, 1], [len(left), len(right)]), np.array([len(left), len(right)])
+            one, two = (np.frombuffer(x, np.uint8)[None, :] for x in s.sketches())
+            low += chosen_path.alike(one, two)[0] < chosen_path.LIKELY
+    assert not low
+
+
 def test_links_through_a_later_row(spark):
     base = [f"w{i}" for i in range(104)]
     swap = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(base))
