@@ -45,10 +45,26 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _aside(columns: list[str]) -> str:
+    """A name for an input column that is called like ``ROW``."""
+    taken, name = {c.lower() for c in columns}, ROW + "_"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def numbered(docs: DataFrame, *columns: str) -> DataFrame:
     """The rows of ``docs`` (all columns, or those named), stored with their number ``ROW``, which is computed only here:
-    a second scan of the same files may be cut into other partitions and number its rows otherwise."""
-    return stored(docs.select(*dict.fromkeys(columns or docs.columns), F.monotonically_increasing_id().alias(ROW)), "numbered")
+    a second scan of the same files may be cut into other partitions and number its rows otherwise. A column of the
+    input that is called ``ROW`` is stored under another name; ``as_given`` gives it back."""
+    names = list(dict.fromkeys(columns or docs.columns))
+    own = [F.col(c).alias(_aside(docs.columns) if c.lower() == ROW else c) for c in names]
+    return stored(docs.select(*own, F.monotonically_increasing_id().alias(ROW)), "numbered")
+
+
+def as_given(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of a ``numbered`` table with the ``columns`` of its input."""
+    return rows.select(*[F.col(_aside(columns) if c.lower() == ROW else c).alias(c) for c in columns])
 
 
 def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = CHUNK_BYTES) -> DataFrame:

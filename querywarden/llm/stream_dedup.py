@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from querywarden.llm.packs import ROW, numbered
+from querywarden.llm.packs import ROW, as_given, numbered
 from querywarden.session import cut_lineage, scratch_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -88,13 +88,13 @@ def state_now(spark: SparkSession, updates: str) -> DataFrame:
     return newest.select("digest", "s.keep_id", "s.keep_row", "s.group_size")
 
 
-def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", files_per_batch: int = FILES_PER_BATCH, has_rows: bool = False) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``, ``row``.
 
-    ``row`` is the number in ``docs`` if that is a ``numbered`` table; else rows are numbered and stored here.
+    ``row`` is the number in ``docs`` if that is a ``numbered`` table (``has_rows``); else rows are numbered and stored here.
     """
     spark = docs.sparkSession
-    docs = docs if ROW in docs.columns else numbered(docs, key, text)
+    docs = docs if has_rows else numbered(docs, key, text)
     rows = cut_lineage(digests(docs, text, key), "dedup-digests")
     path = rows.inputFiles()
     base = scratch_dir(spark, "dedup-stream")
@@ -138,5 +138,5 @@ def _apart(docs: DataFrame, placed: DataFrame, collided: DataFrame, text: str) -
 def kept_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``."""
     rows = numbered(docs)
-    stay = exact_dedup(rows, text, key).filter("kept").select(F.col("row").alias(ROW))
-    return rows.join(stay, ROW, "left_semi").select(*docs.columns)
+    stay = exact_dedup(rows, text, key, has_rows=True).filter("kept").select(F.col("row").alias(ROW))
+    return as_given(rows.join(stay, ROW, "left_semi"), docs.columns)

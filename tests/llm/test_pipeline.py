@@ -68,6 +68,19 @@ def test_pipeline_of_nothing_and_nulls(spark):
         assert now.count() == left
 
 
+def test_pipeline_leaves_foreign_columns_alone(spark):
+    extra = ["_querywarden_row", "_querywarden_row_", "kept", "n_words", "row", "chunk", "_doc", "digest"]
+    rows = [(i, " ".join(f"w{i // 2}x{j}" for j in range(30)) + ".", "a", *[f"{c}{i}" for c in extra]) for i in range(6)]
+    docs = stored(spark.createDataFrame(rows, ["doc_id", "text", "source", *extra]), "test")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        docs = stored(out, name)
+    got = docs.collect()
+    assert {r.doc_id // 2 for r in got} == {0, 1, 2}
+    assert all(r[c] == f"{c}{r.doc_id}" for r in got for c in extra)
+
+
 @pytest.mark.parametrize("step", ["exact", "near", "spans"])
 def test_files_cut_anew_between_scans(spark, monkeypatch, step):
     rows = [(i, " ".join(f"w{i // 2}x{j}" for j in range(30)) + f" a{i // 2}@b.com") for i in range(80)]
