@@ -4,6 +4,10 @@ Each stage takes what the one before it kept, stored and read again, and its dec
 lines and rejected documents go, of equal texts and of near-duplicate groups one document stays, sources are
 taken as often as the mix says, and what is left is encoded and decoded again. No SQL expresses the
 clean-up and the mix, so the pipeline is tested against plain versions of its stages.
+
+A null text counts as empty and is rejected by the quality rules. Of equal texts the largest ``doc_id`` stays, of rows
+equal in that, too, one; of a near-duplicate group the least ``doc_id``. An empty table stays empty. Further columns
+pass all stages but the last, whatever they are called; ``n_chars``, if there, is the length of the cleaned text.
 """
 
 from __future__ import annotations
@@ -14,16 +18,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querywarden.llm import bpe, chosen_path, line_rules, mixing, stream_dedup
-from querywarden.llm.packs import ROW, numbered, prepare, stored
+from querywarden.llm.packs import ROW, as_given, numbered, prepare, stored
 from querywarden.llm.queries import tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without their failing lines."""
     prepare(spark)
-    kept = line_rules.line_rules(docs, keep_text=False).filter("kept")
-    clean = kept.withColumn("text", F.col("clean_text")).withColumn("n_chars", F.length("clean_text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(*docs.columns)
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    kept = line_rules.line_rules(docs.toDF(*names.values()), text=names["text"], keep_text=False).filter("kept")
+    new = {c: F.col(name) for c, name in names.items()} | {"text": F.col("clean_text")}
+    if "n_chars" in names:
+        new["n_chars"] = F.length("clean_text").cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[column.alias(c) for c, column in new.items()])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     rows = numbered(docs)
     gone = chosen_path.jaccard_join(rows, key=ROW).filter("not stays").select(F.col("doc_id").alias(ROW))
-    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
+    return as_given(rows.join(gone, ROW, "left_anti"), docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
