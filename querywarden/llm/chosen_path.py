@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from querywarden.llm.components import components
 from querywarden.llm.packs import KEYS, ROW_BITS, flags_of, judge, key_rows, pack, parts_of, repeats, stored, unpack
-from querywarden.llm.words import Words, mix
+from querywarden.llm.words import Words, give_back, mix
 from querywarden.operators.lookups import salted_lookup
 
 SHINGLE, SIMILARITY = 5, (4, 5)
@@ -159,6 +159,8 @@ def _describe(runs: int):
                     ],
                     ["row", "doc_id", "size", "low", "high", "sketch", "keys"],
                 )
+                del s, docs, keys, order, ends, low, high
+                give_back()
 
     return run
 
@@ -188,6 +190,8 @@ def _deeper(_, left: pa.Table, right: pa.Table) -> pa.Table:
             found.append(nodes)
         chunks.append(row["chunk"])
         blobs.append(np.concatenate(found).tobytes())
+        del s, found
+        give_back()
     return pa.table({"chunk": pa.array(chunks, pa.int64()), "nodes": pa.array(blobs, pa.binary())})
 
 
@@ -254,7 +258,9 @@ def _small_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         rest = t.slice(open_from)
     if rest is not None:
         compare(rest)
+    rest = None
     pairs = [(x, _root(parent, x)) for x in parent if _root(parent, x) != x]
+    give_back()
     yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
@@ -349,6 +355,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 tokens = pa.array([s.of(d).tobytes() for d in range(at, end)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*places.slice(at, end - at).columns, tokens], [*PLACE, "tokens"])
                 at = end
+            del s, tokens
+            give_back()
 
 
 def _exact(group: pa.Table) -> pa.Table:

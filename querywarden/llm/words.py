@@ -6,6 +6,7 @@ Hashes are 64-bit polynomials by prefix sums, so the cost is a few passes over t
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +47,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Memory that this Python worker no longer uses goes back to the system: an idle worker of an executor keeps little."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``limit`` bytes of text each, one row at least.
 
