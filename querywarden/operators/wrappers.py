@@ -229,8 +229,10 @@ def pseudo_sql_assemble(clauses: DataFrame, usages: DataFrame) -> DataFrame:
 
 def wrapper_statements(calls: DataFrame, entity_tables: DataFrame) -> DataFrame:
     """Builder calls to statement rows, one per usage with content; the calls are read and grouped once."""
+    # a generator stays in place, so that the arguments are worked out once and not in each clause
+    plain = bool_prefix_strip(calls).withColumn("args", F.explode(F.array("args")))
     rows = (
-        with_clauses(bool_prefix_strip(calls))
+        with_clauses(plain)
         .groupBy("usage_id")
         .agg(
             *_clause_parts(), *_entity_parts(), F.max("wrapper_type").alias("wrapper_type"), F.max("path").alias("source_file"),

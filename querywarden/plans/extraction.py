@@ -284,7 +284,8 @@ union all select concat('src/S', p_partkey::varchar, '.java'), concat('Svc', (p_
 )
 def wrapper_statements(inp):
     files = inp.sql(BUILDERS, spread=True)
-    out = wr.wrapper_statements(js.wrapper_call_extract(files), js.entity_table_map(files))
+    scanned = inp.once("java", lambda: js.scan_java(files, "entity", "call"))
+    out = wr.wrapper_statements(js.wrapper_call_extract(files, scanned), js.entity_table_map(files, scanned))
     return out.select("source_file", "source_location", "source_type", "sql_type", "sql_text")
 
 
@@ -307,14 +308,15 @@ select concat('src/C', cast(p_partkey as string), '.java') as path, concat('clas
     when 4 then 'a = ? AND b = ?' when 5 then 'a = ? AND b = ?' else 'c = ?' end) as sql_text from part""",
 )
 def wrapper_scopes(inp):
-    files = inp.sql(SCOPES)
-    out = wr.wrapper_statements(js.wrapper_call_extract(files), js.entity_table_map(files))
+    files = inp.sql(SCOPES, spread=True)
+    scanned = inp.once("java", lambda: js.scan_java(files, "entity", "call"))
+    out = wr.wrapper_statements(js.wrapper_call_extract(files, scanned), js.entity_table_map(files, scanned))
     return out.select("source_file", "source_location", "sql_text")
 
 
 @query("java_rejects", "select concat('src/R', p_partkey::varchar, '.java') as path from part where p_partkey % 3 = 1")
 def java_rejects(inp):
-    files = inp.sql("select concat('src/R', cast(p_partkey as string), '.java') as path, concat('class R { ', case when p_partkey % 3 = 1 then '{' else '' end, p_name, ' }') as content from part")
+    files = inp.sql("select concat('src/R', cast(p_partkey as string), '.java') as path, concat('class R { ', case when p_partkey % 3 = 1 then '{' else '' end, p_name, ' }') as content from part", spread=True)
     return js.java_rejects(files).select("path")
 
 

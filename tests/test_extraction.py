@@ -181,3 +181,29 @@ def test_files_that_do_not_balance_are_reported(table):
     files = table([("a", "class A { void m() { }"), ("b", "class B { int x[) }"), ("c", None), ("d", "class D { char c = '{'; }")], "path string, content string")
     assert [r[0] for r in rows(js.java_rejects(files), "path")] == ["a", "b"]
     assert js.wrapper_call_extract(files).count() == 0
+
+
+def test_heavy_tables_are_spread_without_a_setting(spark, tmp_path):
+    from querywarden.plans.inputs import Inputs
+    from querywarden.sources import tables as tb
+
+    spark.range(100).selectExpr("id as p_partkey", "'n' as p_name").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    spread = Inputs(spark, str(tmp_path)).table("part", spread=True)
+    assert spread.rdd.getNumPartitions() == cores > 1
+    assert sorted(r.p_partkey for r in spread.collect()) == list(range(100))
+    assert tb.parts_for(spark.range(1000), 10) == 100
+
+
+def test_statement_query_cuts_each_java_file_once(spark, sf_dir):
+    from querywarden.plans.catalog import QUERIES
+
+    plan = QUERIES["wrapper_statements"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "/java-" in plan
+
+
+def test_stored_scan_gives_the_same_statements(table):
+    df = table([("A.java", '@TableName("t_x") class X { } class S { void m() { d.a(new QueryWrapper<X>().eq("a", 1)); } }')], "path string, content string")
+    scanned = js.scan_java(df, "entity", "call")
+    assert rows(js.wrapper_call_extract(df, scanned)) == rows(js.wrapper_call_extract(df))
+    assert rows(js.entity_table_map(df, scanned)) == rows(js.entity_table_map(df)) == [("X", "t_x")]
