@@ -48,10 +48,11 @@ from (select p_partkey, {FILE} as f, {ONE.format(t="varchar")} as one from part)
 
 
 def mapper_files(inp: Inputs):
-    """(f, content); a file has 50 statements at most."""
+    """(f, content), stored once for a query; a file has 50 statements at most."""
     rows = inp.table("part").selectExpr("p_partkey", f"{FILE} as f", f"{ONE.format(t='string')} as one")
     selects = "array_join(transform(array_sort(collect_list(struct(p_partkey, one))), x -> x.one), '')"
-    return rows.groupBy("f").agg(F.expr(selects).alias("s")).selectExpr("f", f"{MAPPER.format(t='string', selects='s')} as content")
+    built = rows.groupBy("f").agg(F.expr(selects).alias("s")).selectExpr("f", f"{MAPPER.format(t='string', selects='s')} as content")
+    return inp.once("mapper_files", lambda: built)
 
 
 def deliver(files, root: str, prefix: str = "F") -> None:
@@ -72,7 +73,7 @@ def source_tree_scan(inp):
     root, files = scratch_dir(inp.spark, "tree"), mapper_files(inp)
     for place in ("src/main/mapper", "src/test/mapper", "target/classes", "a/Build/x", "node_modules/m"):
         deliver(files, f"{root}/{place}")
-    files.select("content").coalesce(1).write.mode("append").text(f"{root}/src/main/notes")
+    files.select("content").write.mode("append").text(f"{root}/src/main/notes")
     return fs.source_tree_scan(inp.spark, root, "xml").select(folder_of(F.col("path")).alias("folder"), "content")
 
 

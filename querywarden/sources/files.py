@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querywarden.sources.tables import parts_for
+
+#: files that a task writes
+TASK_FILES = 2_000
 # Folders that are never scanned.
 SKIPPED_DIRS = {
     "xml": [".git", "node_modules", "target", "build"],
@@ -40,10 +44,11 @@ def source_tree_scan(spark: SparkSession, root: str, ext: str) -> DataFrame:
 def source_tree_write(files: DataFrame, root: str, ext: str = "xml") -> None:
     """Write one file per row of (folder, content) below ``root``, in ``<root>/folder=<folder>``; an extension has three letters.
 
-    The files are written by the executors; a content is written as it is.
+    The files are written by the executors, about ``TASK_FILES`` by a task, and on every core; a content is written as it is.
+    ``files`` are counted first, so they should be cheap or stored.
     """
     raw = {"quote": "", "sep": "\u0001", "extension": ext, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    rows = files.select("folder", "content").repartition("folder")
+    rows = files.select("folder", "content").repartition(parts_for(files, TASK_FILES), "folder")
     rows.write.partitionBy("folder").options(**raw).mode("append").csv(root)
 
 
@@ -68,7 +73,8 @@ def ddl_directory_load(spark: SparkSession, root: str) -> DataFrame:
 def ddl_export(tables: DataFrame, root: str) -> None:
     """Write one text file per table with header and DDL, in a folder ``table_name=<table>``.
 
-    Input: ``table_name, estimated_rows, ddl``.
+    Input: ``table_name, estimated_rows, ddl``, counted first as for ``source_tree_write``; a table's rows share its file.
     """
     value = F.format_string("-- Estimated Rows: %d\n\n%s", "estimated_rows", "ddl")
-    tables.select("table_name", value.alias("value")).write.partitionBy("table_name").text(root)
+    rows = tables.select("table_name", value.alias("value")).repartition(parts_for(tables, TASK_FILES), "table_name")
+    rows.write.partitionBy("table_name").text(root)

@@ -207,3 +207,24 @@ def test_stored_scan_gives_the_same_statements(table):
     scanned = js.scan_java(df, "entity", "call")
     assert rows(js.wrapper_call_extract(df, scanned)) == rows(js.wrapper_call_extract(df))
     assert rows(js.entity_table_map(df, scanned)) == rows(js.entity_table_map(df)) == [("X", "t_x")]
+
+
+def tasks_that_wrote(root, ext):
+    """Numbers of the tasks in the names of the files below ``root``."""
+    return {name.split("-")[1] for _, _, names in os.walk(root) for name in names if name.endswith(f".{ext}")}
+
+
+def test_table_files_are_written_on_every_core(spark, tmp_path):
+    tables = spark.range(40).coalesce(1).selectExpr("concat('t', id) as table_name", "id as estimated_rows", "'CREATE' as ddl")
+    fs.ddl_export(tables.unionByName(tables.filter("table_name = 't7'")).coalesce(1), str(tmp_path / "ddl"))
+    assert len(tasks_that_wrote(tmp_path / "ddl", "txt")) == spark.sparkContext.defaultParallelism > 1
+    found = {r.table_name: r.content for r in fs.ddl_directory_load(spark, str(tmp_path / "ddl")).collect()}
+    one = lambda n: f"-- Estimated Rows: {n}\n\nCREATE\n"
+    assert found == {f"t{n}": one(n) * (2 if n == 7 else 1) for n in range(40)}
+
+
+def test_tree_files_are_written_on_every_core(spark, tmp_path):
+    files = spark.range(40).coalesce(1).selectExpr("concat('F', id) as folder", "concat('<m>', id, '</m>') as content")
+    fs.source_tree_write(files, str(tmp_path / "tree"))
+    assert len(tasks_that_wrote(tmp_path / "tree", "xml")) == spark.sparkContext.defaultParallelism > 1
+    assert len(rows(fs.source_tree_scan(spark, str(tmp_path / "tree"), "xml"))) == 40
