@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,13 +46,35 @@ def knowledge_by_table(statements: DataFrame, entries: DataFrame) -> DataFrame:
     return heavy_lookup(named, reference_sets(statements), ["table_ref"], "entry_id", "inner").select("table_refs", "entry_id").distinct()
 
 
+def alike(statements: DataFrame, asking: DataFrame, columns: list[str], id_col: str = "stmt_id") -> tuple[DataFrame, DataFrame]:
+    """Statements that can share a text, and one for each kind: ``rows, kinds``.
+
+    Statements of equal ``columns`` share it, but those whose id is in the only column of ``asking``, the ids that may have
+    hits of their own, have one each. ``rows`` are the statements with ``_own``, null for those that share; ``kinds``
+    have the columns, ``_own`` and, as ``id_col``, an id of the kind. What is made of a kind goes back by ``shared``.
+    """
+    ids = asking.toDF("_own").filter("_own is not null").distinct()
+    rows = statements.join(ids, F.col(id_col) == F.col("_own"), "left")
+    return rows, rows.groupBy("_own", *columns).agg(F.min(id_col).alias(id_col))
+
+
+def shared(rows: DataFrame, made: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` of ``alike`` with the further columns of ``made``, which has one row per kind; nulls are equal."""
+    keys = ["_own", *columns]
+    named = made.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in made.columns if c not in rows.columns])
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return rows.join(named, reduce(Column.__and__, same), "left").drop(*[f"_k{i}" for i in range(len(keys))], "_own")
+
+
 def retrieve_context(
     statements: DataFrame, entries: DataFrame, hits: DataFrame, base: DataFrame | None = None
 ) -> DataFrame:
     """Statements with ``knowledge_context``: entries by table, then similar ones not among them.
 
     ``statements`` has ``stmt_id, table_refs``; ``hits`` is (query_id = stmt_id, entry_id, rank). ``base``
-    are the same statements before costly columns were added, so that those are not computed again.
+    are the same statements before costly columns were added, so that those are not computed again; ``statements`` may
+    be some of them only. All entries of a set of tables are joined to one text, once for the set. The texts of statements are made
+    behind the last join, so that they are never shuffled.
     """
     plain = statements if base is None else base
     pairs = knowledge_by_table(plain, entries)
@@ -60,7 +84,7 @@ def retrieve_context(
     )
     exact_rows = entries.select(F.col("id").alias("entry_id"), exact_text.alias("part")).join(pairs, "entry_id")
     exact = exact_rows.groupBy("table_refs").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("entry_id", "part"))), lambda x: x["part"]).alias("exact")
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entry_id", "part"))), lambda x: x["part"]), "\n\n").alias("exact")
     )
     near_text = F.format_string("- **[%s] %s**: %s", "knowledge_type", "title", tx.truncate_ellipsis(document_text(), SNIPPET, ""))
     near_rows = (
@@ -70,14 +94,12 @@ def retrieve_context(
         .join(entries.select(F.col("id").alias("entry_id"), near_text.alias("part")), "entry_id")
     )
     near = near_rows.groupBy("stmt_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "part"))), lambda x: x["part"]).alias("near")
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "part"))), lambda x: x["part"]), "\n\n").alias("near")
     )
-    none = F.array().cast("array<string>")
-    parts = F.concat(F.coalesce("exact", none), F.coalesce("near", none))
-    text = F.when(F.size(parts) > 0, F.concat(F.lit(f"{CONTEXT_TITLE}\n\n"), F.array_join(parts, "\n\n"))).otherwise("")
+    found = F.coalesce("exact", "near").isNotNull()
+    text = F.when(found, F.concat_ws("\n\n", F.lit(CONTEXT_TITLE), "exact", "near")).otherwise("")
     return (
-        salted_lookup(statements, exact, ["table_refs"], "stmt_id")
-        .join(near, "stmt_id", "left")
+        salted_lookup(statements.join(near, "stmt_id", "left"), exact, ["table_refs"], "stmt_id")
         .withColumn("knowledge_context", text)
         .drop("exact", "near")
     )

@@ -160,5 +160,9 @@ where not exists (select 1 from pairs p where p.refs = s.refs and p.entry_id = t
     RETRIEVED,
 )
 def retrieve_context(inp):
-    out = kn.retrieve_context(referenced(inp), inp.get("knowledge_entries"), top_hits(inp))
-    return out.select("stmt_id", F.md5("knowledge_context").alias("context_md5"))
+    """The context of statements that cannot differ in it is made once: only ids with a vector can have hits of their own."""
+    base = referenced(inp)
+    rows, kinds = kn.alike(base, inp.table("embeddings").select("vec_id"), ["table_refs"])
+    out = kn.retrieve_context(kinds, inp.get("knowledge_entries"), top_hits(inp), base)
+    made = out.select("_own", "table_refs", F.md5("knowledge_context").alias("context_md5"))
+    return kn.shared(rows, made, ["table_refs"]).select("stmt_id", "context_md5")

@@ -305,3 +305,25 @@ def test_reuse_expires_exactly_at_its_time(spark):
         assert [short[k, start + timedelta(minutes=m)] for m in at] == [False, False, True, False, False, True]
         assert [day[k, start + timedelta(minutes=m)] for m in at] == [False, True, True, True, False, True]
     assert short["n", None] is False and len(short) == 13
+
+
+def test_statements_that_cannot_differ_share_a_context(table):
+    cols = "id long, knowledge_type string, title string, content string, related_tables string, embedded int, status int"
+    entries = table([(1, "T", "one", "c1", "a", 1, 1), (2, "T", "two", "c2", None, 1, 1)], cols)
+    stmts = table([(7, ["a"]), (7, ["a"]), (8, ["a"]), (9, ["a"]), (None, ["a"]), (10, None), (11, ["z"]), (12, ["z"])], "stmt_id long, table_refs array<string>")
+    hits = table([(7, 2, 1), (12, 2, 1)], "query_id long, entry_id long, rank int")
+    each, kinds = kn.alike(stmts, table([(7,), (12,), (99,), (7,), (None,)], "vec_id long"), ["table_refs"])
+    assert rows(kinds, "_own", "stmt_id", "table_refs") == [(None, 10, None), (None, 11, ["z"]), (None, 8, ["a"]), (12, 12, ["z"]), (7, 7, ["a"])]
+    made = kn.retrieve_context(kinds, entries, hits, stmts)
+    got = rows(kn.shared(each, made.select("_own", "table_refs", "knowledge_context"), ["table_refs"]), "stmt_id", "knowledge_context")
+    assert got == rows(kn.retrieve_context(stmts, entries, hits), "stmt_id", "knowledge_context") and len(got) == 8
+
+
+def test_context_texts_are_not_shuffled(spark, sf_dir):
+    from querywarden.plans.catalog import QUERIES
+
+    for name in ("retrieve_context", "prompt_assemble"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        # the sets' texts meet the statements in the last join below the one that hands the digests out
+        joins = [line for line in plan.splitlines() if "Join " in line]
+        assert "_own" in joins[0] and "_own" in joins[1] and "_salt" in joins[2], joins[:3]
