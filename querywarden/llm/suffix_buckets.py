@@ -36,7 +36,8 @@ from querywarden.llm.packs import FLAGS, KEYS, flags_of, key_rows, pack, stored,
 from querywarden.llm.words import mix
 
 WIDTH, GRAM = 200, 32
-SLICE = 1 << 20
+#: strings worked on at once: their identifiers of each depth stay in a core's cache
+SLICE = 1 << 16
 #: bytes of text for each range of identifiers
 RANGE_BYTES = 32 << 20
 LETTER = mix(np.arange(1, 257, dtype=np.uint64))
@@ -251,9 +252,11 @@ def _removed(row: dict, c: Chunk, verdict: np.ndarray, twice: np.ndarray) -> pa.
     cover(c.low[whole], c.high[whole])
     sent = c.sent(verdict)
     if sent.any():
-        keys = np.unique(c.strings(sent)[1])
-        at, ids = c.strings(flag == SPLIT)
-        at = at[twice[np.searchsorted(keys, ids)] > 0] if len(at) else at
+        at, ids = c.strings(sent)
+        # of the strings sent, those of runs that stand for their extent are covered already
+        split = np.repeat(flag[sent] == SPLIT, (c.high - c.low + 1)[sent])
+        keys = np.unique(ids)
+        at = at[split & (twice[np.searchsorted(keys, ids)] > 0)]
         cover(at, at)
     gone = np.cumsum(edge[:-1]) > 0
     found = list(c.rest(gone))

@@ -57,6 +57,20 @@ def test_slices_of_a_long_text(monkeypatch):
     assert [(g["n_bytes"], g["n_removed"], g["n_spans"], g["kept"]) for g in got] == want
 
 
+def test_removal_makes_the_strings_identifiers_once(monkeypatch):
+    passage = random.Random(3).choices("abcdefgh", k=600)
+    texts = ["".join(passage[a : a + 300 + a]).encode() for a in (0, 50, 120)]
+    c = sb.Chunk(texts, 200, 32)
+    flags = sb.sort_buckets(c.grams, c.load)
+    assert (flags == sb.SPLIT).any()
+    keys, times = np.unique(c.strings(c.sent(flags))[1], return_counts=True)
+    calls, strings = [], sb.Chunk.strings
+    monkeypatch.setattr(sb.Chunk, "strings", lambda self, picked: calls.append(1) or strings(self, picked))
+    got = sb._removed({"doc_id": [1, 2, 3]}, c, flags, sb.sort_strings(keys, (times > 1).astype(np.uint8))).to_pylist()
+    assert [(g["n_bytes"], g["n_removed"], g["n_spans"], g["kept"]) for g in got] == plain([t.decode() for t in texts], 200)
+    assert len(calls) == 1
+
+
 def test_identifiers_depend_on_content_only():
     rng = random.Random(9)
     data = np.frombuffer(bytes(rng.choices(b"ab", k=3000)), np.uint8)
