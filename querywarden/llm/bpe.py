@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from querywarden.llm.words import chunks
+from querywarden.llm.words import chunks, keeper
 
 LEAF = 16384
 #: bytes on either side of a window that a cut may have touched (special tokens, look-ahead)
@@ -218,6 +218,14 @@ def _coder(spec: str) -> Coder:
     return Coder(spec)
 
 
+def _forget() -> None:
+    _coder.cache_clear()
+    _load.cache_clear()
+
+
+keeper(_forget)
+
+
 def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", keep_text: bool = False, leaf: int = LEAF) -> DataFrame:
     """``docs`` with a column ``ids``; ``tokenizer`` is the content of a tokenizers file.
 

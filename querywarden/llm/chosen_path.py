@@ -19,6 +19,7 @@ is the least key of the class (null if all are null). Other columns are not used
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil, exp, log
 
 import numpy as np
@@ -301,8 +302,10 @@ def block_pairs(large: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def candidates(described: DataFrame, packed: DataFrame) -> DataFrame:
-    """Pairs (``a``, ``b``) of rows whose connected components hold all likely links."""
-    spark = described.sparkSession
+    """Pairs (``a``, ``b``) of rows whose connected components hold all likely links.
+
+    No local rows join in: those come through Python workers of a second kind, which an executor keeps beside the others.
+    """
     sketches = described.select("row", "sketch")
     nodes = described.select(F.explode("keys").alias("key"), "row")
     found = []
@@ -331,10 +334,7 @@ def candidates(described: DataFrame, packed: DataFrame) -> DataFrame:
             deeper = deeper_nodes(packed, going)
         open_keys = going.select(F.col("key").alias("parent")).distinct()
         nodes = deeper.filter(F.col("level") == level + 1).join(open_keys, "parent", "left_semi").select("key", "row")
-    edges = spark.createDataFrame([], "a long, b long")
-    for part in found:
-        edges = edges.union(part)
-    return edges
+    return reduce(DataFrame.union, found)
 
 
 PLACE = ["row", "cluster", "band", "block", "blocks", "above", "below", "copies"]

@@ -9,6 +9,7 @@ import pytest
 
 from querywarden.llm import chosen_path
 from querywarden.llm.components import components
+from querywarden.llm.packs import stored
 
 
 def shingles(text):
@@ -141,6 +142,15 @@ def test_buckets_large_to_the_last_round(spark, monkeypatch, block):
     assert set(roots) == {40, 41, 97, 98}
 
 
+@pytest.mark.parametrize("keys", [[7], []])
+def test_candidates_need_no_second_kind_of_workers(spark, keys):
+    rows = [(i, bytearray(b"a" * chosen_path.BINS), keys) for i in range(3)]
+    described = stored(spark.createDataFrame(rows, "row long, sketch binary, keys array<long>"), "test")
+    found = chosen_path.candidates(described, None)
+    assert "RDD" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.node: r.root for r in components(found).collect()} == ({0: 0, 1: 0, 2: 0} if keys else {})
+
+
 def test_runs_reach_the_target_through_all_rounds():
     alive = chosen_path.survival(0.8, chosen_path.DEPTH * (chosen_path.ROUNDS + 1))
     assert 1 - (1 - alive) ** chosen_path.runs_for(chosen_path.RECALL) >= chosen_path.RECALL

@@ -9,6 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from querywarden.llm import bpe, line_rules, stream_dedup
+from querywarden.llm.words import give_back
 
 SPEC = bpe.tokenizer_json(public_tokenizers.path("byte_bpe_50k.json"))
 SCHEMA = "doc_id long, text string, lang string, ids string, _text string, kept string"
@@ -55,6 +56,14 @@ def test_long_run_of_letters_is_joined_by_windows(spark):
     assert max(calls) < 1000
 
 
+def test_other_operators_drop_the_coder_of_a_worker():
+    first = bpe._coder(SPEC)
+    assert bpe._coder(SPEC) is first
+    give_back()
+    assert not bpe._coder.cache_info().currsize and not bpe._load.cache_info().currsize
+    assert bpe._coder(SPEC).plain(["a b"]) == first.plain(["a b"])
+
+
 def test_bpe_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert bpe.bpe_decode(bpe.bpe_encode(docs, SPEC), SPEC).count() == 0
