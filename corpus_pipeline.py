@@ -54,11 +54,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document (little-endian, 32 bits each), and whether they decode to its text."""
+    """Token ids of each document (little-endian, 32 bits each), and whether they decode to its text.
+
+    Ids are stored before they are decoded: encoder and decoder in one task would take two Python workers each, and an
+    executor keeps as many as its tasks ever used at once. A text's digest goes along in place of the text.
+    """
     prepare(spark)
     spec = bpe.tokenizer_json(tokenizer_path())
-    ids = bpe.bpe_encode(docs.select("doc_id", "lang", "source", "text"), spec, keep_text=True)
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    ids = stored(bpe.bpe_encode(docs.select("doc_id", "lang", "source", "text", digest.alias("digest")), spec), "encoded")
+    same = F.unhex(F.sha2("decoded", 256)) == F.col("digest")
     n = (F.octet_length("ids") / 4).cast("long")
     return bpe.bpe_decode(ids, spec).select("doc_id", "lang", "source", n.alias("n_tokens"), "ids", same.alias("lossless"))
 

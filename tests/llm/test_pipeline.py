@@ -103,3 +103,15 @@ def test_files_cut_anew_between_scans(spark, monkeypatch, step):
         assert sorted(r.doc_id // 2 for r in stage.collect()) == list(range(40))
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_encoder_and_decoder_do_not_share_a_task(spark):
+    texts = ["a b", None, "", "word " * 5000, "é中 \U0001f600"]
+    docs = stored(spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string"), "test")
+    out = corpus_pipeline.encode(spark, docs, "")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "FlatMapGroupsInArrow" not in plan
+    t = Tokenizer.from_str(SPEC)
+    want = {i: b"".join(n.to_bytes(4, "little") for n in t.encode(x or "", add_special_tokens=False).ids) for i, x in enumerate(texts)}
+    assert {r.doc_id: bytes(r.ids) for r in out.collect()} == want
+    assert all(r.lossless and r.n_tokens == len(r.ids) // 4 for r in out.collect())
