@@ -319,12 +319,13 @@ def candidates(described: DataFrame, packed: DataFrame) -> DataFrame:
         firsts = large.select("first").distinct().join(sketches.withColumnsRenamed({"row": "first", "sketch": "sketch_first"}), "first")
         pairs = large.filter("row != first").select("row", "first").distinct().join(sketches, "row").join(firsts, "first")
         near = stored(pairs.mapInArrow(_near_first, "row long, first long, near double"), "near")
-        compared = large.join(near, ["row", "first"], "left").withColumn("near", F.coalesce("near", F.lit(1.0)))
-        dense = compared.groupBy("key").agg(F.avg((F.col("near") >= SOMEWHAT).cast("int")).alias("share")).filter(F.col("share") >= DENSE)
-        judged = stored(compared.join(dense, "key", "left"), "judged")
-        tied = (F.col("near") >= LIKELY) | F.col("share").isNotNull()
-        found.append(judged.filter(tied & (F.col("row") != F.col("first"))).select(F.col("row").alias("a"), F.col("first").alias("b")).distinct())
-        going = judged.filter("share is null").select("key", "row", "n", F.shiftright("row", ROW_BITS).alias("chunk"))
+        found.append(near.filter(F.col("near") >= LIKELY).select(F.col("row").alias("a"), F.col("first").alias("b")))
+        # only sets unlike the first one meet their paths again: in a bucket of near copies they are few
+        weak = stored(large.join(near.filter(F.col("near") < LIKELY), ["row", "first"]), "weak")
+        unlike = weak.groupBy("key", "n").agg(F.count(F.when(F.col("near") < SOMEWHAT, 1)).alias("unlike"))
+        sparse = stored(unlike.filter((F.col("n") - F.col("unlike")) / F.col("n") < DENSE).select("key"), "sparse")
+        found.append(weak.join(sparse, "key", "left_anti").select(F.col("row").alias("a"), F.col("first").alias("b")).distinct())
+        going = large.join(sparse, "key", "left_semi").select("key", "row", "n", F.shiftright("row", ROW_BITS).alias("chunk"))
         if going.isEmpty():
             break
         if level == ROUNDS:

@@ -151,6 +151,27 @@ def test_candidates_need_no_second_kind_of_workers(spark, keys):
     assert {r.node: r.root for r in components(found).collect()} == ({0: 0, 1: 0, 2: 0} if keys else {})
 
 
+def test_sets_like_the_first_one_go_no_further(spark, monkeypatch):
+    n, one, other = 100, bytes(range(1, 129)), bytes(range(128, 0, -1))
+    keys = {r: [1, 2] if r < n else [3] for r in range(3 * n)}  # the last bucket: a third like its first set, two thirds not
+    sketch = {r: one if r < n - 1 or r % 3 == 1 else other for r in range(3 * n)}
+    rows = [(r, sketch[r], keys[r]) for r in range(3 * n)]
+    described = spark.createDataFrame(rows, "row long, sketch binary, keys array<long>")
+    counts, real = {}, chosen_path.stored
+
+    def spy(df, label):
+        out = real(df, label)
+        counts[label] = max(counts.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(chosen_path, "stored", spy)
+    monkeypatch.setattr(chosen_path, "ROUNDS", 0)
+    root = {r.node: r.root for r in components(chosen_path.candidates(described, None)).collect()}
+    assert all(root[r] == 0 for r in range(n)) and all(root[r] == (100 if r % 3 == 1 else 101) for r in range(n, 3 * n))
+    first_unlike = sum(sketch[r] == other for r in range(n, 3 * n))
+    assert counts["buckets"] == 4 * n and max(v for k, v in counts.items() if k not in ("buckets", "near")) == 2 + first_unlike
+
+
 def test_runs_reach_the_target_through_all_rounds():
     alive = chosen_path.survival(0.8, chosen_path.DEPTH * (chosen_path.ROUNDS + 1))
     assert 1 - (1 - alive) ** chosen_path.runs_for(chosen_path.RECALL) >= chosen_path.RECALL
