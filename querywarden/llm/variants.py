@@ -9,7 +9,8 @@ behind it, or its second one with the edit before it. On the side without the ed
 which fixes the pivot's position in a word of given length; and of the side with the edit, one half is equal.
 A pivot is indexed by all that must be equal, a prefix bigram likewise, and both meet in one equality join,
 whose buckets stay small even for common bigrams. Each pair is verified by its edit distance. Bigrams are
-counted exactly; there are at most (26 + 64)^2 of them, and only these counts reach the driver.
+counted exactly; there are at most (26 + 64)^2 of them, and only these counts reach the driver. No join broadcasts:
+Spark sizes keys by the compressed words they are made of, see ``_unsent``.
 
 Null texts have no words, and a null ``doc_id`` counts as an empty one in the hash that thins out letters.
 Repeated rows count as often as they occur. Ties for a form go to the smallest word in code-point order. An
@@ -146,6 +147,12 @@ def prefix_keys(word: str, prefix: list[int]) -> set[int]:
     return out
 
 
+def _unsent(rows: DataFrame) -> DataFrame:
+    """``rows`` for a join that sorts both sides. Spark takes a table for as large as its compressed files, and what Python
+    makes of a row for one row: a few MB of words would pass as small enough to send, and their keys be collected by the driver."""
+    return rows.hint("merge")
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """``a, b``: the pairs of ``words`` (column ``word``, distinct, of at least 5 letters) one edit apart, each once, in either order."""
     count = gram_counts(words)
@@ -170,7 +177,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     holds = narrow.mapInArrow(indexed(False), INDEX).select("key", "last", F.col("word").alias("b"))
     # the side whose prefix ends earlier asks; both do if they end at the same bigram, and one is left out
     once = (F.col("_last") < F.col("last")) | ((F.col("_last") == F.col("last")) & (F.col("a") != F.col("b")))
-    met = asks.join(holds, "key").filter(once).filter(F.levenshtein("a", "b", 1) == 1)
+    met = asks.join(_unsent(holds), "key").filter(once).filter(F.levenshtein("a", "b", 1) == 1)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -182,7 +189,7 @@ def roots(forms: DataFrame, label: str = "roots") -> DataFrame:
     now = stored(forms.select("word", F.col("form").alias("root")), label)
     while True:
         on = now.select(F.col("word").alias("root"), F.col("root").alias("_next"))
-        step = stored(now.join(on, "root", "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_moved")), label)
+        step = stored(now.join(_unsent(on), "root", "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_moved")), label)
         now = step.select("word", "root")
         if step.filter("_moved").isEmpty():
             return now
@@ -198,10 +205,10 @@ def spelling_variants(docs: DataFrame, text: str = "text", key: str = "doc_id",
     pairs = stored(near_pairs(words), "pairs")
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("_near")).union(pairs.select(F.col("b"), F.col("a")))
     counts = words.select(F.col("word").alias("_near"), F.col("n").alias("_n"))
-    best = both.join(counts, "_near").groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("_n")).alias("less"), F.col("_near").alias("near"))).alias("_best"))
+    best = both.join(_unsent(counts), "_near").groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("_n")).alias("less"), F.col("_near").alias("near"))).alias("_best"))
     leads: Column = -F.col("_best.less") >= RATIO * F.col("n")
     found = stored(
-        words.join(best, "word", "left").select(
+        words.join(_unsent(best), "word", "left").select(
             "word",
             F.when(leads, F.col("_best.near")).alias("form"),
             "n",
@@ -211,4 +218,4 @@ def spelling_variants(docs: DataFrame, text: str = "text", key: str = "doc_id",
         "forms",
     )
     ends = roots(found.filter("form is not null"))
-    return found.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(_unsent(ends), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

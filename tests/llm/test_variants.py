@@ -75,3 +75,18 @@ def test_roots_of_long_chains_and_empty_tables(spark):
     assert variants.spelling_variants(none).count() == 0
     with pytest.raises(ValueError, match="too few"):
         variants.spelling_variants(none, min_length=4)
+
+
+def test_no_join_broadcasts_what_a_file_of_words_hides(spark, monkeypatch):
+    stored, plans = variants.stored, []
+
+    def watched(df, label):
+        plans.append(df)
+        return stored(df, label)
+
+    monkeypatch.setattr(variants, "stored", watched)
+    docs = spark.createDataFrame([(1, "abcdefg abcdefg abcdefg abcdefg abcdefg abcdefg abcdefh abcdefh abcdefh")], "doc_id long, text string")
+    out = variants.spelling_variants(docs, drop=10**9)
+    assert {(r.word, r.root) for r in out.collect()} == {("abcdefg", "abcdefg"), ("abcdefh", "abcdefg")}
+    joins = [line for df in [*plans, out] for line in df._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line]
+    assert len(joins) >= 5 and all("SortMergeJoin" in line for line in joins), joins
