@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from datetime import timedelta
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,20 +45,69 @@ ISSUE_PATTERNS = {
 HUGE_ROWS, LARGE_ROWS, SMALL_ROWS = 1_000_000, 20_000, 1_000
 POOR_SELECTIVITY = 0.01
 
-def prompt_assemble(statements: DataFrame, templates: DataFrame, key: str, default: str) -> DataFrame:
+def prompt_assemble(statements: DataFrame, templates: DataFrame, key: str, default: str, apart: bool = False) -> DataFrame:
     """Statements with ``prompt``: the active template of ``key``, else the default, its ``%s`` filled.
 
     The slots are type, location, normalised text, table context and knowledge context, in this order; a mark
-    beyond the fifth stays as it is written.
+    beyond the fifth stays as it is written. ``apart``: ``prompt`` ends with the knowledge context and ``prompt_rest`` is
+    what follows, null if the template has no mark for it; see ``prompt_digests``.
     """
     found = templates.filter((F.col("template_key") == key) & (F.col("status") == 1)).agg(F.max("content"))
     pieces = F.split(F.coalesce(found.scalar(), F.lit(default)), "%s", -1)
     values = [F.coalesce(c, F.lit("")) for c in ("sql_type", "source_location", "sql_normalized", "ddl_context", "knowledge_context")]
     named = statements.withColumn("_slots", F.array(*values)).withColumn("_pieces", pieces)
-    filled = F.transform(
-        "_pieces", lambda piece, i: F.when(i == 0, piece).otherwise(F.concat(F.coalesce(F.get("_slots", i - 1), F.lit("%s")), piece))
+
+    def filled(parts: Column, first: int) -> Column:
+        """The pieces from number ``first`` on, each behind what fills its mark."""
+        return F.transform(
+            parts, lambda piece, i: F.when(i + first == 0, piece).otherwise(F.concat(F.coalesce(F.get("_slots", i + first - 1), F.lit("%s")), piece))
+        )
+
+    if not apart:
+        return named.withColumn("prompt", F.array_join(filled(F.col("_pieces"), 0), "")).drop("_slots", "_pieces")
+    n = len(values)
+    knows = F.size("_pieces") > n
+    start = F.array_join(filled(F.slice("_pieces", 1, n), 0), "")
+    rest = F.concat(F.get("_pieces", F.lit(n)), F.array_join(filled(F.slice("_pieces", n + 2, F.greatest(F.size("_pieces") - n - 1, F.lit(0))), n + 1), ""))
+    return (
+        named.withColumn("prompt", F.when(knows, F.concat(start, F.get("_slots", F.lit(n - 1)))).otherwise(start))
+        .withColumn("prompt_rest", F.when(knows, rest))
+        .drop("_slots", "_pieces")
     )
-    return named.withColumn("prompt", F.array_join(filled, "")).drop("_slots", "_pieces")
+
+
+def prompt_digests(prompts: DataFrame, columns: list[str], out: str = "prompt_md5") -> DataFrame:
+    """``_own, columns, out``: the MD5 of the whole prompt for each of ``asks`` (``knowledge.gathered``) of the prompts made ``apart``.
+
+    A prompt is ``prompt``, then, where the template has a mark for it, ``near_lead`` and the ask's ``near`` if it has one, and
+    ``prompt_rest``. Prompts of a row begin alike, so that beginning, which grows with the entries of the tables, is digested once.
+    """
+    given = prompts.select(*columns, "prompt", "prompt_rest", "near_lead", "asks")
+    own = given.schema["asks"].dataType.elementType["_own"].dataType
+    schema = T.StructType([T.StructField("_own", own), *[given.schema[c] for c in columns], T.StructField(out, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                start, rest, lead = (row.column(c).cast(pa.binary())[0].as_buffer() for c in ("prompt", "prompt_rest", "near_lead"))
+                asks = row.column("asks").flatten()
+                begun = hashlib.md5(start or b"", usedforsecurity=False)
+                digests = []
+                for near in asks.field("near").cast(pa.binary()):
+                    whole = begun.copy()
+                    if rest is not None:
+                        if near.is_valid:
+                            whole.update(lead)
+                            whole.update(near.as_buffer())
+                        whole.update(rest)
+                    digests.append(whole.hexdigest())
+                same = pa.array([0] * len(asks), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [asks.field("_own"), *[row.column(c).take(same) for c in columns], pa.array(digests, pa.string())], ["_own", *columns, out]
+                )
+
+    return given.mapInArrow(run, schema)
 
 
 def strip_fences(response: Column) -> Column:

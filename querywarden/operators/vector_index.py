@@ -31,6 +31,8 @@ PIVOTS, BOUNDS, RINGS, GROUPS = 64, 16, 64, 256
 BLOCK_ROWS = 8192
 #: rows of a block that are multiplied at once
 STRIP = 512
+#: values of a row that share a maximum
+PART = 32
 PLACED = "id long, embedding array<float>, cell int, ring int, angles array<float>"
 PAIRED = "query_id long, entry_id long, similarity double"
 #: slack for angles kept in single precision
@@ -119,6 +121,28 @@ def near_blocks(queries: DataFrame, entries: DataFrame, reach: float) -> DataFra
     return both.filter(~far).select("qb", "eb")
 
 
+def _hopeful(cos: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns, in any order, of values >= ``least`` that hold the ``k`` largest of each row.
+
+    The ``k``-th largest maximum of parts of a row is reached by ``k`` values. Maxima of ``PART`` values that stand
+    ``width`` apart cost a fraction of a partition of the row, and only parts whose maximum gets there are looked at.
+    """
+    rows, width = len(cos), cos.shape[1] // PART
+    if width > k:
+        body, tail = cos[:, : width * PART].reshape(rows, PART, width), cos[:, width * PART :]
+        tops = np.maximum.reduce(body, axis=1)
+        if not (np.isnan(tops).any() or np.isnan(tail).any()):
+            floor = np.maximum(np.partition(tops, -k, axis=1)[:, -k], least)
+            row, part = np.nonzero(tops >= floor[:, None])
+            hit, nth = np.nonzero(body[row, :, part] >= floor[row, None])
+            more, end = np.nonzero(tail >= floor[:, None])
+            return np.concatenate([row[hit], more]), np.concatenate([nth * width + part[hit], width * PART + end])
+    floor = np.full(rows, least)
+    if cos.shape[1] > k:
+        floor = np.maximum(floor, np.partition(cos, -k, axis=1)[:, -k])
+    return np.nonzero(cos >= floor[:, None])
+
+
 def _best(k: int, min_similarity: float, skip_self: bool):
     def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -131,10 +155,7 @@ def _best(k: int, min_similarity: float, skip_self: bool):
                 cos = vectors[at : at + STRIP] @ mat.T
                 if skip_self:
                     cos[asks[at : at + STRIP, None] == ids[None, :]] = -2.0
-                floor = np.full(len(cos), min_similarity)
-                if cos.shape[1] > k:
-                    floor = np.maximum(floor, np.partition(cos, -k, axis=1)[:, -k])
-                row, col = np.nonzero(cos >= floor[:, None])
+                row, col = _hopeful(cos, k, min_similarity)
                 value = cos[row, col]
                 order = np.lexsort((col, -value, row))
                 row, col, value = row[order], col[order], value[order]

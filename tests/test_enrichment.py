@@ -327,3 +327,63 @@ def test_context_texts_are_not_shuffled(spark, sf_dir):
         # the sets' texts meet the statements in the last join below the one that hands the digests out
         joins = [line for line in plan.splitlines() if "Join " in line]
         assert "_own" in joins[0] and "_own" in joins[1] and "_salt" in joins[2], joins[:3]
+
+
+TEMPLATES_OF = ["T %s at %s: %s / %s / %s end", "%s%s%s%s%s", "no mark", "%s %s %s %s", "a%sb%sc%sd%se%sf%sg%s", "%s%s%s%s%s tail %s"]
+
+
+@pytest.mark.parametrize("template", TEMPLATES_OF)
+def test_prompts_of_a_row_are_digested_like_whole_ones(spark, table, template):
+    import hashlib
+
+    cols = ["sql_type", "source_location", "sql_normalized", "table_refs"]
+    stmts = table(
+        [(i, "S", "l", "q", ["a"]) for i in range(40)] + [(i, "S", None, "ü", ["z"]) for i in range(40, 46)] + [(46, None, "l", "q", None), (None, "S", "l", "q", ["a"])],
+        "stmt_id long, sql_type string, source_location string, sql_normalized string, table_refs array<string>",
+    ).withColumn("ddl_context", F.lit("ddl"))
+    entries = table(
+        [(i, "T", f"e{i}", "Text ß" * i, "a, b" if i % 2 else None, 1, 1) for i in range(8)],
+        "id long, knowledge_type string, title string, content string, related_tables string, embedded int, status int",
+    )
+    hits = table([(i, i % 8, 1) for i in range(0, 46, 3)] + [(9, 2, 2)], "query_id long, entry_id long, rank int")
+    none = table([], "template_key string, status int, content string")
+    whole = am.prompt_assemble(kn.retrieve_context(stmts, entries, hits), none, "K", template)
+    want = sorted((r.stmt_id, hashlib.md5(r.prompt.encode()).hexdigest()) for r in whole.collect() if r.stmt_id is not None)
+    each, kinds = kn.alike(stmts.drop("ddl_context"), table([(i,) for i in range(46)], "vec_id long"), cols)
+    near = kn.near_context(stmts, kn.knowledge_by_table(stmts, entries), entries, hits)
+    # texts are made for a few rows, not for each statement that has a vector
+    groups = kn.gathered(kinds, near, cols, 16).withColumn("ddl_context", F.lit("ddl"))
+    assert groups.count() < 8 and sorted(len(r.asks) for r in groups.collect())[-1] > 5
+    out = am.prompt_assemble(kn.retrieve_context(groups, entries, None, stmts), none, "K", template, apart=True)
+    got = rows(kn.shared(each, am.prompt_digests(out, cols, "md5"), cols).filter("stmt_id is not null"), "stmt_id", "md5")
+    assert sorted(got) == want and len({m for _, m in want}) > (5 if template.count("%s") > 4 else 0)
+
+
+def test_statements_are_not_broadcast_for_their_hits(spark, tmp_path, table):
+    stmts = table([(i, ["a"]) for i in range(100)], "stmt_id long, table_refs array<string>")
+    stmts.write.parquet(str(tmp_path / "s"))
+    entries = table([(1, "T", "one", "c", "a", 1, 1)], "id long, knowledge_type string, title string, content string, related_tables string, embedded int, status int")
+    hits = table([(i, 1, 1) for i in range(200)], "query_id long, entry_id long, rank int")
+    pairs = table([(["z"], 1)], "table_refs array<string>, entry_id long")
+    near = kn.near_context(spark.read.parquet(str(tmp_path / "s")), pairs, entries, hits)
+    plan = near._jdf.queryExecution().sparkPlan().toString()
+    assert any("SortMergeJoin" in line and "stmt_id" in line for line in plan.splitlines()), plan
+    assert near.count() == 100
+
+
+@pytest.mark.parametrize("kind", ["random", "ties", "nan", "few"])
+def test_hopeful_values_hold_the_largest(kind):
+    rng = np.random.default_rng(1)
+    cos = rng.uniform(-1, 1, (40, 5 if kind == "few" else 1007))
+    if kind == "ties":
+        cos = np.round(cos, 1)
+    if kind == "nan":
+        cos[3:9, 500], cos[7, -1] = np.nan, np.nan
+    for k, least in ((3, 0.2), (3, 0.9999), (31, -2.0), (40, 0.0)):
+        floor = np.full(len(cos), least)
+        if cos.shape[1] > k:
+            floor = np.maximum(floor, np.partition(cos, -k, axis=1)[:, -k])
+        must = set(zip(*np.nonzero(cos >= floor[:, None]), strict=True))
+        row, col = vi._hopeful(cos, k, least)
+        got = set(zip(row, col, strict=True))
+        assert len(got) == len(row) and must <= got and (cos[row, col] >= least).all() and len(got) <= len(must) + 40 * 40
